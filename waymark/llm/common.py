@@ -55,14 +55,15 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def with_small(left: DataFrame, right: DataFrame, on: str | list[str], row_bytes: int, how: str = "left") -> DataFrame:
+def with_small(left: DataFrame, right: DataFrame, on: str | list[str], size: F.Column, how: str = "left") -> DataFrame:
     """Join with ``right``, sending it whole to the executors only if it is small.
 
-    ``right`` must be settled, as its rows are counted first. Beyond the bound the join
-    shuffles both sides, and adaptive execution splits the partitions of hot keys.
+    ``right`` must be settled, as its rows and bytes (the sum of ``size``) are taken first.
+    Beyond the bound the join shuffles both sides, and adaptive execution splits the
+    partitions of hot keys.
     """
-    rows = right.count()
-    small = rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES
+    rows, taken = right.agg(F.count("*"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    small = rows <= BROADCAST_ROWS and taken <= BROADCAST_BYTES
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
