@@ -7,13 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import simhash, suffix
+from waymark.llm import media, packing, simhash, suffix
+from waymark.llm.common import documents, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(table(spark, sf_dir, "documents"))
+    member = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.monotonically_increasing_id()).alias("member")
+    folder = shared_path(spark, "media")
+    media.write_media(docs.select(member, F.encode("text", "UTF-8").alias("payload")), folder)
+    read = media.read_media(spark, folder)
+    return read.select(
+        F.regexp_extract("member", "^(-?[0-9]+)-", 1).try_cast("bigint").alias("doc_id"),
+        "n_bytes",
+        F.length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        F.length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(
@@ -32,6 +55,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_media": op2_media,
+        "op3_packing": op3_packing,
         "op5_suffix": op5_suffix,
         "op7_simhash": op7_simhash,
     }
