@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import media, packing, simhash, suffix
+from waymark.llm import lm, media, packing, simhash, suffix
 from waymark.llm.common import documents, shared_path
 
 
@@ -53,12 +53,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media": op2_media,
         "op3_packing": op3_packing,
         "op5_suffix": op5_suffix,
         "op7_simhash": op7_simhash,
+        "op10_lm": op10_lm,
     }
 
 
