@@ -1,4 +1,4 @@
-"""Shared pieces: shared-folder checkpoints, document columns, size-checked joins, components."""
+"""Shared pieces: shared-folder checkpoints, document columns, components."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table, in rows and in bytes, that a join may send whole to every executor.
-BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 48 << 20
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -55,18 +50,6 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def with_small(left: DataFrame, right: DataFrame, on: str | list[str], size: F.Column, how: str = "left") -> DataFrame:
-    """Join with ``right``, sending it whole to the executors only if it is small.
-
-    ``right`` must be settled, as its rows and bytes (the sum of ``size``) are taken first.
-    Beyond the bound the join shuffles both sides, and adaptive execution splits the
-    partitions of hot keys.
-    """
-    rows, taken = right.agg(F.count("*"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
-    small = rows <= BROADCAST_ROWS and taken <= BROADCAST_BYTES
-    return left.join(F.broadcast(right) if small else right, on, how)
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node it reaches.
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import documents, settle, with_small
+from waymark.llm.common import documents, settle
 
 LENGTH = 400
 WINDOW = 128
@@ -237,7 +237,8 @@ def _marks(docs: DataFrame) -> DataFrame:
     """(doc, marks): for each document the leaders with repeated strings; null bits stand for all of them."""
     suffixes = _suffixes(docs)
     classes = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi"))
-    classes = classes.where("n > 1").select("key", F.expr("lo <> hi").alias("mixed"))
+    # settled, so that the join has shuffles of its own and the rows of a hot key are split
+    classes = settle(classes.where("n > 1").select("key", F.expr("lo <> hi").alias("mixed")))
     shared = settle(suffixes.join(classes, "key"))
     mixed = shared.where("mixed").select("key", "around", "doc", "pos")
     kinds = mixed.groupBy("key", "around").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "pos")).alias("at"))
@@ -255,7 +256,8 @@ def _marks(docs: DataFrame) -> DataFrame:
             )
 
     contexts = (
-        with_small(docs.select("doc", "text"), wanted, "doc", F.size("wanted") * 28 + 40, "inner")
+        docs.select("doc", "text")
+        .join(wanted, "doc")
         .select("text", "wanted")
         .mapInArrow(cut, "key bigint, around bigint, copies bigint, before binary, after binary")
     )
@@ -298,7 +300,7 @@ def remove_repeats(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the columns in ``more``, n_bytes, spans (start, end) removed, kept (the bytes left) of every row."""
     own = documents(docs, *more).withColumn("doc", F.xxhash64("doc_id", "text"))
     marks = _marks(own)
-    joined = with_small(own, marks, "doc", F.size("marks") * 32 + 40)
+    joined = own.join(marks, "doc", "left")
     names = ["doc_id", *more]
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names)
 
