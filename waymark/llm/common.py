@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of statistics that a join may send whole to every executor.
+SMALL = 10_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -50,6 +54,14 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def joined_small(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join with a settled table of statistics, sent to every executor if it has at most ``SMALL`` rows.
+
+    Beyond that both sides are shuffled, and adaptive execution splits hot keys.
+    """
+    return left.join(F.broadcast(right) if right.count() <= SMALL else right, on, how)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node it reaches.
 
