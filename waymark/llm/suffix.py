@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import documents, settle
+from waymark.llm.common import documents, may_have, settle
 
 LENGTH = 400
 WINDOW = 128
@@ -256,7 +256,8 @@ def _marks(docs: DataFrame) -> DataFrame:
             )
 
     contexts = (
-        docs.select("doc", "text")
+        may_have(docs.select("doc", "text"), "doc", wanted)
+        .where("maybe")
         .join(wanted, "doc")
         .select("text", "wanted")
         .mapInArrow(cut, "key bigint, around bigint, copies bigint, before binary, after binary")
@@ -300,7 +301,9 @@ def remove_repeats(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the columns in ``more``, n_bytes, spans (start, end) removed, kept (the bytes left) of every row."""
     own = documents(docs, *more).withColumn("doc", F.xxhash64("doc_id", "text"))
     marks = _marks(own)
-    joined = own.join(marks, "doc", "left")
+    apart = may_have(own, "doc", marks)
+    unmarked = apart.where("not maybe").withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType))
+    joined = apart.where("maybe").join(marks, "doc", "left").select(unmarked.columns).unionByName(unmarked)
     names = ["doc_id", *more]
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names)
 
