@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import lm, media, mixing, packing, quality, simhash, suffix
+from waymark.llm import langid, lm, media, mixing, packing, quality, simhash, suffix, toxicity
 from waymark.llm.common import documents, shared_path
 
 
@@ -62,6 +62,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -74,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix": op5_suffix,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
+        "op8_langid": op8_langid,
+        "op9_toxicity": op9_toxicity,
         "op10_lm": op10_lm,
     }
 
