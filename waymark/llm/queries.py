@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import langid, lm, media, mixing, packing, quality, simhash, suffix, toxicity
+from waymark.llm import chat, langid, lm, media, mixing, packing, quality, simhash, suffix, toxicity
 from waymark.llm.common import documents, shared_path
 
 
@@ -41,6 +41,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    found = chat.read_back(*chat.format_tree(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.encode(turns, "UTF-8"), 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"),
+        F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(
@@ -80,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_media": op2_media,
         "op3_packing": op3_packing,
+        "op4_chat": op4_chat,
         "op5_suffix": op5_suffix,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
