@@ -174,7 +174,8 @@ def judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
     joined = joined_small(measured, cuts, "stratum")
     none = F.array(*[F.lit(-1)] * len(RULES))
     rejected = F.exists(F.zip_with("reached", F.coalesce("cut", none), lambda a, c: a <= c), lambda x: x)
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("cut")
+    # one condition, so that no part of it is pushed below, where it would measure texts again
+    return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~rejected)).drop("cut")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept. Measures are made anew rather than joined to the texts."""
-    cuts = settle(cutoffs(measures(docs), labels))
+    cuts = settle(cutoffs(settle(measures(docs).select("doc_id", "stratum", "reached")), labels))
     names = docs.columns
     row = docs.withColumn("__row", F.struct(*names))
     return judged(measures(row, "__row"), cuts).where("kept").select("__row.*")

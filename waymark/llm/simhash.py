@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import components, documents, settle
+from waymark.llm.common import components, documents, may_have, settle
 
 RADIUS = 2
 #: Rows of one pair of blocks beyond which the other bits are used too.
@@ -209,11 +209,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest id of their group, with all their columns.
+    """The documents with the smallest id of their group, with all their columns.
 
-    Rows that share one doc_id are one document: one of them stays.
+    Rows that share one doc_id are one document, and one of them stays; rows without
+    doc_id can't be named, and stay. Only texts that may have to go are shuffled.
     """
-    groups = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    groups = settle(groups)
-    kept = docs.join(groups.select("doc_id"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if groups.where("rows > 1").limit(1).count() else kept
+    groups = settle(near_duplicates(docs).where("doc_id is not null").select("doc_id", F.expr("doc_id <> component_id").alias("gone")))
+    gone = settle(groups.where("gone").select("doc_id").distinct())
+    apart = may_have(docs, "doc_id", gone)
+    kept = apart.where("maybe").drop("maybe").join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(apart.where("not maybe").drop("maybe"))
+    twice = settle(groups.where("not gone").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if not twice.limit(1).count():
+        return kept
+    single = may_have(kept, "doc_id", twice)
+    return single.where("not maybe").drop("maybe").unionByName(single.where("maybe").drop("maybe").dropDuplicates(["doc_id"]))

@@ -297,8 +297,12 @@ def spans(size: int, marks: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, the columns in ``more``, n_bytes, spans (start, end) removed, kept (the bytes left) of every row."""
+def remove_repeats(docs: DataFrame, *more: str, as_text: bool = False) -> DataFrame:
+    """doc_id, the columns in ``more``, n_bytes, spans (start, end) removed, kept (the bytes left) of every row.
+
+    With ``as_text`` a column text holds what is left instead; characters that a cut
+    broke are left out of it.
+    """
     own = documents(docs, *more).withColumn("doc", F.xxhash64("doc_id", "text"))
     marks = _marks(own)
     apart = may_have(own, "doc", marks)
@@ -307,6 +311,8 @@ def remove_repeats(docs: DataFrame, *more: str) -> DataFrame:
     names = ["doc_id", *more]
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names)
 
+    last = "text" if as_text else "kept"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, cuts, kept = [], [], []
@@ -319,11 +325,12 @@ def remove_repeats(docs: DataFrame, *more: str) -> DataFrame:
                 for s, e in runs:
                     parts.append(text[at:s])
                     at = e
-                kept.append(b"".join([*parts, text[at:]]))
+                left = b"".join([*parts, text[at:]])
+                kept.append(left.decode(errors="ignore") if as_text else left)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [*(b[c] for c in names), pa.array(size, pa.int64()), pa.array(cuts, kind), pa.array(kept, pa.binary())],
-                [*names, "n_bytes", "spans", "kept"],
+                [*(b[c] for c in names), pa.array(size, pa.int64()), pa.array(cuts, kind), pa.array(kept, pa.string() if as_text else pa.binary())],
+                [*names, "n_bytes", "spans", last],
             )
 
-    return joined.select(*names, "text", "marks").mapInArrow(run, f"{schema}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return joined.select(*names, "text", "marks").mapInArrow(run, f"{schema}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, {last} {'string' if as_text else 'binary'}")
