@@ -43,7 +43,14 @@ def reading(front: DataFrame, rows: DataFrame, wild: bool) -> DataFrame:
 
 
 def has_wildcards(rows: DataFrame, front: DataFrame) -> bool:
-    return bool(rows.where("endswith(table, '*')").limit(1).count() or front.where("endswith(short, '*')").limit(1).count())
+    one = F.lit(1).alias("one")
+    return not rows.where("endswith(table, '*')").select(one).unionByName(front.where("endswith(short, '*')").select(one)).isEmpty()
+
+
+def merged(seen: DataFrame, front: DataFrame, rounds: int) -> DataFrame:
+    """``seen`` and a settled ``front``; every eighth round they are settled as one, which keeps plans short."""
+    both = seen.unionByName(front)
+    return settle(both) if rounds % 8 == 0 else both
 
 
 def column_start(asked: DataFrame) -> DataFrame:
@@ -72,7 +79,7 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
     front, steps, cut = nodes, [], None
     listed = known.select(F.col("key").alias("k_key"), F.upper("column").alias("k_column")).distinct() if known is not None else None
     for hop in range(1, most_rounds + 1):
-        if not front.limit(1).count():
+        if front.isEmpty():
             break
         there = reading(front, flows.select("stmt", "file", "table", "s_short", "s_ds", "column", "out", "how", "without", "certain", "star", "target", "t_short", "t_ds"), stars)
         there = there.where(_carries(F.col("column"), F.col("without"), F.col("key")))
@@ -97,7 +104,7 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
         first = Window.partitionBy("root", "short", "ds", "key").orderBy("inferred", F.desc("sure"), "at_table", "at_column")
         fresh = onward.withColumn("n", F.row_number().over(first)).where("n = 1").select(nodes.columns)
         front = settle(fresh.join(nodes.select("root", "short", "ds", "key"), ["root", "short", "ds", "key"], "left_anti").select(nodes.columns))
-        nodes = settle(nodes.unionByName(front))
+        nodes = merged(nodes, front, hop)
     else:
         cut = front.select("root", F.col("at_table").alias("table"), F.col("at_column").alias("column"))
     every = reduce(DataFrame.unionByName, steps) if steps else None
@@ -148,10 +155,12 @@ def upstream_of(steps: DataFrame, ends: DataFrame) -> DataFrame:
     edges = settle(steps.select("root", "from_short", "from_key", "short", "key").distinct())
     seen = settle(edges.join(ends, "short").select("root", F.col("short").alias("end"), "short", "key").distinct())
     front = seen
-    while front.limit(1).count():
+    rounds = 0
+    while not front.isEmpty():
+        rounds += 1
         back = front.join(edges, ["root", "short", "key"]).select("root", "end", F.col("from_short").alias("short"), F.col("from_key").alias("key")).distinct()
         front = settle(back.join(seen, ["root", "end", "short", "key"], "left_anti"))
-        seen = settle(seen.unionByName(front))
+        seen = merged(seen, front, rounds)
     return seen
 
 
@@ -197,7 +206,7 @@ def walk_tables(edges: DataFrame, tables: DataFrame, max_hops: int = 0) -> tuple
     wild = has_wildcards(edges, start)
     nodes = front = settle(start)
     found, hop = [], 0
-    while front.limit(1).count() and not (max_hops and hop >= max_hops):
+    while not front.isEmpty() and not (max_hops and hop >= max_hops):
         hop += 1
         hit = settle(reading(front, edges, wild))
         joined = F.lower("sql").contains("join")
@@ -207,7 +216,7 @@ def walk_tables(edges: DataFrame, tables: DataFrame, max_hops: int = 0) -> tuple
         new = hit.where("target <> ''").select("root", F.col("t_short").alias("short"), F.col("t_ds").alias("ds"), F.col("target").alias("at_table"), F.lit(hop).alias("hop"))
         new = new.dropDuplicates(["root", "short", "ds"]).join(nodes.select("root", "short", "ds"), ["root", "short", "ds"], "left_anti")
         front = settle(new.select(nodes.columns))
-        nodes = settle(nodes.unionByName(front))
+        nodes = merged(nodes, front, hop)
     readers = reduce(DataFrame.unionByName, found) if found else None
     if readers is None:
         readers = start.where("false").select("root", F.lit("").alias("stmt"), F.lit("").alias("file"), F.col("at_table").alias("table"), "hop", F.lit("").alias("role"), F.lit("").alias("target"), F.lit("").alias("by"))
@@ -226,7 +235,9 @@ def stops_loading(edges: DataFrame, broken: DataFrame, published: Column, groups
     front = seen = settle(start.withColumn("via", F.array("at_table")))
     links = edges.where("target <> ''").select(F.col("s_short").alias("short"), F.col("t_short").alias("next"), F.col("target").alias("next_table")).distinct()
     capped = False
-    while front.limit(1).count():
+    rounds = 0
+    while not front.isEmpty():
+        rounds += 1
         if seen.count() > most:
             capped = True
             break
@@ -234,7 +245,7 @@ def stops_loading(edges: DataFrame, broken: DataFrame, published: Column, groups
         new = new.groupBy("next").agg(F.min(F.struct(F.size("via").alias("n"), F.array_join("via", ">").alias("k"), "via", "because", "next_table")).alias("x"))
         new = new.select(F.col("next").alias("short"), F.col("x.next_table").alias("at_table"), F.col("x.because").alias("because"), F.concat("x.via", F.array("x.next_table")).alias("via"))
         front = settle(new.join(seen, "short", "left_anti").select(seen.columns))
-        seen = settle(seen.unionByName(front))
+        seen = merged(seen, front, rounds)
     found = seen.join(groups, "short", "left_anti").select(F.col("at_table").alias("table"), "via", "because")
     return found.where(published), capped
 
