@@ -31,7 +31,7 @@ from waymark.llm.common import documents, settle
 
 CAPACITY = 2048
 #: About so many pieces are ranked in one bucket of one length.
-RANKED = 100_000
+RANKED = 4096
 
 Plan = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -175,10 +175,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Plan, int]:
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", ids: bool = False) -> DataFrame:
     """The pieces of all documents with sequence_id and offset; offsets leave no gaps."""
     cut = settle(pieces(docs, capacity, vocabulary, ids))
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    made, _ = plan(counts, capacity)
-    buckets = sum(counts.values()) // RANKED + 1
-    bucket = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    lengths = settle(cut.groupBy("length").agg(F.count("*").alias("n")))  # at most ``capacity`` rows
+    made, _ = plan({r["length"]: r["n"] for r in lengths.collect()}, capacity)
+    buckets = lengths.select("length", (F.floor(F.col("n") / RANKED) + 1).alias("buckets"))
+    hashed = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")).cast("int")
+    bucket = cut.join(F.broadcast(buckets), "length").select(*cut.columns, hashed.alias("bucket"))
     before = bucket.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = before.select(
         "length", "bucket",
