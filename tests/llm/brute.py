@@ -53,3 +53,40 @@ def near_components(rows, radius=2):
         r = find(f)
         best[r] = min([best.get(r, 1 << 62), *rep[f]])
     return [best[find(f)] for _, f in rows]
+
+
+def fewest_bins(items, capacity):
+    items = sorted(items, reverse=True)
+    best = [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        seen = set()
+        for k in range(len(bins)):
+            if bins[k] + items[i] <= capacity and bins[k] not in seen:
+                seen.add(bins[k])
+                bins[k] += items[i]
+                go(i + 1, bins)
+                bins[k] -= items[i]
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def quality(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    n = Counter(grams)
+    inside = {j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + 5)}
+    failed = len(words) < 10 or 100 * len(inside) > 20 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside), failed
