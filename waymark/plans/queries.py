@@ -321,8 +321,13 @@ def stops_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("table", F.array_join("via", " > ").alias("via"), "because")
 
 
-STOPS_SQL = """
-SELECT 'N' || n_nationkey AS "table", 'R' || n_regionkey || ' > N' || n_nationkey AS via, 's' || (n_regionkey - 1) AS because FROM nation WHERE n_regionkey IN (2, 3) AND n_nationkey <> 0
+STOPS_SQL = f"""
+WITH RECURSIVE {_GEOGRAPHY_SQL}, w(node, via, because, hop) AS (
+  SELECT n, n, s, 0 FROM (VALUES ('R2', 's1'), ('R3', 's2')) t(n, s)
+  UNION ALL SELECT e.b, w.via || ' > ' || e.b, w.because, w.hop + 1 FROM w JOIN edges e ON e.a = w.node
+  WHERE w.hop < 6 AND left(e.b, 1) IN ('R', 'N') AND NOT contains(w.via || ' > ', e.b || ' > '))
+SELECT node AS "table", arg_min(via, (hop, replace(via, ' > ', '>'))) AS via, arg_min(because, (hop, replace(via, ' > ', '>'))) AS because
+FROM w WHERE node LIKE 'N%' AND node <> 'N0' GROUP BY node
 """
 
 
