@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import settle
+from waymark.llm.common import settle, slices
 from waymark.llm.packing import encoder
 
 ASSISTANT = "assistant"
@@ -89,7 +89,7 @@ def sorted_conversations(rows: DataFrame) -> DataFrame:
     gathered = rows.groupBy(F.col("conv_id").cast("bigint").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys = [b"".join(digest(t["role"], t["text"]) for t in turns) for turns in b["turns"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["conv_id"], b["turns"], pa.array(keys, pa.binary())], ["conv_id", "turns", "key"])
 
@@ -106,7 +106,7 @@ def _emit(before: dict[int, bytes], stacks: dict[int, list[tuple[int, int, int]]
         last: bytes | None = None
         stack: list[tuple[int, int, int]] = []
         at = line = 0
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for shard, conv, key, turns in zip(*(b[c].to_pylist() for c in ("shard", "conv_id", "key", "turns"))):
                 if encode is None:
@@ -191,7 +191,7 @@ def read_back(nodes: DataFrame, conversations: DataFrame, vocabulary: str = "byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = None
-        for b in batches:
+        for b in slices(batches):
             decode = decode or encoder(vocabulary).__self__.decode
             formatted, turns, loss = [], [], []
             for nodes in b["parts"].to_pylist():

@@ -2,47 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.shared import settle, shared_dir, shared_path  # noqa: F401  the operators take them from here
+
 #: Rows of statistics that a join may send whole to every executor.
 SMALL = 10_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    A folder of our own is made only where the setting is absent and the whole of Spark
-    runs on this machine; elsewhere the absence is an error.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc.getCheckpointDir()
-    if not named and not current:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-        named = "file://" + tempfile.mkdtemp(prefix="waymark-")
-    if current is None:
-        sc.setCheckpointDir(named)
-    return (named or current).rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path of its own under the shared folder."""
-    return f"{shared_dir(spark)}/waymark-{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and cut its lineage there.
-
-    Spark removes the files when the frame is no longer referenced (where
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set).
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a worker makes of them stays small too."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import documents
+from waymark.llm.common import documents, slices
 
 DIMENSIONS = 1024
 LETTERS = 62
@@ -56,7 +56,7 @@ def frequent_letters(docs: DataFrame, letters: int = LETTERS) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0x110000, dtype=np.int64)
-        for b in batches:
+        for b in slices(batches):
             for text in b["text"].to_pylist():
                 for at in range(0, len(text), PIECE):
                     points = code_points(text[at : at + PIECE])
@@ -114,7 +114,7 @@ def prototypes(train: DataFrame, table: np.ndarray) -> tuple[list[str], np.ndarr
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(counts[gram])], ["lang", "gram", "n"])
 
         held: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist()):
                 for grams in trigrams(text, table):
                     if lang not in held:
@@ -149,7 +149,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, langs, known = sent.value
-        for b in batches:
+        for b in slices(batches):
             texts = b["text"].to_pylist()
             pred, score, margin = [], [], []
             for at in range(0, len(texts), TOGETHER):

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from waymark.llm.common import slices
+
 WIDTH = 576
 PAD = b"\xff"
 MANIFEST = "_manifest.json"
@@ -110,7 +112,7 @@ def write_media(rows: DataFrame, folder: str, archive_bytes: int = 256 << 20) ->
             out.close()
             made.append((name, system.get_file_info(f"{root}/{name}").size))
 
-        for b in batches:
+        for b in slices(batches):
             for member, payload in zip(b["member"].to_pylist(), b["payload"].to_pylist()):
                 if archive is None:
                     name = f"{uuid.uuid4().hex}.zip"

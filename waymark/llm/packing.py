@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import documents, settle
+from waymark.llm.common import documents, settle, slices
 
 CAPACITY = 2048
 #: About so many pieces are ranked in one bucket of one length.
-RANKED = 4096
+RANKED = 512
 
 Plan = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
-        for b in batches:
+        for b in slices(batches):
             encode = encode or encoder(vocabulary)
             out: list[tuple] = []
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_
     ranked = ranked.select(*cut.columns, (F.col("before") + F.col("rank") - 1).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             length, rank = b["length"].to_numpy(), b["rank"].to_numpy()
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for x in np.unique(length).tolist():

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import components, documents, may_have, settle
+from waymark.llm.common import components, documents, may_have, settle, slices
 
 RADIUS = 2
 #: Rows of one pair of blocks beyond which the other bits are used too.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every document; fp is the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t.encode()) for t in b["text"].to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import documents, may_have, settle
+from waymark.llm.common import documents, may_have, settle, slices
 
 LENGTH = 400
 WINDOW = 128
@@ -101,7 +101,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for b in batches:
+        for b in slices(batches):
             keys: list[int] = []
             around: list[int] = []
             pos, doc = [], []
@@ -207,7 +207,7 @@ def _by_strings(contexts: DataFrame) -> DataFrame:
     """As ``_merge``, by counting hashes of the strings: for classes too large for one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple[int, int, int, int, int]] = []
             for key, around, copies, x, y in zip(*(b[c].to_pylist() for c in ("key", "around", "copies", "before", "after"))):
                 for o in range(max(0, SIDE - len(y)), min(SIDE, len(x)) + 1):
@@ -223,7 +223,7 @@ def _by_strings(contexts: DataFrame) -> DataFrame:
     found = strings.join(often, ["key", "o", "string"], "left_semi").groupBy("key", "around").agg(F.collect_set("o").alias("os"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             bits = np.zeros((b.num_rows, WINDOW), dtype=bool)
             for k, os in enumerate(b["os"].to_pylist()):
                 bits[k, os] = True
@@ -245,7 +245,7 @@ def _marks(docs: DataFrame) -> DataFrame:
     wanted = settle(kinds.groupBy("at.doc").agg(F.collect_list(F.struct("at.pos", "key", "around", "copies")).alias("wanted")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple[int, int, int, bytes, bytes]] = []
             for text, wanted in zip(b["text"].to_pylist(), b["wanted"].to_pylist()):
                 text = text.encode()
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, *more: str, as_text: bool = False) -> DataFr
     last = "text" if as_text else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             size, cuts, kept = [], [], []
             for text, found in zip(b["text"].to_pylist(), b["marks"].to_pylist()):
                 text = text.encode()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import documents
+from waymark.llm.common import documents, slices
 
 SAMPLE = 3000
 LONGEST = 4000
@@ -61,7 +61,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[list[str]
     texts = documents(docs).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out, left = [], 0
             for text in b["text"].to_pylist():
                 parts, left = [], LONGEST
@@ -143,7 +143,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         whole = {w: x for w, x in weights.items() if not w.endswith("*")}
         four, five = ({w[:-1]: x for w, x in weights.items() if w.endswith("*") and len(w) == n} for n in (5, 6))
         none = float(np.logaddexp(0, bias))
-        for b in batches:
+        for b in slices(batches):
             scores, spans = [], []
             for text in b["text"].to_pylist():
                 free, found = 0.0, []
