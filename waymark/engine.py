@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import names
 from waymark.functions.shared import settle
-from waymark.operators import catalog, lineage, published, usages
+from waymark.operators import catalog, lineage, published, references, usages
 from waymark.plans.tables import Tables, read_tables
 from waymark.sources.files import Tree, from_rows, read_archive, read_tree
 
@@ -41,6 +41,7 @@ class Scan:
     attributes: DataFrame
     mentions: DataFrame
     feeds: DataFrame
+    notes: DataFrame
     cut: DataFrame
     stats: dict[str, int]
     coverage: dict
@@ -62,6 +63,22 @@ class Repo:
         seen = self.edges.select("table").unionByName(t.statements.where("target <> ''").select(F.col("target").alias("table")))
         return seen.where(~names.is_fenced(F.col("table"))).distinct()
 
+    def sql_files(self) -> tuple[DataFrame, DataFrame]:
+        """Files of SQL that programs name: those found, and those missing."""
+        return references.sql_files(self.tables.refs, self.tables.files)
+
+    def summary(self) -> DataFrame:
+        """(what, ext, files): how many files of each type were read, and how many weren't, by reason."""
+        read = self.tables.files.groupBy("ext").agg(F.count("*").alias("files")).select(F.lit("read").alias("what"), "ext", "files")
+        return read.unionByName(self.tables.unread.groupBy(F.col("kind").alias("what"), "ext").agg(F.count("*").alias("files"))).orderBy("what", F.desc("files"), "ext")
+
+    def snippets(self, findings: DataFrame) -> DataFrame:
+        """(stmt, key, at, lines): the line each finding stands on, and the lines about it."""
+        spans = self.tables.statements.select("stmt", F.col("line").alias("first"), "line_end")
+        joined = findings.select("stmt", "file", "column", "key", "kind").join(spans, "stmt").join(self.tables.files.select("file", "text"), "file")
+        placed = joined.withColumn("place", usages.locate(F.col("text"), F.col("column"), F.col("kind"), F.col("first"), F.col("line_end")))
+        return placed.select("stmt", "key", (F.col("place") + 1).alias("at"), usages.snippet(F.col("text"), F.col("place")).alias("lines"))
+
     def search(self, words: list[str]) -> DataFrame:
         """(file, line_no, line, name): whole-word hits in the text of files."""
         return word_hits(self.tables.files, words)
@@ -125,20 +142,35 @@ class Repo:
             "productionTables": prod, "tablesReached": reached, "intermediateTables": reached.where("how = ''"), "attributesImpacted": attributes.where("found"),
             "couldNotRead": t.problems.select("file").distinct(), "neverOpened": t.unread.where("kind in ('too_long', 'not_text')"), "unknown_types": t.unread.where("kind = 'unknown_type'"),
             "passed_by": t.unread.where("kind = 'skipped_folder'"), "tablesNotVisible": self.gaps.join(reached.select(F.col("at_table").alias("table")), "table", "left_semi"),
-            "trailsCutShort": cut, "productionStopsLoading": stops, "feedsBroken": feeds.where("breaking"), "unread_here": trouble.select("file").distinct(),
+            "missing_sql": self.sql_files()[1].select("ref").distinct(), "trailsCutShort": cut, "productionStopsLoading": stops, "feedsBroken": feeds.where("breaking"), "unread_here": trouble.select("file").distinct(),
             "referred": referred, "matched": hits.select("file").distinct(), "ambiguous": catalog.ambiguous(t).where("ambiguous"),
         })
         level = lineage.risk(counts["n"], counts["fix"], counts["breaking"], n["unread_here"] > 0, n["referred"] > 0, n["unknown_types"] > 0)
         stats = {
-            **{k: v for k, v in n.items() if k not in ("unknown_types", "passed_by", "unread_here", "referred", "matched", "ambiguous")},
+            **{k: v for k, v in n.items() if k not in ("unknown_types", "passed_by", "unread_here", "referred", "matched", "ambiguous", "missing_sql")},
             "wholeTables": sum(a.whole for a in asks), "filesWithImpact": counts["files"], "breakingUsages": counts["breaking"], "inferredFindings": counts["inferred"],
         }
+        stated = asked.select("table").unionByName(whole).distinct().select("table", names.short(F.col("table")).alias("key"))
+        unknown = [r["table"] for r in stated.join(self.table_names().select(names.short(F.col("table")).alias("key")), "key", "left_anti").collect()]
         return Scan(
             findings=found, nodes=nodes, steps=steps, groups=groups, reached=reached, stops=stops, branches=branches, attributes=attributes, mentions=mentions,
-            feeds=feeds, cut=cut, stats=stats, coverage=_coverage(n | stats, counts["uncertain"]), risk=level, change=change,
-            warnings=[w for w, on in (("more paths than are listed", many), ("more tables than are followed stop loading", capped)) if on],
+            feeds=feeds, notes=self._notes(nodes, found), cut=cut, stats=stats, coverage=_coverage(n | stats, counts["uncertain"]), risk=level, change=change,
+            warnings=[f"no code names a table {x}" for x in sorted(unknown)] + [w for w, on in (("more paths than are listed", many), ("more tables than are followed stop loading", capped)) if on],
         )
 
+    def _notes(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
+        """(kind, table, detail): what to know about tables and statements on the trail."""
+        t = self.tables
+        trail = nodes.select("short").distinct()
+        stars = t.flows.where("column = '*'").select("t_short", "target", "s_short").distinct().join(trail, F.col("s_short") == F.col("short"))
+        listed = self.catalog.select(F.col("key").alias("t_short")).distinct().withColumn("listed", F.lit("its columns are known"))
+        starred = stars.join(listed, "t_short", "left").select(F.lit("takes every column").alias("kind"), F.col("target").alias("table"), F.coalesce("listed", F.lit("its columns are listed nowhere")).alias("detail"))
+        forks = catalog.rebuilt(t).join(trail, F.col("key") == F.col("short")).select(F.lit("built in several files").alias("kind"), F.col("key").alias("table"), F.array_join("files", ", ").alias("detail"))
+        several = catalog.ambiguous(t).where("ambiguous").join(trail, F.col("key") == F.col("short")).select(F.lit("stands for several tables").alias("kind"), F.col("key").alias("table"), F.array_join("datasets", ", ").alias("detail"))
+        how = F.when(F.col("as_text"), "written as text that is run").when(F.col("named_by") == "file", "named after its file").when(F.col("named_by") == "program", "named by the program around it").when(F.col("named_by") == "several", "its program writes several tables")
+        odd = found.select(how.alias("kind"), F.col("target").alias("table"), F.col("file").alias("detail")).where("kind is not null")
+        return starred.unionByName(forks).unionByName(several).unionByName(odd).distinct()
+
     def _table_steps(self, readers: DataFrame) -> DataFrame:
         star = F.lit("*")
         return readers.where("target <> ''").select("root", names.short(F.col("table")).alias("from_short"), star.alias("from_key"), names.short(F.col("target")).alias("short"), star.alias("key")).distinct()
@@ -182,6 +214,7 @@ def _coverage(n: dict[str, int], uncertain: int) -> dict:
     gaps = [
         (n["couldNotRead"], "file that could not be read in full", "files that could not be read in full"),
         (n["neverOpened"], "file that was not opened", "files that were not opened"),
+        (n["missing_sql"], "SQL file that a program runs and that isn't here", "SQL files that programs run and that aren't here"),
         (n["tablesNotVisible"], "table on the way whose columns are listed nowhere", "tables on the way whose columns are listed nowhere"),
         (n["trailsCutShort"], "trail that went on beyond the step limit", "trails that went on beyond the step limit"),
         (n["inferredFindings"], "finding behind such a table", "findings behind such tables"),

@@ -36,12 +36,20 @@ def reading(front: DataFrame, rows: DataFrame, wild: bool) -> DataFrame:
     shown = F.when(F.col("ds") != "", F.concat_ws(".", "ds", "short")).otherwise(F.col("short"))
     covered = front.join(patterns, F.expr("startswith(short, regexp_replace(s_short, '_*[*]$', ''))"))
     covered = covered.withColumn("by", names.wildcard(F.col("table"), shown)).where("by <> '' and not startswith(ds, '#')")
+    if "conditions" in rows.columns:  # shards that the statement leaves out by its literals aren't read
+        suffix = F.expr("substring(short, length(regexp_replace(s_short, '[*]$', '')) + 1)")
+        read = names.suffix_verdict(suffix, F.coalesce("conditions", F.array().cast("array<struct<op: string, value: string>>"))) == "reads"
+        covered = covered.where((F.col("by") == "family") | read)
     asked = front.where("endswith(short, '*')")
     named = asked.join(rows.where("not endswith(table, '*')"), F.expr("startswith(s_short, regexp_replace(short, '_*[*]$', ''))"))
     named = named.withColumn("by", names.wildcard(shown, F.col("table"))).where("by <> '' and not startswith(s_ds, '#')")
     return plain.unionByName(covered).unionByName(named)
 
 
+def _conditions(rows: DataFrame) -> list[str]:
+    return ["conditions"] if "conditions" in rows.columns else []
+
+
 def has_wildcards(rows: DataFrame, front: DataFrame) -> bool:
     one = F.lit(1).alias("one")
     return not rows.where("endswith(table, '*')").select(one).unionByName(front.where("endswith(short, '*')").select(one)).isEmpty()
@@ -81,7 +89,7 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
     for hop in range(1, most_rounds + 1):
         if front.isEmpty():
             break
-        there = reading(front, flows.select("stmt", "file", "table", "s_short", "s_ds", "column", "out", "how", "without", "certain", "star", "target", "t_short", "t_ds"), stars)
+        there = reading(front, flows.select("stmt", "file", "table", "s_short", "s_ds", "column", "out", "how", "without", "certain", "star", "target", "t_short", "t_ds", *_conditions(flows)), stars)
         there = there.where(_carries(F.col("column"), F.col("without"), F.col("key")))
         new_column = F.when(F.col("column") == "*", F.col("at_column")).otherwise(F.col("out"))
         onward = there.withColumn("to_column", new_column).withColumn("to_key", F.upper("to_column"))
@@ -126,7 +134,7 @@ def _no_steps(nodes: DataFrame) -> DataFrame:
 def findings(nodes: DataFrame, uses: DataFrame, statements: DataFrame, change: str) -> DataFrame:
     """One row for each statement and column it uses on the trail, headed by its most telling use."""
     wild = has_wildcards(uses, nodes)
-    hit = reading(nodes, uses.select("stmt", "table", "s_short", "s_ds", "column", "kind", "alias", "detail", "certain", "via_star", "line"), wild)
+    hit = reading(nodes, uses.select("stmt", "table", "s_short", "s_ds", "column", "kind", "alias", "detail", "certain", "via_star", "line", *_conditions(uses)), wild)
     named = F.upper("column") == F.col("key")
     hit = hit.where(named | (F.col("column") == "*") & ~F.array_contains(F.split("detail", ","), F.col("key")))
     hit = hit.withColumn("certain", F.col("certain") & F.col("by").isin("name", "shard", "both")).withColumn("detail", F.when(F.col("column") == "*", "").otherwise(F.col("detail")))
@@ -192,6 +200,15 @@ def longest_only(branches: DataFrame) -> DataFrame:
     return branches.join(prefixes, ["root", "path"], "left_anti").withColumn("hops", F.size("path") - 1)
 
 
+def tree_of(branches: DataFrame) -> DataFrame:
+    """(root, depth, parent, node, leaf): the tree that branches make when their common beginnings are one."""
+    at = F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))
+    steps = branches.select("root", F.size("path").alias("n"), F.posexplode(at).alias("depth", "prefix"))
+    joined = F.array_join("prefix", " > ")
+    above = F.array_join(F.slice("prefix", 1, F.size("prefix") - 1), " > ")
+    return steps.groupBy("root", "depth", above.alias("parent"), joined.alias("node")).agg(F.max(F.col("depth") == F.col("n") - 1).alias("leaf"))
+
+
 def table_edges(statements: DataFrame) -> DataFrame:
     """(stmt, file, table, s_short, s_ds, target, t_short, t_ds): each table that a statement reads."""
     rows = statements.select("stmt", "file", "target", "t_short", "t_ds", "copied", "export_uri", "sql", F.explode("sources").alias("table"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waymark.engine import Ask, Engine, Repo, word_hits
 from waymark.functions import names, text
 from waymark.operators import history, lineage, published, usages
-from waymark.sources.files import extension
+from waymark.sources.files import extension, from_rows
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 #: A warehouse of our own over the driver's tables.
@@ -112,6 +112,23 @@ SELECT * FROM (VALUES ('raw.nation', 0, 'n_nationkey', false), ('raw.nation', 1,
 """
 
 
+def lineage_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A warehouse of one file for each part, each table built from another one: read, catalogued and scanned."""
+    p = F.col("p_partkey")
+    source = F.when(p == 1, F.lit("raw.root")).otherwise(F.concat(F.lit("stage.t_"), F.floor(p / 2)))
+    sql = F.concat(
+        F.lit("CREATE OR REPLACE TABLE stage.t_"), p, F.lit(" AS\nWITH x AS (\n  SELECT key, amount, CASE WHEN amount > "), p, F.lit(" THEN 'a' ELSE 'b' END AS size_class\n  FROM "), source,
+        F.lit(")\nSELECT x.key, x.amount, x.size_class, ROW_NUMBER() OVER (PARTITION BY x.key ORDER BY x.amount DESC) AS rn\nFROM x\nWHERE x.key IS NOT NULL"),
+    )
+    texts = read(spark, sf_dir, "part").select(F.concat(F.lit("sql/"), p % 100, F.lit("/t_"), p, F.lit(".sql")).alias("file"), sql.alias("text"))
+    repo = Engine(spark).read_all(from_rows(texts))
+    s = repo.scan([Ask("raw.root", ["key"])], published.parse_rule("t_*00"), "rename")
+    return s.findings.groupBy(F.col("hop").cast("bigint").alias("hop")).agg(F.count("*").alias("findings"), F.count_if("breaking").alias("breaking"), F.count_distinct("target").alias("tables"))
+
+
+WAREHOUSE_SQL = "SELECT floor(log2(p_partkey))::BIGINT AS hop, count(*) AS findings, count(*) AS breaking, count(DISTINCT p_partkey) AS tables FROM part WHERE p_partkey > 0 GROUP BY 1"
+
+
 # --- text and names -------------------------------------------------------------------
 
 def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,7 +467,7 @@ JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "lineage_shipdate": (lineage_shipdate, SHIPDATE_SQL), "lineage_groups": (lineage_groups, None), "lineage_branches": (lineage_branches, BRANCHES_SQL),
-    "lineage_whole_table": (lineage_whole_table, WHOLE_SQL), "lineage_stats": (lineage_stats, None), "catalog_columns": (catalog_columns, CATALOG_SQL),
+    "lineage_whole_table": (lineage_whole_table, WHOLE_SQL), "lineage_stats": (lineage_stats, None), "catalog_columns": (catalog_columns, CATALOG_SQL), "lineage_warehouse": (lineage_warehouse, WAREHOUSE_SQL),
     "word_search": (word_search, WORD_SQL), "mention_counts": (mention_counts, MENTION_SQL), "page_text": (page_text, PAGE_SQL), "name_parts": (name_parts, NAME_SQL),
     "same_tables": (same_tables, SAME_SQL), "shard_reads": (shard_reads, SHARD_SQL), "families": (families, FAMILY_SQL), "published_names": (published_names, PUBLISHED_SQL),
     "change_words": (change_words, CHANGE_SQL), "first_sentences": (first_sentences, SENTENCE_SQL), "page_types": (page_types, TYPES_SQL), "column_closure": (column_closure, CLOSURE_SQL),

@@ -180,14 +180,24 @@ def read_tables(tree: Tree, partitions: int | None = None) -> Tables:
         t = F.col(column)
         return df.withColumns({f"{prefix}_short": names.short(t), f"{prefix}_ds": F.when(names.is_fenced(t), F.upper(t)).otherwise(names.dataset(t))})
 
+    shards = exploded("shards")
+    told = settle(shards.groupBy("stmt", "table").agg(F.collect_list(F.struct("op", "value")).alias("conditions")))
+    some = not told.isEmpty()
+
+    def pruned(df: DataFrame) -> DataFrame:
+        """With the literal conditions on the shards that a statement reads, for wildcard tables."""
+        if some:
+            return df.join(told, ["stmt", "table"], "left").select(*df.columns, "conditions")
+        return df.withColumn("conditions", F.lit(None).cast(told.schema["conditions"].dataType))
+
     statements = keyed(flat.drop("uses", "flows", "columns", "mentions", "shards"), "target", "t")
     flows = exploded("flows", F.col("target"), F.col("temp"), F.col("copied")).where("target <> ''")
     return Tables(
         files=files, unread=tree.unread, statements=statements,
-        uses=keyed(exploded("uses"), "table", "s"),
-        flows=keyed(keyed(flows, "table", "s"), "target", "t"),
+        uses=pruned(keyed(exploded("uses"), "table", "s")),
+        flows=pruned(keyed(keyed(flows, "table", "s"), "target", "t")),
         columns=exploded("columns", F.col("target"), F.col("kind")).where("target <> ''"),
-        mentions=exploded("mentions"), shards=exploded("shards"),
+        mentions=exploded("mentions"), shards=shards,
         problems=parsed.select("file", F.explode("problems").alias("x")).select("file", "x.*"),
         refs=parsed.select("file", F.explode("refs").alias("x")).select("file", "x.*"),
         calls=flat.select("file", F.explode("calls").alias("called")).unionByName(flat.where("defines <> ''").select("file", F.concat(F.lit("="), "defines").alias("called"))),

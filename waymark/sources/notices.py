@@ -52,6 +52,11 @@ def read_pasted(pasted: str) -> dict:
     return {"subject": head.get("subject", ""), "body": "\n".join(lines[at:]).strip(), "from_name": name, "from_email": address, "sent": head.get("sent", head.get("date", "")), "attachments": [], "source_kind": "pasted"}
 
 
+def read_upload(name: str, raw: bytes) -> dict:
+    """A mail file by its ending, anything else as pasted text."""
+    return read_mail(raw) if name.lower().endswith(".eml") else read_pasted(raw.decode("utf-8", errors="replace"))
+
+
 def signature(body: str) -> tuple[str, str]:
     """(person, team) who sign a text, from its last eight lines, the lowest first."""
     lines = [x.strip(" ,;-–*\t") for x in _FORWARD.split(body)[0].strip().split("\n") if x.strip()]
