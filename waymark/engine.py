@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,27 +27,153 @@ class Ask:
     whole: bool = False
 
 
-@dataclass
 class Scan:
-    """An answer: frames, and the few numbers that head it."""
-
-    findings: DataFrame
-    nodes: DataFrame
-    steps: DataFrame
-    groups: DataFrame
-    reached: DataFrame
-    stops: DataFrame
-    branches: DataFrame
-    attributes: DataFrame
-    mentions: DataFrame
-    feeds: DataFrame
-    notes: DataFrame
-    cut: DataFrame
-    stats: dict[str, int]
-    coverage: dict
-    risk: str
-    change: str
-    warnings: list[str]
+    """An answer. Findings are made at once, everything else when it is first asked for."""
+
+    def __init__(self, repo: Repo, asks: list[Ask], rule: published.Rule, change: str, max_hops: int) -> None:
+        self.repo, self.asks, self.rule, self.change, self.max_hops = repo, asks, rule, change, max_hops
+        t = repo.tables
+        spark = t.statements.sparkSession
+        self.pairs = [(a.table, c) for a in asks for c in a.columns]
+        asked = spark.createDataFrame(self.pairs or [("", "")], "table string, column string").where("table <> ''")
+        self.start = lineage.column_start(asked.select(names.canonical(F.col("table")).alias("table"), "column"))
+        self.nodes, self.steps, self.cut = lineage.walk_columns(t.flows, self.start, repo.catalog, max_hops)
+        found = lineage.findings(self.nodes, t.uses, t.statements, change)
+        self.table_nodes = self.readers = None
+        if any(a.whole for a in asks):
+            whole = spark.createDataFrame([(a.table,) for a in asks if a.whole], "table string")
+            self.readers, self.table_nodes = lineage.walk_tables(repo.edges, whole.select(names.canonical(F.col("table")).alias("table")), max_hops)
+            found = found.unionByName(_whole(self.readers, t, change))
+        self.findings = settle(found)
+
+    @cached_property
+    def reached(self) -> DataFrame:
+        """(short, at_table, hop, how, kind): tables on the trail, and why they count as published."""
+        ends = self.nodes.where("hop > 0").select("short", "at_table", "hop")
+        if self.table_nodes is not None:
+            ends = ends.unionByName(self.table_nodes.where("hop > 0").select("short", "at_table", "hop"))
+        how = published.match(self.rule, F.col("at_table"))
+        told = ends.groupBy("short").agg(F.min("at_table").alias("at_table"), F.min("hop").alias("hop")).withColumn("how", how)
+        return settle(told.withColumn("kind", names.node_kind(F.col("at_table"), F.col("how") != "")))
+
+    @cached_property
+    def published(self) -> DataFrame:
+        return self.reached.where("how <> ''").select("short", F.col("at_table").alias("prod"), "how")
+
+    @cached_property
+    def led(self) -> DataFrame:
+        """(root, end, short, key, prod, how): what on the trail leads to which published table."""
+        steps = self.steps.select("root", "from_short", "from_key", "short", "key")
+        if self.readers is not None:
+            star = F.lit("*")
+            steps = steps.unionByName(self.readers.where("target <> ''").select("root", names.short(F.col("table")).alias("from_short"), star.alias("from_key"), names.short(F.col("target")).alias("short"), star.alias("key")))
+        up = lineage.upstream_of(steps, self.published.select("short"))
+        return settle(up.join(self.published.select(F.col("short").alias("end"), "prod", "how"), "end"))
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """Findings by published table, the most first."""
+        to = self.led.select("prod", F.col("short").alias("to_short")).distinct()
+        placed = self.findings.join(self.led.select("prod", "how", "short", "key").distinct(), ["short", "key"]).withColumn("to_short", names.short(F.col("target")))
+        placed = placed.join(to, ["prod", "to_short"], "left_semi")  # a statement on the trail leads on to the table
+        return placed.groupBy("prod", F.col("how").alias("matched")).agg(
+            F.count("*").alias("findings"), F.count_if("breaking").alias("breaking"), F.min("hop").alias("nearest"),
+            F.array_sort(F.collect_set("stmt")).alias("statements"), F.array_sort(F.collect_set(F.concat_ws(".", "table", "column"))).alias("through"),
+        ).orderBy(F.desc("findings"), F.upper("prod"))
+
+    @cached_property
+    def _stops(self) -> tuple[DataFrame, bool]:
+        return lineage.stops_loading(self.repo.edges, self.findings.where("breaking"), published.match(self.rule, F.col("table")) != "", self.published.select("short"))
+
+    @property
+    def stops(self) -> DataFrame:
+        """(table, via, because): published tables that are no longer refreshed."""
+        return self._stops[0]
+
+    @cached_property
+    def _branches(self) -> tuple[DataFrame, bool]:
+        return lineage.paths(self.start, self.steps)
+
+    @property
+    def branches(self) -> DataFrame:
+        """(root, path, hops): the trail as paths."""
+        return self._branches[0]
+
+    @cached_property
+    def feeds(self) -> DataFrame:
+        """(uri, breaking, roots, file): deliveries out of the warehouse."""
+        roots = F.array_sort(F.array_distinct(F.flatten(F.collect_set("roots"))))
+        return self.findings.where("export_uri <> ''").groupBy(F.col("export_uri").alias("uri")).agg(F.max("breaking").alias("breaking"), roots.alias("roots"), F.min("file").alias("file"))
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return self.repo.search([c for _, c in self.pairs] + [a.table.rsplit(".", 1)[-1] for a in self.asks])
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        """Files that only mention the names, the likeliest to hold SQL first."""
+        seen = self.findings.select("file").distinct()
+        rest = self.hits.join(seen, "file", "left_anti").groupBy("file").agg(F.count("*").alias("hits"), F.min("line_no").alias("line")).join(self.repo.tables.files.select("file", "ext"), "file")
+        likely = 4 * F.least("hits", F.lit(3)) + F.when(F.col("ext").isin(".sql", ".sqlx", ".ddl", ".hql"), 2).otherwise(0)
+        return rest.withColumn("score", likely).orderBy(F.desc("score"), "file")
+
+    @cached_property
+    def attributes(self) -> DataFrame:
+        """One row for each column asked about."""
+        by_root = self.findings.select(F.explode("roots").alias("root"), "file", "inferred_hops", "certain").groupBy("root").agg(
+            F.count("*").alias("findings"), F.array_sort(F.collect_set("file")).alias("files"), F.count_if(F.col("inferred_hops") > 0).alias("inferred"), F.count_if(~F.col("certain")).alias("uncertain")
+        )
+        ends = self.led.groupBy("root").agg(F.array_sort(F.collect_set("prod")).alias("ends_at"))
+        short_cut = self.cut.groupBy("root").agg(F.count("*").alias("cut_short"))
+        named = catalog.carriers(self.repo.catalog).select(F.col("column").alias("key"), "tables")
+        out = self.start.select("root", "key").join(by_root, "root", "left").join(ends, "root", "left").join(short_cut, "root", "left").join(named, "key", "left")
+        return out.select(
+            "root", F.col("findings").isNotNull().alias("found"), F.coalesce("findings", F.lit(0)).alias("findings"), "files", "ends_at",
+            F.coalesce("cut_short", F.lit(0)).alias("cut_short"), F.coalesce("inferred", F.lit(0)).alias("inferred"), F.coalesce("uncertain", F.lit(0)).alias("uncertain"),
+            F.coalesce("tables", F.lit(0)).alias("tables_with_name"),
+        )
+
+    @cached_property
+    def notes(self) -> DataFrame:
+        return self.repo.notes(self.nodes, self.findings)
+
+    @cached_property
+    def _counted(self) -> dict[str, int]:
+        t = self.repo.tables
+        named = [x.upper() for _, x in self.pairs]
+        found = self.findings
+        return _counts({
+            "productionTables": self.published, "tablesReached": self.reached, "intermediateTables": self.reached.where("how = ''"), "attributesImpacted": found.select(F.explode("roots").alias("root")).join(self.start, "root", "left_semi").distinct(),
+            "filesWithImpact": found.select("file").distinct(), "breakingUsages": found.where("breaking"), "inferredFindings": found.where("inferred_hops > 0"), "found": found, "no_fix": found.where("no_local_fix"), "uncertain": found.where("not certain"),
+            "couldNotRead": t.problems.select("file").distinct(), "neverOpened": t.unread.where("kind in ('too_long', 'not_text')"), "unknown_types": t.unread.where("kind = 'unknown_type'"),
+            "passed_by": t.unread.where("kind = 'skipped_folder'"), "tablesNotVisible": self.repo.gaps.join(self.reached.select(F.col("at_table").alias("table")), "table", "left_semi"),
+            "missing_sql": self.repo.sql_files()[1].select("ref").distinct(), "trailsCutShort": self.cut, "productionStopsLoading": self.stops, "feedsBroken": self.feeds.where("breaking"),
+            "unread_here": t.problems.join(self.hits.select("file").distinct(), "file", "left_semi").select("file").distinct(), "matched": self.hits.select("file").distinct(),
+            "referred": t.mentions.where(F.upper("column").isin(*named)) if named else t.mentions.where("false"), "ambiguous": catalog.ambiguous(t).where("ambiguous"),
+        })
+
+    @property
+    def stats(self) -> dict[str, int]:
+        inner = ("found", "no_fix", "uncertain", "unknown_types", "passed_by", "unread_here", "referred", "matched", "ambiguous", "missing_sql")
+        return {k: v for k, v in self._counted.items() if k not in inner} | {"wholeTables": sum(a.whole for a in self.asks)}
+
+    @property
+    def coverage(self) -> dict:
+        return _coverage(self._counted)
+
+    @property
+    def risk(self) -> str:
+        n = self._counted
+        return lineage.risk(n["found"], n["no_fix"], n["breakingUsages"], n["unread_here"] > 0, n["referred"] > 0, n["unknown_types"] > 0)
+
+    @cached_property
+    def warnings(self) -> list[str]:
+        spark = self.findings.sparkSession
+        stated = spark.createDataFrame(sorted({(a.table,) for a in self.asks}), "table string").withColumn("key", names.short(F.col("table")))
+        unknown = stated.join(self.repo.table_names().select(names.short(F.col("table")).alias("key")), "key", "left_anti").collect()
+        out = [f"no code names a table {r['table']}" for r in unknown]
+        out += ["more paths than are listed"] if self._branches[1] else []
+        return sorted(out) + (["more tables than are followed stop loading"] if self._stops[1] else [])
 
 
 class Repo:
@@ -55,8 +181,23 @@ class Repo:
 
     def __init__(self, tables: Tables) -> None:
         self.tables = _unfenced(tables)
-        self.catalog, self.gaps = catalog.build_catalog(self.tables)
-        self.edges = settle(lineage.table_edges(self.tables.statements))
+
+    @cached_property
+    def _catalog(self) -> tuple[DataFrame, DataFrame]:
+        return catalog.build_catalog(self.tables)
+
+    @property
+    def catalog(self) -> DataFrame:
+        return self._catalog[0]
+
+    @property
+    def gaps(self) -> DataFrame:
+        """Tables built by a star over tables whose columns are listed nowhere."""
+        return self._catalog[1]
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return settle(lineage.table_edges(self.tables.statements))
 
     def table_names(self) -> DataFrame:
         t = self.tables
@@ -99,66 +240,9 @@ class Repo:
             raise ValueError("say first which tables are published")
         if change not in usages.CHANGES:
             raise ValueError(f"change is one of {', '.join(usages.CHANGES)}")
-        max_hops = min(max(max_hops, 0), HOP_LIMIT)
-        t = self.tables
-        spark = t.statements.sparkSession
-        pairs = [(a.table, c) for a in asks for c in a.columns]
-        asked = spark.createDataFrame(pairs or [("", "")], "table string, column string").where("table <> ''")
-        start = lineage.column_start(asked.select(names.canonical(F.col("table")).alias("table"), "column"))
-        nodes, steps, cut = lineage.walk_columns(t.flows, start, self.catalog, max_hops)
-        found = lineage.findings(nodes, t.uses, t.statements, change)
-        whole = spark.createDataFrame([(a.table,) for a in asks if a.whole] or [("",)], "table string").where("table <> ''")
-        readers, table_nodes = lineage.walk_tables(self.edges, whole.select(names.canonical(F.col("table")).alias("table")), max_hops)
-        found = settle(found.unionByName(self._whole(readers, change)))
-        is_published = published.match(rule, F.col("at_table")) != ""
-        ends = nodes.where("hop > 0").unionByName(table_nodes.where("hop > 0").select("root", "short", "ds", "at_table", F.lit("*").alias("key"), F.lit("*").alias("at_column"), "hop", F.lit(0).alias("inferred"), F.lit(True).alias("sure")))
-        reached = settle(ends.groupBy("short").agg(F.min("at_table").alias("at_table"), F.min("hop").alias("hop")).withColumn("how", published.match(rule, F.col("at_table"))).withColumn("kind", names.node_kind(F.col("at_table"), is_published)))
-        prod = settle(reached.where("how <> ''").select("short", F.col("at_table").alias("prod"), "how"))
-        led = lineage.upstream_of(steps.select("root", "from_short", "from_key", "short", "key").unionByName(self._table_steps(readers)), prod.select("short"))
-        led = led.join(prod.select(F.col("short").alias("end"), "prod", "how"), "end")
-        led = settle(led)
-        to = led.select("prod", F.col("short").alias("to_short")).distinct()
-        placed = found.join(led.select("prod", "how", "short", "key").distinct(), ["short", "key"]).withColumn("to_short", names.short(F.col("target")))
-        placed = placed.join(to, ["prod", "to_short"], "left_semi")  # a statement on the trail leads on to the table
-        groups = placed.groupBy("prod", F.col("how").alias("matched")).agg(
-            F.count("*").alias("findings"), F.count_if("breaking").alias("breaking"), F.min("hop").alias("nearest"),
-            F.array_sort(F.collect_set("stmt")).alias("statements"), F.array_sort(F.collect_set(F.concat_ws(".", "table", "column"))).alias("through"),
-        ).orderBy(F.desc("findings"), F.upper("prod"))
-        stops, capped = lineage.stops_loading(self.edges, found.where("breaking"), published.match(rule, F.col("table")) != "", prod.select("short"))
-        branches, many = lineage.paths(start, steps)
-        feeds = found.where("export_uri <> ''").groupBy(F.col("export_uri").alias("uri")).agg(F.max("breaking").alias("breaking"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("roots")))).alias("roots"), F.min("file").alias("file"))
-        words = [c for _, c in pairs] + [a.table.rsplit(".", 1)[-1] for a in asks]
-        hits = self.search(words)
-        seen = found.select("file").distinct()
-        mentions = hits.join(seen, "file", "left_anti").groupBy("file").agg(F.count("*").alias("hits"), F.min("line_no").alias("line")).join(t.files.select("file", "ext"), "file")
-        likely = 4 * F.least("hits", F.lit(3)) + F.when(F.col("ext").isin(".sql", ".sqlx", ".ddl", ".hql"), 2).otherwise(0)
-        mentions = mentions.withColumn("score", likely).orderBy(F.desc("score"), "file")
-        trouble = t.problems.join(hits.select("file").distinct(), "file", "left_semi")
-        named = [x.upper() for _, x in pairs]
-        referred = t.mentions.where(F.upper("column").isin(*named)) if named else t.mentions.where("false")
-        attributes = self._attributes(asked, start, nodes, found, cut, prod, led)
-        counts = found.agg(F.count("*").alias("n"), F.count_if("no_local_fix").alias("fix"), F.count_if("breaking").alias("breaking"), F.count_if(F.col("inferred_hops") > 0).alias("inferred"), F.count_if(~F.col("certain")).alias("uncertain"), F.count_distinct("file").alias("files")).first()
-        n = _counts({
-            "productionTables": prod, "tablesReached": reached, "intermediateTables": reached.where("how = ''"), "attributesImpacted": attributes.where("found"),
-            "couldNotRead": t.problems.select("file").distinct(), "neverOpened": t.unread.where("kind in ('too_long', 'not_text')"), "unknown_types": t.unread.where("kind = 'unknown_type'"),
-            "passed_by": t.unread.where("kind = 'skipped_folder'"), "tablesNotVisible": self.gaps.join(reached.select(F.col("at_table").alias("table")), "table", "left_semi"),
-            "missing_sql": self.sql_files()[1].select("ref").distinct(), "trailsCutShort": cut, "productionStopsLoading": stops, "feedsBroken": feeds.where("breaking"), "unread_here": trouble.select("file").distinct(),
-            "referred": referred, "matched": hits.select("file").distinct(), "ambiguous": catalog.ambiguous(t).where("ambiguous"),
-        })
-        level = lineage.risk(counts["n"], counts["fix"], counts["breaking"], n["unread_here"] > 0, n["referred"] > 0, n["unknown_types"] > 0)
-        stats = {
-            **{k: v for k, v in n.items() if k not in ("unknown_types", "passed_by", "unread_here", "referred", "matched", "ambiguous", "missing_sql")},
-            "wholeTables": sum(a.whole for a in asks), "filesWithImpact": counts["files"], "breakingUsages": counts["breaking"], "inferredFindings": counts["inferred"],
-        }
-        stated = asked.select("table").unionByName(whole).distinct().select("table", names.short(F.col("table")).alias("key"))
-        unknown = [r["table"] for r in stated.join(self.table_names().select(names.short(F.col("table")).alias("key")), "key", "left_anti").collect()]
-        return Scan(
-            findings=found, nodes=nodes, steps=steps, groups=groups, reached=reached, stops=stops, branches=branches, attributes=attributes, mentions=mentions,
-            feeds=feeds, notes=self._notes(nodes, found), cut=cut, stats=stats, coverage=_coverage(n | stats, counts["uncertain"]), risk=level, change=change,
-            warnings=[f"no code names a table {x}" for x in sorted(unknown)] + [w for w, on in (("more paths than are listed", many), ("more tables than are followed stop loading", capped)) if on],
-        )
+        return Scan(self, asks, rule, change, min(max(max_hops, 0), HOP_LIMIT))
 
-    def _notes(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    def notes(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
         """(kind, table, detail): what to know about tables and statements on the trail."""
         t = self.tables
         trail = nodes.select("short").distinct()
@@ -171,37 +255,20 @@ class Repo:
         odd = found.select(how.alias("kind"), F.col("target").alias("table"), F.col("file").alias("detail")).where("kind is not null")
         return starred.unionByName(forks).unionByName(several).unionByName(odd).distinct()
 
-    def _table_steps(self, readers: DataFrame) -> DataFrame:
-        star = F.lit("*")
-        return readers.where("target <> ''").select("root", names.short(F.col("table")).alias("from_short"), star.alias("from_key"), names.short(F.col("target")).alias("short"), star.alias("key")).distinct()
-
-    def _whole(self, readers: DataFrame, change: str) -> DataFrame:
-        """Findings of the whole-table walk, in the columns of the others."""
-        about = self.tables.statements.select("stmt", "line", "copied", "as_text", "export_uri", "named_by")
-        breaking = change in usages.TABLE_BREAKS
-        then = "It stops working." if breaking else "It goes on working on what changed."
-        rows = readers.join(about, "stmt")
-        return rows.select(
-            "stmt", "file", (F.col("line") + 1).alias("line"), "table", F.lit("*").alias("column"), F.lit("*").alias("key"), names.short(F.col("table")).alias("short"),
-            F.lit("whole_table").alias("kind"), "hop", F.lit(0).alias("inferred_hops"), F.col("by").isin("name", "shard", "both").alias("certain"), F.array("root").alias("roots"),
-            F.array(F.lit("whole_table")).alias("kinds"), F.initcap("role").alias("label"), F.lit("").alias("alias"), F.col("role").alias("detail"), F.lit(False).alias("via_star"),
-            "target", "copied", "as_text", "export_uri", "named_by", F.lit(breaking).alias("breaking"), F.lit(False).alias("no_local_fix"),
-            F.concat(F.lit("The table is "), "role", F.lit(" here. " + then)).alias("impact"),
-        )
 
-    def _attributes(self, asked: DataFrame, start: DataFrame, nodes: DataFrame, found: DataFrame, cut: DataFrame, prod: DataFrame, led: DataFrame) -> DataFrame:
-        by_root = found.select(F.explode("roots").alias("root"), "file", "inferred_hops", "certain").groupBy("root").agg(
-            F.count("*").alias("findings"), F.array_sort(F.collect_set("file")).alias("files"), F.count_if(F.col("inferred_hops") > 0).alias("inferred"), F.count_if(~F.col("certain")).alias("uncertain")
-        )
-        ends = led.groupBy("root").agg(F.array_sort(F.collect_set("prod")).alias("ends_at"))
-        short_cut = cut.groupBy("root").agg(F.count("*").alias("cut_short"))
-        named = catalog.carriers(self.catalog).select(F.col("column").alias("key"), "tables")
-        out = start.select("root", "key").join(by_root, "root", "left").join(ends, "root", "left").join(short_cut, "root", "left").join(named, "key", "left")
-        return out.select(
-            "root", F.col("findings").isNotNull().alias("found"), F.coalesce("findings", F.lit(0)).alias("findings"), "files", "ends_at",
-            F.coalesce("cut_short", F.lit(0)).alias("cut_short"), F.coalesce("inferred", F.lit(0)).alias("inferred"), F.coalesce("uncertain", F.lit(0)).alias("uncertain"),
-            F.coalesce("tables", F.lit(0)).alias("tables_with_name"),
-        )
+def _whole(readers: DataFrame, t: Tables, change: str) -> DataFrame:
+    """Findings of the whole-table walk, in the columns of the others."""
+    about = t.statements.select("stmt", "line", "copied", "as_text", "export_uri", "named_by")
+    breaking = change in usages.TABLE_BREAKS
+    then = "It stops working." if breaking else "It goes on working on what changed."
+    rows = readers.join(about, "stmt")
+    return rows.select(
+        "stmt", "file", (F.col("line") + 1).alias("line"), "table", F.lit("*").alias("column"), F.lit("*").alias("key"), names.short(F.col("table")).alias("short"),
+        F.lit("whole_table").alias("kind"), "hop", F.lit(0).alias("inferred_hops"), F.col("by").isin("name", "shard", "both").alias("certain"), F.array("root").alias("roots"),
+        F.array(F.lit("whole_table")).alias("kinds"), F.initcap("role").alias("label"), F.lit("").alias("alias"), F.col("role").alias("detail"), F.lit(False).alias("via_star"),
+        "target", "copied", "as_text", "export_uri", "named_by", F.lit(breaking).alias("breaking"), F.lit(False).alias("no_local_fix"),
+        F.concat(F.lit("The table is "), "role", F.lit(" here. " + then)).alias("impact"),
+    )
 
 
 def _counts(frames: dict[str, DataFrame]) -> dict[str, int]:
@@ -210,7 +277,7 @@ def _counts(frames: dict[str, DataFrame]) -> dict[str, int]:
     return {r["k"]: r["n"] for r in reduce(DataFrame.unionByName, parts).collect()}
 
 
-def _coverage(n: dict[str, int], uncertain: int) -> dict:
+def _coverage(n: dict[str, int]) -> dict:
     gaps = [
         (n["couldNotRead"], "file that could not be read in full", "files that could not be read in full"),
         (n["neverOpened"], "file that was not opened", "files that were not opened"),
@@ -219,7 +286,7 @@ def _coverage(n: dict[str, int], uncertain: int) -> dict:
         (n["trailsCutShort"], "trail that went on beyond the step limit", "trails that went on beyond the step limit"),
         (n["inferredFindings"], "finding behind such a table", "findings behind such tables"),
         (n["ambiguous"], "name that can mean several tables", "names that can mean several tables"),
-        (uncertain, "finding whose table the SQL does not state", "findings whose table the SQL does not state"),
+        (n["uncertain"], "finding whose table the SQL does not state", "findings whose table the SQL does not state"),
         (n["passed_by"], "code file in a folder that is passed by", "code files in folders that are passed by"),
         (n["unknown_types"], "file of a type that is not opened", "files of types that are not opened"),
     ]

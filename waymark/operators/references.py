@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _path(name: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(name, r"\\\\", "/"), r"^(\./|/)+", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(name, r"\\", "/"), r"^(\./|/)+", ""))
 
 
 def _base(name: Column) -> Column:
