@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,15 +102,22 @@ def snippet(text: Column, line: Column, around: int = 2) -> Column:
 
 def locate(text: Column, column: Column, kind: Column, start: Column, end: Column) -> Column:
     """0-based line in start..end that the use of a column stands on: lines with the name score 1, and 2 for each marker; the first best one."""
-    up = F.split(F.upper(text), "\n", -1)
     marks = F.create_map(*[x for k, ms in MARKERS.items() for x in (F.lit(k), F.array(*map(F.lit, ms)))])[kind]
-    name = F.upper(column)
+    name = F.concat(F.lit(" "), F.upper(column), F.lit(" "))
+    lines = F.slice(F.split(F.upper(text), "\n", -1), start + 1, F.greatest(end - start + 1, F.lit(1)))
 
-    def score(line: Column) -> Column:
+    def score(line: Column, words: Column) -> Column:
         padded = F.concat(F.lit(" "), F.regexp_replace(line, r"[^\p{L}\p{N}_]", " "), F.lit(" "))
-        hits = F.aggregate(marks, F.lit(0), lambda a, m: a + F.when(line.contains(m), 2).otherwise(0))
-        return F.when(padded.contains(F.concat(F.lit(" "), name, F.lit(" "))), 1 + hits).otherwise(0)
+        hits = F.aggregate(words, F.lit(0), lambda a, m: a + F.when(line.contains(m), 2).otherwise(0))
+        return F.when(padded.contains(name), 1 + hits).otherwise(0)
+
+    def place(scores: Column) -> Column:
+        top = F.array_max(scores)
+        return F.when(top > 0, start + F.array_position(scores, top).cast("int") - 1).otherwise(start)
+
+    return _once(_once(marks, lambda words: F.transform(lines, lambda x: score(x, words))), place)
+
 
-    scores = F.transform(F.slice(up, start + 1, F.greatest(end - start + 1, F.lit(1))), score)
-    top = F.array_max(scores)
-    return F.when(top > 0, start + F.array_position(scores, top).cast("int") - 1).otherwise(start)
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]

@@ -417,7 +417,8 @@ FIRST_SQL = "SELECT user_id, event_type, min(event_id) AS first_event, array_to_
 def line_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n"))
     at = usages.locate(F.col("text"), F.lit("the"), F.lit("select"), F.lit(0), F.col("n") - 1)
-    return d.select("doc_id", at.cast("bigint").alias("line"), F.size(usages.snippet(F.col("text"), at)).cast("bigint").alias("shown"))
+    placed = d.select("doc_id", "text", at.alias("at"))
+    return placed.select("doc_id", F.col("at").cast("bigint").alias("line"), F.size(usages.snippet(F.col("text"), F.col("at"))).cast("bigint").alias("shown"))
 
 
 def notice_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
