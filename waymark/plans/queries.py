@@ -334,7 +334,7 @@ def stops_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _as_flows(_geography(spark, sf_dir)).select("s_short", "t_short", "target")
     broken = spark.createDataFrame([("R2", "s1"), ("R3", "s2")], "target string, stmt string")
     none = spark.createDataFrame([("N0",)], "short string")
-    found, _ = lineage.stops_loading(e, broken, F.col("table").startswith("N"), none)
+    found, _ = lineage.stops_loading(e, broken, F.col("table").startswith("N"), none, most=1_000_000)
     return found.select("table", F.array_join("via", " > ").alias("via"), "because")
 
 
