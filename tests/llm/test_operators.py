@@ -407,6 +407,30 @@ def test_op10_mixture_adds_to_one():
     assert w[0, 0] > 0.95
 
 
+def test_op10_counts_rare_pairs_and_triples(spark, monkeypatch):
+    """Rare words' surroundings count, in every chunk and part alike, and chances add to one."""
+    from waymark.llm import lm
+
+    monkeypatch.setattr(lm, "CLASSES", 2)
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 60} x{(i * 7 + k) % 60}" for k in range(8)), None, None, 0) for i in range(200)]
+    turned = [(1000 + i, " ".join(reversed(t.split())), *x) for i, t, *x in rows]
+    scores = []
+    for chunk, part in ((1 << 18, 1 << 21), (200, 50)):
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        monkeypatch.setattr(lm, "PART", part)
+        scores.append({r["doc_id"]: r["score"] for r in lm.score(fixtures.frame(spark, rows + [r for r in turned if zlib.crc32(str(r[0]).encode()) % 7 == 2])).collect()})
+    assert scores[0].keys() == scores[1].keys() and all(abs(x - scores[1][i]) < 1e-9 for i, x in scores[0].items())
+    known = [x for i, x in scores[0].items() if i < 1000 and zlib.crc32(str(i).encode()) % 7 == 2]
+    other = [x for i, x in scores[0].items() if i >= 1000]
+    assert known and other and min(known) > max(other) + 10  # the same words, in an order never seen
+
+    w = lm.order_weights([(0, 0.0, 0.0, 0.1, 5.0), (3, 0.0, 0.5, 0.1, 9.0), (26, 0.9, 0.5, 0.1, 9.0)])
+    assert np.allclose(w.sum(axis=1), 1) and not w[:25, 0].any() and w[0, 1] == 0
+    counts = np.array([[2, 3, 1], [1, 2, 1], [9, 2, 1]])
+    e3, e2, b = lm.orders(counts, np.array([0]))
+    assert e3.tolist() == [0, 2, 0.5] and np.allclose(e2, [1, 1, 1 / 3]) and b.tolist() == [1, 25, 26]
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 

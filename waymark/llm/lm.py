@@ -1,16 +1,21 @@
 """Language-model scores by deleted interpolation.
 
-A word is one of ``CLASSES`` frequent words, each a class of its own, or of the class of
-all others. The chance of a class after a class mixes maximum-likelihood estimates of the
-pair, of the class alone and the uniform one; the chance of a word in the common class
-mixes its share of the class and the uniform one over all known words and one unknown.
-The weights depend on how often the context was seen, by powers of two, and are learned
-by expectation-maximisation on counts of one part of the training documents that the
-estimates leave out (the deleted part); then the estimates take all parts back.
-
-All counts cover all training documents. Words are counted in each task before they are
-shuffled. What goes to every executor is bounded: the ``HEAD`` most frequent words and
-a matrix of ``CLASSES`` squared. All rarer words meet their counts in a join on the word.
+The chance of a word mixes maximum-likelihood estimates of the word after the two words
+before it, and after the one before it, over all words and all training documents, with
+a class model that knows every word: a word is one of ``CLASSES`` frequent words, each a
+class of its own, or of the class of all others; the chance of a class after a class
+mixes estimates of the pair, of the class alone and the uniform one; the chance of a word
+in the common class mixes its share of the class and the uniform one over all known words
+and one unknown. The weights depend on how often the context was seen, by powers of two,
+and are learned by expectation-maximisation on counts of one part of the training
+documents that the estimates leave out (the deleted part); then the estimates take all
+parts back. The sum over all words is one after every context.
+
+All counts cover all training documents. Documents lie in chunks of about ``CHUNK``
+characters. A chunk sends each different word, pair and triple of words once, by a 64-bit
+hash and with its number, to the task that counts this hash, and gets the counts of the
+corpus back; so no n-gram is too rare to count, and a frequent one is sent once a chunk.
+What goes to every executor is a matrix of ``CLASSES`` squared.
 
 Nulls: a null text is empty and has the end mark only; a null doc_id counts as the empty
 string in the split. Repeated rows are scored and counted once each. An empty table gives
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +43,10 @@ END = b"\n"
 #: Different words that a task counts before it hands them on.
 FLUSH = 400_000
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
+#: Characters of documents that send their n-grams together, and tokens whose n-grams a task counts together.
+CHUNK = 1 << 20
+PART = 1 << 19
+START = np.uint64(0x9E3779B97F4A7C15)
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -159,12 +169,20 @@ def _estimates(pairs: np.ndarray) -> list[np.ndarray]:
     return [pairs / np.maximum(context, 1), single / max(single.sum(), 1), np.full((1, pairs.shape[1]), 1 / pairs.shape[1])]
 
 
+def class_chances(kept: np.ndarray, deleted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of each class after each context, by the kept part alone and by all training documents."""
+    weights = learn(_estimates(kept), deleted, bucket(kept.sum(axis=1)))
+
+    def mixed(pairs: np.ndarray) -> np.ndarray:
+        at = weights[bucket(pairs.sum(axis=1))]
+        return sum(at[:, [k]] * e for k, e in enumerate(_estimates(pairs)))
+
+    return mixed(kept), mixed(kept + deleted)
+
+
 def class_model(kept: np.ndarray, deleted: np.ndarray) -> np.ndarray:
     """log10 of the chance of each class after each context."""
-    weights = learn(_estimates(kept), deleted, bucket(kept.sum(axis=1)))
-    both = kept + deleted
-    at = weights[bucket(both.sum(axis=1))]
-    return np.log10(sum(at[:, [k]] * e for k, e in enumerate(_estimates(both))))
+    return np.log10(class_chances(kept, deleted)[1])
 
 
 def word_weight(histogram: list[tuple[float, float]], size: float, known: int) -> float:
@@ -175,6 +193,169 @@ def word_weight(histogram: list[tuple[float, float]], size: float, known: int) -
     return float(learn(estimates, held[None, :], np.array([0]))[0, 0])
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, compressed; the length first."""
+    raw = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpacked(payload: bytes, kind: type) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(payload[8:], int.from_bytes(payload[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def chunks(own: DataFrame) -> DataFrame:
+    """(chunk, part, deleted, held_out, payload): words of documents of one part of the split, numbered in the chunk; part is -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(kind: int) -> pa.RecordBatch:
+            docs, begin, ids, at = held.pop(kind)
+            size.pop(kind)
+            columns = {"doc_id": (docs, pa.int64()), "begin": (begin, pa.int32()), "ids": (ids, pa.int32()), "words": (list(at), pa.binary())}
+            batch = pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in columns.values()], list(columns))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(batch)
+            columns = [pa.array([kind == DELETED]), pa.array([kind == HELD_OUT]), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["deleted", "held_out", "payload"])
+
+        held: dict[int, tuple[list, list, list, dict[bytes, int]]] = {}
+        size: Counter[int] = Counter()
+        for b in slices(batches):
+            for doc, fold, text in zip(*(b[c].to_pylist() for c in ("doc_id", "fold", "text"))):
+                kind = fold if fold in (DELETED, HELD_OUT) else -1
+                docs, begin, ids, at = held.setdefault(kind, ([], [], [], {}))
+                docs.append(doc)
+                begin.append(len(ids))
+                tokens = text.encode().lower().split()
+                tokens.append(END)
+                ids += [at.setdefault(w, len(at)) for w in tokens]
+                size[kind] += len(text) + 1
+                if size[kind] >= CHUNK:
+                    yield out(kind)
+        for kind in list(held):
+            yield out(kind)
+
+    found = own.select("doc_id", "fold", "text").mapInArrow(run, "deleted boolean, held_out boolean, payload binary")
+    return found.select(F.monotonically_increasing_id().alias("chunk"), F.lit(-1).alias("part"), "deleted", "held_out", "payload")
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def grams(payload: bytes, classes: dict[bytes, int]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, first token of each document, classes of tokens, different n-grams, place of each token's word, pair and triple among them)."""
+    batch = pa.ipc.open_stream(payload).read_next_batch()
+    begin, which = (batch[c].values.to_numpy() for c in ("begin", "ids"))
+    names = batch["words"][0].as_py()
+    word = np.array([xxhash.xxh64_intdigest(w) for w in names], dtype=np.uint64)[which]
+    kind = np.array([classes.get(w, len(classes)) for w in names])[which]
+    before = np.concatenate(([START], word[:-1]))
+    before[begin] = START
+    pair = _mixed(before, word)
+    last = np.concatenate(([START], pair[:-1]))
+    last[begin] = START
+    keys, place = np.unique(np.concatenate((word, pair, _mixed(last ^ np.uint64(0x5851F42D4C957F2D), word))), return_inverse=True)
+    return batch["doc_id"][0].as_py(), begin, kind, keys, place.reshape(3, -1)
+
+
+def parted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bounds): keys in this order lie by parts, part p from bounds[p] to bounds[p + 1]."""
+    part = (keys >> np.uint64(16)) % np.uint64(parts)
+    return np.argsort(part, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))))
+
+
+def counted(docs: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, payload): counts in the kept and in the deleted part of each n-gram of a chunk, in the order of ``parted``."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            chunk, deleted, held = (b[c][0].as_py() for c in ("chunk", "deleted", "held_out"))
+            _, _, _, keys, place = grams(b["payload"][0].as_py(), {})
+            n = np.bincount(place.ravel(), minlength=len(keys)).astype(np.uint32) * np.uint32(not held)
+            order, bounds = parted(keys, parts)
+            keys, n = keys[order], n[order]
+            some = np.flatnonzero(bounds[1:] > bounds[:-1])
+            columns = [
+                pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([deleted] * len(some)),
+                # keys of a part ascend, and so differ by less than they are
+                pa.array([packed(np.diff(keys[bounds[p] : bounds[p + 1]], prepend=np.uint64(0))) for p in some], pa.binary()),
+                pa.array([packed(n[bounds[p] : bounds[p + 1]]) for p in some], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "part", "deleted", "keys", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, part, deleted, keys, n = [], [], [], [], []
+        for b in batches:
+            chunk += b["chunk"].to_pylist()
+            part += b["part"].to_pylist()
+            deleted += b["deleted"].to_pylist()
+            keys += [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in b["keys"].to_pylist()]
+            n += [unpacked(x, np.uint32) for x in b["n"].to_pylist()]
+        if not chunk:
+            return
+        sizes = [len(x) for x in keys]
+        different, place = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        n, late = np.concatenate(n), np.repeat(deleted, sizes)
+        found = np.stack([np.bincount(place, np.where(late == d, n, 0), minlength=len(different)).astype(np.uint32) for d in (False, True)])
+        ends = np.cumsum(sizes)
+        for a in range(0, len(chunk), 256):
+            some = range(a, min(a + 256, len(chunk)))
+            payload = [packed(found[:, place[ends[k] - sizes[k] : ends[k]]].ravel()) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk[k] for k in some], pa.int64()), pa.array([part[k] for k in some], pa.int32()), pa.array(payload, pa.binary())], ["chunk", "part", "payload"])
+
+    sent = docs.mapInArrow(send, "chunk bigint, part int, deleted boolean, keys binary, n binary")
+    return sent.repartition(parts, "part").mapInArrow(count, "chunk bigint, part int, payload binary")
+
+
+def with_counts(docs: DataFrame, counts: DataFrame, partitions: int) -> DataFrame:
+    """Rows of chunks, each followed by its counts by part."""
+    rows = docs.unionByName(counts, allowMissingColumns=True)
+    return rows.repartition(partitions, "chunk").sortWithinPartitions("chunk", "part").select("part", "held_out", "payload")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bytes, list[bytes]]]:
+    """(held_out, documents, counts by part) of each chunk."""
+    now: tuple[bool, bytes, list[bytes]] | None = None
+    for b in batches:
+        for part, held, payload in zip(b["part"], b["held_out"], b["payload"]):
+            if part.as_py() < 0:
+                if now:
+                    yield now
+                now = (held.as_py(), payload.as_py(), [])
+            else:
+                now[2].append(payload.as_py())
+    if now:
+        yield now
+
+
+def context_bucket(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """By the count of the two words before, or of the one before if those two were never seen."""
+    return np.where(two > 0, 24 + np.minimum(bucket(two), 39), np.minimum(bucket(one), 23))
+
+
+def orders(counts: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(triple's share of its context, pair's share of its context, bucket) of tokens, by counts (word, pair, triple)."""
+    word, pair, triple = counts
+    end = np.append(begin[1:], len(word)) - 1
+    one, two = np.append(0, word[:-1]), np.append(0, pair[:-1])
+    one[begin], two[begin] = word[end], 0  # documents start as often as they end
+    return np.where(two > 0, triple / np.maximum(two, 1), 0.0), pair / np.maximum(one, 1), context_bucket(one, two)
+
+
+def order_weights(histogram: list[tuple[int, float, float, float, float]]) -> np.ndarray:
+    """Weights (bucket; triple, pair, class model) from rows (bucket, estimates of the three, tokens); none of an order whose context wasn't seen."""
+    rows = np.array(histogram or [(0, 0.0, 0.0, 1.0, 0.0)])
+    weights = learn([rows[:, [k]] for k in (1, 2, 3)], rows[:, [4]], rows[:, 0].astype(int))
+    weights[:25, 0] = 0
+    weights[0, 1] = 0
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
@@ -184,64 +365,61 @@ def score(docs: DataFrame) -> DataFrame:
     head = frequent(words, HEAD)
     classes = {w: k for k, w in enumerate(dict.fromkeys([END, *(h[0] for h in head[: CLASSES - 1])]))}
     kept, deleted = class_pairs(own, classes)
-    pairs = class_model(kept, deleted)
+    chances = class_chances(kept, deleted)
 
     # the words of the common class: counts above 1,000 are rounded to three digits
     k = F.col("n") - F.col("deleted")
     step = F.when(k < 1000, F.lit(1.0)).otherwise(F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(k, F.lit(1)))) - 2))
     common = words.join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w in classes], "word binary")), "word", "left_anti")
     shares = common.groupBy((F.round(k / step) * step).alias("k")).agg(F.sum("deleted").alias("deleted"), F.sum(k).alias("size"), F.sum("n").alias("n")).collect()
-    size = sum(r["n"] for r in shares)
-    weight = word_weight([(r["k"], r["deleted"]) for r in shares if r["deleted"]], sum(r["size"] for r in shares), known)
+    sizes = sum(r["size"] for r in shares), sum(r["n"] for r in shares)
+    weight = word_weight([(r["k"], r["deleted"]) for r in shares if r["deleted"]], sizes[0], known)
 
+    lots = settle(chunks(own))
+    parts = max(spark.sparkContext.defaultParallelism, int(total) // PART + 1)
+    counts = settle(counted(lots, parts))
     denominator = total + known + 1
-    sent = spark.sparkContext.broadcast(([h[0] for h in head], np.array([h[1] for h in head], dtype=np.int64), classes, pairs))
-    rest = (weight / max(size, 1), (1 - weight) / (known + 1))
+    sent = spark.sparkContext.broadcast((classes, chances))
+
+    def estimates(payload: bytes, found: list[bytes], whole: bool) -> tuple:
+        """(doc_ids, begin, counts of words, estimates of the three orders, buckets), by all training documents or by the kept ones."""
+        classes, chances = sent.value
+        docs, begin, kind, keys, place = grams(payload, classes)
+        order, _ = parted(keys, parts)
+        n = np.empty((2, len(keys)), dtype=np.int64)
+        n[:, order] = np.concatenate([unpacked(x, np.uint32).reshape(2, -1) for x in found], axis=1)
+        n = (n.sum(axis=0) if whole else n[0])[place]
+        context = np.append(0, kind[:-1])
+        context[begin] = len(classes) + 1
+        inside = np.where(kind == len(classes), weight / max(sizes[whole], 1) * n[0] + (1 - weight) / (known + 1), 1.0)
+        triple, pair, at = orders(n, begin)
+        return docs, begin, n[0], np.stack((triple, pair, chances[whole][context, kind] * inside)), at
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        histogram: Counter[tuple] = Counter()
+        for _, payload, found in gathered(batches):
+            _, _, _, e, at = estimates(payload, found, False)
+            steps = np.where(e > 0, np.round(10 * np.log10(np.maximum(e, 1e-30))), -999).astype(np.int64)
+            cells, n = np.unique(np.concatenate((at[None], steps)), axis=1, return_counts=True)
+            for cell, m in zip(cells.T.tolist(), n.tolist()):
+                histogram[tuple(cell)] += m
+        cells = list(histogram)
+        columns = [pa.array([c[j] for c in cells], pa.int64()) for j in range(4)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(histogram.values(), pa.int64())], ["b", "e3", "e2", "e1", "n"])
+
+    late = lots.where("deleted")
+    rows = with_counts(late, counts.join(F.broadcast(late.select("chunk")), "chunk", "left_semi"), parts)
+    cells = rows.mapInArrow(learned, "b bigint, e3 bigint, e2 bigint, e1 bigint, n bigint").groupBy("b", "e3", "e2", "e1").agg(F.sum("n").alias("n")).collect()
+    weights = order_weights(sorted((r["b"], *(10.0 ** (r[c] / 10) if r[c] > -999 else 0.0 for c in ("e3", "e2", "e1")), r["n"]) for r in cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts, own_class, chance = sent.value
-        at = {w: i for i, w in enumerate(names)}
-        if END not in at:  # nothing to learn from
-            at[END] = len(names)
-            counts = np.append(counts, 0)
-        common_class = len(own_class)
-        kind = np.full(len(counts), common_class)
-        for w, c in own_class.items():
-            kind[at[w]] = c
-        base = np.log10((counts + 1) / denominator)
-        inside = np.where(kind == common_class, np.log10(rest[0] * counts + rest[1]), 0.0)
-        # one more entry for all words beyond the head, which the join completes
-        kind, base, inside = np.append(kind, common_class), np.append(base, 0.0), np.append(inside, 0.0)
-        seen = np.append(counts > 0, False)
-        other = len(counts)
-        end = at[END]
-        get = at.get
-        for b in slices(batches):
-            out: list[tuple] = []
-            for row, doc, fold, text in zip(*(b[c].to_pylist() for c in ("row", "doc_id", "fold", "text"))):
-                tokens = text.encode().lower().split()
-                ids = [get(w, other) for w in tokens]
-                rare = Counter(w for w, i in zip(tokens, ids) if i == other)
-                ids.append(end)
-                i = np.array(ids)
-                c = kind[i]
-                value = chance[np.concatenate(([common_class + 1], c[:-1])), c].sum() + inside[i].sum()
-                held = fold == HELD_OUT
-                # a key that no word has spreads the rows of documents
-                out.append((b"\n%d" % row, row, doc, held, 0, len(i), int(seen[i].sum()), float(base[i].sum()), float(value)))
-                out += [(w, row, doc, held, n, 0, 0, 0.0, 0.0) for w, n in rare.items()]
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            columns = list(zip(*out)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["word", "row", "doc_id", "held_out", "rare", "n_tokens", "n_known", "base", "score"])
-
-    rows = own.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "fold", "text")
-    rows = rows.mapInArrow(run, "word binary, row bigint, doc_id bigint, held_out boolean, rare bigint, n_tokens bigint, n_known bigint, base double, score double")
-    c = F.coalesce("n", F.lit(0))
-    joined = rows.join(words.select("word", "n"), "word", "left")
-    parts = joined.groupBy("row", "doc_id", "held_out").agg(
-        F.sum("n_tokens").cast("bigint").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("rare")).otherwise(0)).cast("bigint").alias("n_known"),
-        F.sum(F.col("base") + F.col("rare") * F.log10((c + 1) / F.lit(float(denominator)))).alias("base_score"),
-        F.sum(F.col("score") + F.col("rare") * F.log10(F.lit(rest[0]) * c + F.lit(rest[1]))).alias("score"),
-    )
-    return parts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", "score")
+        for held, payload, found in gathered(batches):
+            docs, begin, n, e, at = estimates(payload, found, True)
+            value = np.log10((weights[at].T * e).sum(axis=0))
+            columns = [
+                pa.array(docs, pa.int64()), pa.array([held] * len(docs), pa.bool_()), pa.array(np.diff(np.append(begin, len(n)))), pa.array(np.add.reduceat((n > 0).astype(np.int64), begin)),
+                pa.array(np.full(len(docs), total, dtype=np.int64)), pa.array(np.add.reduceat(np.log10((n + 1) / denominator), begin)), pa.array(np.add.reduceat(value, begin)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return with_counts(lots, counts, parts).mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
