@@ -361,6 +361,20 @@ def test_op9_learns(spark, odd, tmp_path):
             assert any(w in texts[r["doc_id"]][o["start"] : o["end"]] for o in r["offending"] for w in ("vilex", "foulo", "nastyq"))
 
 
+def test_op9_learns_from_the_ends_of_long_texts(spark):
+    import random
+
+    from waymark.llm import toxicity
+
+    rng = random.Random(9)
+    calm = fixtures.words(rng, 400).split()
+    texts = {i: ". ".join(" ".join(rng.sample(calm, 60)) for _ in range(80)) + (". You vilex thing." if i % 2 else ".") for i in range(120)}
+    texts |= {i: " ".join(rng.sample(calm, 60)) + (". You vilex thing." if i % 2 else ".") for i in range(1000, 1060)}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id bigint, toxic int")
+    found = toxicity.score(fixtures.frame(spark, [(i, t, "en", "a", 0) for i, t in texts.items()]), labels).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in found)
+
+
 def test_op10_base_and_model(spark, odd):
     rows = run(spark, "op10_lm", odd)
     docs = fixtures.documents()

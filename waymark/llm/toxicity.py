@@ -7,9 +7,10 @@ gradient of their likelihood through the noisy-or trains the sentences, so the m
 tells which sentences made a document toxic.
 
 The model is fitted on the driver on at most ``SAMPLE`` labelled documents of each label,
-those with the least hash of their id, and at most ``LONGEST`` words of each; its words are
-at most ``WORDS``, those whose presence tells the labels apart best. Scoring takes all
-texts whole.
+those with the least hash of their id, on their whole texts; its words are at most
+``WORDS``, those whose presence tells the labels apart best. They are counted on
+executors, and the driver gets the places of those words in sentences, not the texts.
+Scoring takes all texts whole too.
 
 Nulls: a null text has no sentence and scores 0; labels with a null toxic don't count, of
 several labels for one id the highest does; a null doc_id counts as the empty string in
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import documents, slices
+from waymark.llm.common import documents, settle, slices
 
 SAMPLE = 3000
-LONGEST = 4000
 WORDS = 3000
 #: Largest bias: a thousand sentences without a known word make a third of a per cent at most.
 CALM = -12.5
@@ -50,80 +49,88 @@ def fold(column: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[list[str]]]]:
-    """(label, words of each sentence) of the documents to fit on."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of the documents to fit on, whole."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").where(fold() != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for label in (0, 1):
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = documents(docs).join(F.broadcast(chosen), "doc_id")
+    return settle(documents(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"))
+
+
+def sentences(text: str) -> Iterator[set[str]]:
+    """The distinct words of each sentence that has any."""
+    for s in _SENTENCE.finditer(text):
+        words = {w.lower() for w in _WORD.findall(s.group())}
+        if words:
+            yield words
+
+
+def vocabulary(texts: DataFrame, total: dict[int, int]) -> list[str]:
+    """The words whose presence in a document says most about its label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            out, left = [], 0
+        for b in slices(batches, 16):
+            for toxic, text in zip(b["toxic"].to_pylist(), b["text"].to_pylist()):
+                words = sorted(features(set().union(*sentences(text))))
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(words), pa.int32()), pa.array(words, pa.string())], ["toxic", "word"])
+
+    seen = texts.mapInArrow(run, "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    p, q, r = F.col("a") / max(total[1], 1), F.col("b") / max(total[0], 1), (F.col("a") + F.col("b")) / sum(total.values())
+    said = F.abs(p - q) / F.sqrt(r * (1 - r) + 1e-6)
+    return [x["word"] for x in seen.where("a + b >= 5").orderBy(said.desc(), "word").limit(WORDS).select("word").collect()]
+
+
+def hits(texts: DataFrame, words: list[str]) -> pa.Table:
+    """(doc_id, toxic, blank, sizes, hits): sentences without any of the words, and of each other one how many and which it has."""
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: k for k, w in enumerate(sent.value)}
+        for b in slices(batches, 16):
+            blank, sizes, found = [], [], []
             for text in b["text"].to_pylist():
-                parts, left = [], LONGEST
-                for s in _SENTENCE.finditer(text):
-                    words = sorted({w.lower() for w in _WORD.findall(s.group())})[:left]
-                    left -= len(words)
-                    if words:
-                        parts.append(" ".join(words))
-                    if left <= 0:
-                        break
-                out.append(parts)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(out, pa.list_(pa.string()))], ["doc_id", "toxic", "sentences"])
+                by = [sorted(at[w] for w in features(s) if w in at) for s in sentences(text)]
+                blank.append(sum(not x for x in by))
+                sizes.append([len(x) for x in by if x])
+                found.append([k for x in by for k in x])
+            columns = [b["doc_id"], b["toxic"], pa.array(blank, pa.int64()), pa.array(sizes, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "blank", "sizes", "hits"])
 
-    rows = texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id bigint, toxic int, sentences array<string>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["sentences"]))
-    return [(r["toxic"], [s.split() for s in r["sentences"]]) for r in rows]
+    return texts.mapInArrow(run, "doc_id bigint, toxic int, blank bigint, sizes array<int>, hits array<int>").toArrow()
 
 
-def vocabulary(bags: list[tuple[int, list[list[str]]]]) -> list[str]:
-    """The words whose presence in a document says most about its label."""
-    seen = [Counter(), Counter()]
-    total = [0, 0]
-    for label, sentences in bags:
-        total[label] += 1
-        seen[label].update(features({w for s in sentences for w in s}))
-    said = {}
-    for w in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][w], seen[0][w]
-        if a + b >= 5:
-            p, q, r = a / max(total[1], 1), b / max(total[0], 1), (a + b) / sum(total)
-            said[w] = abs(p - q) / np.sqrt(r * (1 - r) + 1e-6)
-    return sorted(said, key=lambda w: (-said[w], w))[:WORDS]
-
-
-def fit(bags: list[tuple[int, list[list[str]]]], rounds: int = 500, decay: float = 0.02) -> tuple[dict[str, float], float]:
+def fit(texts: DataFrame, rounds: int = 500, decay: float = 0.02) -> tuple[dict[str, float], float]:
     """Weight of each word, and the bias of a sentence."""
-    labels = np.array([b[0] for b in bags], dtype=np.float64)
-    if len(set(labels)) < 2:
+    total = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not total[0] or not total[1]:
         return {}, -40.0
-    words = vocabulary(bags)
-    at = {w: k for k, w in enumerate(words)}
-    word, sentence, bag = [], [], []
-    for d, (_, sentences) in enumerate(bags):
-        for s in sentences:
-            found = sorted(at[w] for w in features(set(s)) if w in at)
-            word += found
-            sentence += [len(bag)] * len(found)
-            bag.append(d)
-    word, sentence, bag = np.array(word, int), np.array(sentence, int), np.array(bag, int)
+    words = vocabulary(texts, total)
+    rows = hits(texts, words)
+    size, which = ([x.values.to_numpy() for x in rows[c]] for c in ("sizes", "hits"))
+    docs = rows["doc_id"].to_pylist()
+    order = sorted(range(len(docs)), key=lambda k: (docs[k], size[k].tobytes(), which[k].tobytes()))
+    labels = rows["toxic"].to_numpy()[order].astype(np.float64)
+    blank = rows["blank"].to_numpy()[order].astype(np.float64)
+    size, which = [size[k] for k in order], [which[k] for k in order]
+    word = np.concatenate(which).astype(int)
+    bag = np.repeat(np.arange(len(order)), [len(x) for x in size])
+    sentence = np.repeat(np.arange(len(bag)), np.concatenate(size))
     weight, bias = np.zeros(len(words)), CALM
     balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     first, second = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for step in range(1, rounds + 1):
         z = bias + np.bincount(sentence, weight[word], minlength=len(bag))
         p = 1 / (1 + np.exp(-z))
-        none = np.bincount(bag, -np.logaddexp(0, z), minlength=len(bags))  # log of no sentence being toxic
+        none = np.bincount(bag, -np.logaddexp(0, z), minlength=len(labels)) - blank * np.logaddexp(0, bias)  # log of no sentence being toxic
         some = -np.expm1(none)
         # derivative of the log-likelihood by each sentence's z
         pull = np.where(labels == 1, np.exp(none) / np.maximum(some, 1e-9), -1.0) * balance
         by_sentence = pull[bag] * p
-        grad = np.append(np.bincount(word, by_sentence[sentence], minlength=len(words)), by_sentence.sum()) / len(bags)
-        grad[:-1] -= decay / len(bags) * weight
+        grad = np.append(np.bincount(word, by_sentence[sentence], minlength=len(words)), by_sentence.sum() + (pull * blank).sum() / (1 + np.exp(-bias))) / len(labels)
+        grad[:-1] -= decay / len(labels) * weight
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         move = 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
