@@ -52,7 +52,7 @@ def _fence(file: str, name: str) -> str:
 
 def _as_row(s: Statement, no: int, line: int, sql: str) -> dict:
     return {
-        "no": no, "kind": s.kind, "line": line, "line_end": line + sql.count("\n"), "sql": sql[:LONGEST_OPAQUE], "target": s.target, "temp": s.temp,
+        "no": no, "kind": s.kind, "line": line, "line_end": line + sql.count("\n"), "sql": sql, "target": s.target, "temp": s.temp,
         "copied": s.copied, "named_by": "", "as_text": s.as_text, "export_uri": s.export, "star_note": s.star_note, "opaque": s.opaque, "defines": s.defines,
         "sources": list(s.sources), "calls": s.calls,
         "uses": [dict(zip(("table", "column", "kind", "alias", "detail", "certain", "via_star", "line"), u)) for u in s.uses if u[0]],
@@ -139,6 +139,9 @@ def read_file(file: str, ext: str, text: str) -> dict:
                 r["uses"].append({"table": table, "column": column, "kind": "filter", "alias": "", "detail": "script variable", "certain": True, "via_star": False, "line": r["line"]})
                 r["flows"] = [f for f in r["flows"] if f["column"].upper() != name]
                 r["flows"].append({"table": table, "column": column, "out": column, "how": "carried", "without": "", "certain": False, "star": False})
+    for r in rows:
+        if r["opaque"]:
+            r["sql"] = r["sql"][:LONGEST_OPAQUE]
     refs = [{"ref": ref, "line": line} for ref, line in sql_files(text, ext)]
     return {"file": file, "statements": rows, "problems": problems, "refs": refs, "writes": writes}
 
