@@ -340,6 +340,21 @@ def test_op8_pieces_lose_nothing(monkeypatch):
     assert (np.concatenate(list(langid.trigrams(text, table))) == whole).all()
 
 
+def test_op8_tells_apart_all_scripts(spark):
+    """Languages written in letters that are rare in the corpus differ, beyond the first plane too."""
+    import random
+
+    from waymark.llm import langid
+
+    rng = random.Random(12)
+    scripts = {"many": range(0x4E00, 0x4E50), "el": range(0x3B1, 0x3C2), "th": range(0xE01, 0xE2F), "got": range(0x10330, 0x10341), "ett": range(0x10300, 0x10311)}
+
+    words = {g: ["".join(chr(rng.choice(points)) for _ in range(5)) for _ in range(40)] for g, points in scripts.items()}
+    made = [(i, " ".join(rng.choice(words[g]) for _ in range(60 if g == "many" else 12)), g, "s", 0) for i in range(500) for g in [list(scripts)[i % 5]]]
+    found = langid.identify(fixtures.frame(spark, made)).collect()
+    assert all(r["lang_pred"] == made[r["doc_id"]][2] for r in found)
+
+
 def test_op9_learns(spark, odd, tmp_path):
     rows = run(spark, "op9_toxicity", odd)
     assert multiset(r["doc_id"] for r in rows) == multiset(d[0] for d in fixtures.documents())
