@@ -6,11 +6,10 @@ suffixes at leaders are ordered, and only those whose ``KEY`` bytes occur twice.
 those bytes, which are one symbol then, two strings of 127 symbols remain: the text
 before, read backwards, and the text after.
 
-Each map task is a shard. The shards' columns of symbols (their Burrows-Wheeler
-transforms, in aligned form: the suffixes of one class start together) are merged by
-interleave refinement: the interleave starts as one shard after the other and is
-partitioned stably by one column after the other, which orders all suffixes without
-comparing or sorting them again. Neighbours give the common prefixes. A 400-byte string
+Suffixes of one class, from whatever task, are ordered together by a radix sort: stable
+sorts by one column of symbols after the other, the last one first. No suffix order or
+Burrows-Wheeler transform of a shard is built or merged. Neighbours give the common
+prefixes. A 400-byte string
 repeats if its suffix shares an interval on either side of the leader, long enough
 together, with another one's.
 
