@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,3 +40,12 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark remove shuffle files that no frame refers to any more.
+
+    Its cleaner learns of them when the driver's heap is collected, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
