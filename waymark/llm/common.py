@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.shared import settle, shared_dir, shared_path  # noqa: F401  the operators take them from here
+from waymark.functions.shared import release, settle, shared_dir, shared_path  # noqa: F401  the operators take them from here
 
 #: Rows of statistics that a join may send whole to every executor.
 SMALL = 10_000

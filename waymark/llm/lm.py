@@ -12,10 +12,12 @@ documents that the estimates leave out (the deleted part); then the estimates ta
 parts back. The sum over all words is one after every context.
 
 All counts cover all training documents. Documents lie in chunks of about ``CHUNK``
-characters. A chunk sends each different word, pair and triple of words once, by a 64-bit
-hash and with its number, to the task that counts this hash, and gets the counts of the
-corpus back; so no n-gram is too rare to count, and a frequent one is sent once a chunk.
-What goes to every executor is a matrix of ``CLASSES`` squared.
+characters. A chunk sends each different word, pair and triple of words once, by a hash
+and with its number, to the task that counts this hash, and gets the counts of the corpus
+back; so no n-gram is too rare to count, and a frequent one is sent once a chunk. Words
+have hashes of 64 bits; pairs and triples have 20 bits more than it takes to number them,
+so that one in a million shares another's count. What goes to every executor is a matrix
+of ``CLASSES`` squared.
 
 Nulls: a null text is empty and has the end mark only; a null doc_id counts as the empty
 string in the split. Repeated rows are scored and counted once each. An empty table gives
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import documents, settle, slices
+from waymark.llm.common import documents, release, settle, slices
 
 HEAD = 1 << 17
 CLASSES = 512
@@ -44,8 +46,8 @@ END = b"\n"
 FLUSH = 400_000
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Characters of documents that send their n-grams together, and tokens whose n-grams a task counts together.
-CHUNK = 1 << 20
-PART = 1 << 19
+CHUNK = 1 << 22
+PART = 1 << 20
 START = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,7 +57,7 @@ def split(docs: DataFrame) -> DataFrame:
     return documents(docs).withColumn("fold", fold.cast("int"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(lots: DataFrame) -> DataFrame:
     """(word, n, deleted): tokens in training, and those of them in the deleted part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,20 +70,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         n: Counter[bytes] = Counter()
         deleted: Counter[bytes] = Counter()
-        for b in slices(batches):
-            for text, fold in zip(b["text"].to_pylist(), b["fold"].to_pylist()):
-                words = text.encode().lower().split()
-                words.append(END)
-                n.update(words)
-                if fold == DELETED:
-                    deleted.update(words)
-                if len(n) > FLUSH:
-                    yield out()
-                    n.clear()
-                    deleted.clear()
+        for b in slices(batches, 1):
+            _, _, ids, names = opened(b["payload"][0].as_py())
+            found = dict(zip(names, np.bincount(ids, minlength=len(names)).tolist()))
+            n.update(found)
+            if b["deleted"][0].as_py():
+                deleted.update(found)
+            if len(n) > FLUSH:
+                yield out()
+                n.clear()
+                deleted.clear()
         yield out()
 
-    part = docs.where(F.col("fold") != HELD_OUT).select("text", "fold")
+    part = lots.where("not held_out").select("deleted", "payload")
     return part.mapInArrow(run, "word binary, n bigint, deleted bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"))
 
 
@@ -105,24 +106,23 @@ def frequent(words: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(map(bytes, found["word"].to_pylist()), found["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
-def class_pairs(docs: DataFrame, classes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def class_pairs(lots: DataFrame, classes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of (context, class) in training and in its deleted part; the last context is the start."""
     k = len(classes)
     shape = (k + 2, k + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, shape[0] * shape[1]), dtype=np.int64)
-        get = classes.get
-        for b in slices(batches):
-            for text, fold in zip(b["text"].to_pylist(), b["fold"].to_pylist()):
-                words = text.encode().lower().split()
-                at = np.array([k + 1, *(get(w, k) for w in words), classes[END]])
-                cells = at[:-1] * (k + 1) + at[1:]
-                np.add.at(total[int(fold == DELETED)], cells, 1)
+        for b in slices(batches, 1):
+            _, begin, ids, names = opened(b["payload"][0].as_py())
+            kind = np.array([classes.get(w, k) for w in names])[ids]
+            context = np.append(0, kind[:-1])
+            context[begin] = k + 1
+            total[int(b["deleted"][0].as_py())] += np.bincount(context * (k + 1) + kind, minlength=total.shape[1])
         cell = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[0][cell]), pa.array(total[1][cell])], ["cell", "kept", "deleted"])
 
-    part = docs.where(F.col("fold") != HELD_OUT).select("text", "fold")
+    part = lots.where("not held_out").select("deleted", "payload")
     counts = part.mapInArrow(run, "cell bigint, kept bigint, deleted bigint").groupBy("cell").agg(F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted"))
     found = counts.toPandas()
     out = np.zeros((2, shape[0] * shape[1]))
@@ -246,91 +246,108 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grams(payload: bytes, classes: dict[bytes, int]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, first token of each document, classes of tokens, different n-grams, place of each token's word, pair and triple among them)."""
+def opened(payload: bytes) -> tuple[list, np.ndarray, np.ndarray, list[bytes]]:
+    """(doc_ids, first token of each document, number of each token's word, different words) of a chunk."""
     batch = pa.ipc.open_stream(payload).read_next_batch()
-    begin, which = (batch[c].values.to_numpy() for c in ("begin", "ids"))
-    names = batch["words"][0].as_py()
-    word = np.array([xxhash.xxh64_intdigest(w) for w in names], dtype=np.uint64)[which]
-    kind = np.array([classes.get(w, len(classes)) for w in names])[which]
+    return batch["doc_id"][0].as_py(), batch["begin"].values.to_numpy(), batch["ids"].values.to_numpy(), batch["words"][0].as_py()
+
+
+def keys_of(begin: np.ndarray, ids: np.ndarray, names: list[bytes], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(different keys of words, and of pairs and triples, both ascending; place of each token's word, pair and triple among all of them).
+
+    Words have keys of 64 bits, pairs and triples of ``bits``.
+    """
+    hashed = np.array([xxhash.xxh64_intdigest(w) for w in names], dtype=np.uint64)
+    words, at = np.unique(hashed, return_inverse=True)
+    word = hashed[ids]
     before = np.concatenate(([START], word[:-1]))
     before[begin] = START
     pair = _mixed(before, word)
     last = np.concatenate(([START], pair[:-1]))
     last[begin] = START
-    keys, place = np.unique(np.concatenate((word, pair, _mixed(last ^ np.uint64(0x5851F42D4C957F2D), word))), return_inverse=True)
-    return batch["doc_id"][0].as_py(), begin, kind, keys, place.reshape(3, -1)
+    both = np.concatenate((pair, _mixed(last ^ np.uint64(0x5851F42D4C957F2D), word))) >> np.uint64(64 - bits)
+    more, place = np.unique(both, return_inverse=True)
+    return [words, more], np.concatenate((at[ids][None], place.reshape(2, -1) + len(words)))
+
+
+def key_bits(total: int) -> int:
+    """Bits of a key, so that of the pairs and triples of ``total`` tokens one in a million meets another's key."""
+    return min(64, max(32, (2 * int(total) + 1).bit_length() + 20))
 
 
-def parted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, bounds): keys in this order lie by parts, part p from bounds[p] to bounds[p + 1]."""
-    part = (keys >> np.uint64(16)) % np.uint64(parts)
-    return np.argsort(part, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))))
+def bounds(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Ascending keys lie by parts, each a range of keys; part p from bounds[p] to bounds[p + 1]."""
+    edges = np.array([-(-(p << bits) // parts) for p in range(1, parts)], dtype=np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def counted(docs: DataFrame, parts: int) -> DataFrame:
-    """(chunk, part, payload): counts in the kept and in the deleted part of each n-gram of a chunk, in the order of ``parted``."""
+def counted(lots: DataFrame, parts: int, bits: int) -> DataFrame:
+    """(chunk, part, deleted, words, grams): counts in the kept and in the deleted part of the keys that a chunk has in a part."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             chunk, deleted, held = (b[c][0].as_py() for c in ("chunk", "deleted", "held_out"))
-            _, _, _, keys, place = grams(b["payload"][0].as_py(), {})
-            n = np.bincount(place.ravel(), minlength=len(keys)).astype(np.uint32) * np.uint32(not held)
-            order, bounds = parted(keys, parts)
-            keys, n = keys[order], n[order]
-            some = np.flatnonzero(bounds[1:] > bounds[:-1])
-            columns = [
-                pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([deleted] * len(some)),
+            keys, place = keys_of(*opened(b["payload"][0].as_py())[1:], bits)
+            n = np.bincount(place.ravel(), minlength=sum(map(len, keys))).astype(np.uint32) * np.uint32(not held)
+            edges = [bounds(k, parts, width) for k, width in zip(keys, (64, bits))]
+            some = [p for p in range(parts) if any(e[p + 1] > e[p] for e in edges)]
+            columns = [pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([deleted] * len(some))]
+            for k, e, of in zip(keys, edges, np.split(n, [len(keys[0])])):
                 # keys of a part ascend, and so differ by less than they are
-                pa.array([packed(np.diff(keys[bounds[p] : bounds[p + 1]], prepend=np.uint64(0))) for p in some], pa.binary()),
-                pa.array([packed(n[bounds[p] : bounds[p + 1]]) for p in some], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "part", "deleted", "keys", "n"])
+                columns.append(pa.array([packed(np.diff(k[e[p] : e[p + 1]], prepend=np.uint64(0))) for p in some], pa.binary()))
+                columns.append(pa.array([packed(of[e[p] : e[p + 1]]) for p in some], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "part", "deleted", "words", "n_words", "grams", "n_grams"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, part, deleted, keys, n = [], [], [], [], []
-        for b in batches:
-            chunk += b["chunk"].to_pylist()
-            part += b["part"].to_pylist()
-            deleted += b["deleted"].to_pylist()
-            keys += [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in b["keys"].to_pylist()]
-            n += [unpacked(x, np.uint32) for x in b["n"].to_pylist()]
-        if not chunk:
+        rows = [r for b in batches for r in b.to_pylist()]
+        if not rows:
             return
-        sizes = [len(x) for x in keys]
-        different, place = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        n, late = np.concatenate(n), np.repeat(deleted, sizes)
-        found = np.stack([np.bincount(place, np.where(late == d, n, 0), minlength=len(different)).astype(np.uint32) for d in (False, True)])
-        ends = np.cumsum(sizes)
-        for a in range(0, len(chunk), 256):
-            some = range(a, min(a + 256, len(chunk)))
-            payload = [packed(found[:, place[ends[k] - sizes[k] : ends[k]]].ravel()) for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk[k] for k in some], pa.int64()), pa.array([part[k] for k in some], pa.int32()), pa.array(payload, pa.binary())], ["chunk", "part", "payload"])
-
-    sent = docs.mapInArrow(send, "chunk bigint, part int, deleted boolean, keys binary, n binary")
-    return sent.repartition(parts, "part").mapInArrow(count, "chunk bigint, part int, payload binary")
-
-
-def with_counts(docs: DataFrame, counts: DataFrame, partitions: int) -> DataFrame:
+        found: list[list[bytes]] = []
+        for what in ("words", "grams"):
+            keys = [np.cumsum(unpacked(r.pop(what), np.uint64), dtype=np.uint64) for r in rows]
+            n = np.concatenate([unpacked(r.pop(f"n_{what}"), np.uint32) for r in rows])
+            sizes = [len(k) for k in keys]
+            different, place = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            late = np.repeat([r["deleted"] for r in rows], sizes)
+            sums = np.stack([np.bincount(place, np.where(late == d, n, 0), minlength=len(different)).astype(np.uint32) for d in (False, True)])
+            ends = np.cumsum(sizes)
+            found.append([packed(sums[:, place[e - m : e]].ravel()) for e, m in zip(ends, sizes)])
+        for a in range(0, len(rows), 256):
+            some = rows[a : a + 256]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["chunk"] for r in some], pa.int64()), pa.array([r["part"] for r in some], pa.int32()), pa.array([r["deleted"] for r in some]), *(pa.array(x[a : a + 256], pa.binary()) for x in found)],
+                ["chunk", "part", "deleted", "words", "grams"],
+            )
+
+    sent = lots.mapInArrow(send, "chunk bigint, part int, deleted boolean, words binary, n_words binary, grams binary, n_grams binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "chunk bigint, part int, deleted boolean, words binary, grams binary")
+
+
+def with_counts(lots: DataFrame, counts: DataFrame, partitions: int) -> DataFrame:
     """Rows of chunks, each followed by its counts by part."""
-    rows = docs.unionByName(counts, allowMissingColumns=True)
-    return rows.repartition(partitions, "chunk").sortWithinPartitions("chunk", "part").select("part", "held_out", "payload")
+    rows = lots.select("chunk", "part", "held_out", "payload").unionByName(counts.select("chunk", "part", "words", "grams"), allowMissingColumns=True)
+    return rows.repartition(partitions, "chunk").sortWithinPartitions("chunk", "part").select("part", "held_out", "payload", "words", "grams")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bytes, np.ndarray]]:
+    """(held_out, documents, counts (kept or deleted, key) in the order of ``keys_of``) of each chunk."""
+    now: tuple[bool, bytes, list, list] | None = None
 
+    def out() -> tuple[bool, bytes, np.ndarray]:
+        return now[0], now[1], np.concatenate([unpacked(x, np.uint32).reshape(2, -1) for x in now[2] + now[3]], axis=1).astype(np.int64)
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bytes, list[bytes]]]:
-    """(held_out, documents, counts by part) of each chunk."""
-    now: tuple[bool, bytes, list[bytes]] | None = None
     for b in batches:
-        for part, held, payload in zip(b["part"], b["held_out"], b["payload"]):
-            if part.as_py() < 0:
+        for r in b.to_pylist():
+            if r["part"] < 0:
                 if now:
-                    yield now
-                now = (held.as_py(), payload.as_py(), [])
+                    yield out()
+                now = (r["held_out"], r["payload"], [], [])
             else:
-                now[2].append(payload.as_py())
+                now[2].append(r["words"])
+                now[3].append(r["grams"])
     if now:
-        yield now
+        yield out()
 
 
 def context_bucket(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -359,12 +376,12 @@ def order_weights(histogram: list[tuple[int, float, float, float, float]]) -> np
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    own = split(docs)
-    words = settle(word_counts(own))
+    lots = settle(chunks(split(docs)))
+    words = settle(word_counts(lots))
     total, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = frequent(words, HEAD)
     classes = {w: k for k, w in enumerate(dict.fromkeys([END, *(h[0] for h in head[: CLASSES - 1])]))}
-    kept, deleted = class_pairs(own, classes)
+    kept, deleted = class_pairs(lots, classes)
     chances = class_chances(kept, deleted)
 
     # the words of the common class: counts above 1,000 are rounded to three digits
@@ -375,20 +392,21 @@ def score(docs: DataFrame) -> DataFrame:
     sizes = sum(r["size"] for r in shares), sum(r["n"] for r in shares)
     weight = word_weight([(r["k"], r["deleted"]) for r in shares if r["deleted"]], sizes[0], known)
 
-    lots = settle(chunks(own))
     parts = max(spark.sparkContext.defaultParallelism, int(total) // PART + 1)
-    counts = settle(counted(lots, parts))
+    bits = key_bits(total)
+    counts = settle(counted(lots, parts, bits))
+    del words, common
+    release(spark)
     denominator = total + known + 1
     sent = spark.sparkContext.broadcast((classes, chances))
 
-    def estimates(payload: bytes, found: list[bytes], whole: bool) -> tuple:
+    def estimates(payload: bytes, found: np.ndarray, whole: bool) -> tuple:
         """(doc_ids, begin, counts of words, estimates of the three orders, buckets), by all training documents or by the kept ones."""
         classes, chances = sent.value
-        docs, begin, kind, keys, place = grams(payload, classes)
-        order, _ = parted(keys, parts)
-        n = np.empty((2, len(keys)), dtype=np.int64)
-        n[:, order] = np.concatenate([unpacked(x, np.uint32).reshape(2, -1) for x in found], axis=1)
-        n = (n.sum(axis=0) if whole else n[0])[place]
+        docs, begin, ids, names = opened(payload)
+        _, place = keys_of(begin, ids, names, bits)
+        kind = np.array([classes.get(w, len(classes)) for w in names])[ids]
+        n = (found.sum(axis=0) if whole else found[0])[place]
         context = np.append(0, kind[:-1])
         context[begin] = len(classes) + 1
         inside = np.where(kind == len(classes), weight / max(sizes[whole], 1) * n[0] + (1 - weight) / (known + 1), 1.0)
@@ -407,8 +425,7 @@ def score(docs: DataFrame) -> DataFrame:
         columns = [pa.array([c[j] for c in cells], pa.int64()) for j in range(4)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(histogram.values(), pa.int64())], ["b", "e3", "e2", "e1", "n"])
 
-    late = lots.where("deleted")
-    rows = with_counts(late, counts.join(F.broadcast(late.select("chunk")), "chunk", "left_semi"), parts)
+    rows = with_counts(lots.where("deleted"), counts.where("deleted"), parts)
     cells = rows.mapInArrow(learned, "b bigint, e3 bigint, e2 bigint, e1 bigint, n bigint").groupBy("b", "e3", "e2", "e1").agg(F.sum("n").alias("n")).collect()
     weights = order_weights(sorted((r["b"], *(10.0 ** (r[c] / 10) if r[c] > -999 else 0.0 for c in ("e3", "e2", "e1")), r["n"]) for r in cells))
 
