@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,7 +48,18 @@ def settle(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Have Spark remove shuffle files that no frame refers to any more.
 
-    Its cleaner learns of them when the driver's heap is collected, which may be long after.
+    Its cleaner learns of them when the driver's heap is collected, which may be long
+    after. Python's references are let go by a thread of their own, so the heap is
+    collected once more a moment later.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a worker makes of them stays small too."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
