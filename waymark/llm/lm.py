@@ -48,6 +48,8 @@ FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Characters of documents that send their n-grams together, and tokens whose n-grams a task counts together.
 CHUNK = 1 << 22
 PART = 1 << 20
+#: Estimates are graded so many times a power of ten where the weights are learned, which bounds what the driver gets.
+GRADES = 4
 START = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -392,10 +394,11 @@ def score(docs: DataFrame) -> DataFrame:
     sizes = sum(r["size"] for r in shares), sum(r["n"] for r in shares)
     weight = word_weight([(r["k"], r["deleted"]) for r in shares if r["deleted"]], sizes[0], known)
 
+    del words, common, k, step
+    release(spark)
     parts = max(spark.sparkContext.defaultParallelism, int(total) // PART + 1)
     bits = key_bits(total)
     counts = settle(counted(lots, parts, bits))
-    del words, common
     release(spark)
     denominator = total + known + 1
     sent = spark.sparkContext.broadcast((classes, chances))
@@ -417,7 +420,7 @@ def score(docs: DataFrame) -> DataFrame:
         histogram: Counter[tuple] = Counter()
         for _, payload, found in gathered(batches):
             _, _, _, e, at = estimates(payload, found, False)
-            steps = np.where(e > 0, np.round(10 * np.log10(np.maximum(e, 1e-30))), -999).astype(np.int64)
+            steps = np.where(e > 0, np.round(GRADES * np.log10(np.maximum(e, 1e-30))), -999).astype(np.int64)
             cells, n = np.unique(np.concatenate((at[None], steps)), axis=1, return_counts=True)
             for cell, m in zip(cells.T.tolist(), n.tolist()):
                 histogram[tuple(cell)] += m
@@ -427,7 +430,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     rows = with_counts(lots.where("deleted"), counts.where("deleted"), parts)
     cells = rows.mapInArrow(learned, "b bigint, e3 bigint, e2 bigint, e1 bigint, n bigint").groupBy("b", "e3", "e2", "e1").agg(F.sum("n").alias("n")).collect()
-    weights = order_weights(sorted((r["b"], *(10.0 ** (r[c] / 10) if r[c] > -999 else 0.0 for c in ("e3", "e2", "e1")), r["n"]) for r in cells))
+    weights = order_weights(sorted((r["b"], *(10.0 ** (r[c] / GRADES) if r[c] > -999 else 0.0 for c in ("e3", "e2", "e1")), r["n"]) for r in cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, payload, found in gathered(batches):
