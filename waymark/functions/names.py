@@ -97,7 +97,7 @@ def node_kind(name: Column, published: Column) -> Column:
 
 
 def suffix_verdict(suffix: Column, conditions: Column) -> Column:
-    """reads or excluded, for a shard's suffix and array<struct<op, value>> of conditions that must all hold."""
+    """reads, maybe or excluded, for a shard's suffix and array<struct<op, value>> of conditions that must all hold; the op ? says nothing."""
 
     def holds(c: Column) -> Column:
         op, value = c["op"], c["value"]
@@ -112,4 +112,5 @@ def suffix_verdict(suffix: Column, conditions: Column) -> Column:
             .otherwise(True)
         )
 
-    return F.when(F.forall(conditions, holds), "reads").otherwise("excluded")
+    open_ = F.exists(conditions, lambda c: c["op"] == "?")
+    return F.when(~F.forall(conditions, holds), "excluded").when(open_, "maybe").otherwise("reads")
