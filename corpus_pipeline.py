@@ -15,6 +15,8 @@ from waymark.llm import mixing, packing, quality, simhash, suffix
 from waymark.llm.common import shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a passage that goes wherever it occurs twice: some thirty words.
+PASSAGE = 200
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +30,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that occur elsewhere go; broken characters at the edges go with them.
+    """Bytes of strings of ``PASSAGE`` bytes that occur elsewhere go; broken characters at the edges go with them.
 
     A document of which nothing is left stays, with an empty text.
     """
-    found = suffix.remove_repeats(docs, "lang", "source", as_text=True)
+    found = suffix.remove_repeats(docs, "lang", "source", length=PASSAGE, as_text=True)
     return found.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 

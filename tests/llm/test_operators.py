@@ -212,9 +212,9 @@ def test_op5_bytes(spark, odd):
     assert want == multiset((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows)
 
 
-@pytest.mark.parametrize("limit", [65_536, 2])
-def test_op5_edges(spark, monkeypatch, limit):
-    """Overlaps, edits near the edges, and classes too large for one task."""
+@pytest.mark.parametrize("limit, length", [(65_536, 400), (2, 400), (2, 200), (65_536, 200)])
+def test_op5_edges(spark, monkeypatch, limit, length):
+    """Overlaps, edits near the edges, and classes that are parted."""
     import random
 
     from waymark.llm import suffix
@@ -226,12 +226,75 @@ def test_op5_edges(spark, monkeypatch, limit):
     texts += [fixtures.words(rng, 30)[: rng.randint(0, 80)] + core[100 : 100 + n] + fixtures.words(rng, 9) for n in range(395, 411)]
     texts += [core[:300] + "é" + core[300:], core[:300] + "è" + core[300:]]
     rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
-    got = suffix.remove_repeats(fixtures.frame(spark, rows)).collect()
-    want = {i: b for i, b in enumerate(brute.repeats(texts))}
+    texts += [fixtures.words(rng, 20) + core[300 : 300 + n] + fixtures.words(rng, 9) for n in range(196, 204)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    got = suffix.remove_repeats(fixtures.frame(spark, rows), length=length).collect()
+    want = {i: b for i, b in enumerate(brute.repeats(texts, length))}
+    for r in got:
+        assert (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), sha(bytes(r["kept"]))) == want[r["doc_id"]], r["doc_id"]
+
+
+@pytest.mark.parametrize("length", [400, 200])
+def test_op5_parted_classes(spark, monkeypatch, length):
+    """One key in many surroundings that share more or less on either side, dealt to many shards and parted often."""
+    import random
+
+    from waymark.llm import suffix
+
+    monkeypatch.setattr(suffix, "CLASS", 3)
+    monkeypatch.setattr(suffix, "SHARD", 7)
+    rng = random.Random(4)
+    core = fixtures.words(rng, 200)[: length - 60]
+    left, right = [fixtures.words(rng, 60)[:150] for _ in range(4)], [fixtures.words(rng, 60)[:150] for _ in range(4)]
+    texts = []
+    for _ in range(90):
+        a, b = rng.choice(left), rng.choice(right)
+        a, b = a[: rng.randint(0, 150)][::-1], b[: rng.randint(0, 150)]
+        texts.append(fixtures.words(rng, 3) + a + core + b + fixtures.words(rng, 3))
+    got = suffix.remove_repeats(fixtures.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), length=length).collect()
+    want = dict(enumerate(brute.repeats(texts, length)))
+    assert sum(w[1] > 0 for w in want.values()) > 20
     for r in got:
         assert (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), sha(bytes(r["kept"]))) == want[r["doc_id"]], r["doc_id"]
 
 
+def test_op5_merge_of_shards():
+    """Merged orders and common prefixes are those of one sort, however rows are dealt to shards."""
+    import random
+
+    import numpy as np
+
+    from waymark.llm import suffix
+
+    rng = random.Random(3)
+    for few in (1, 2, 5, 40):
+        strings = [bytes(rng.choice(b"ab") for _ in range(rng.choice((0, 3, 9, 127)))) for _ in range(30)]
+        strings += [s[:k] + s[k:][::-1] for s in rng.choices(strings, k=30) for k in (0, 50, 126)] + strings[:9] + [b"a" * 127] * 3
+        keys = [rng.randrange(3) for _ in strings]
+        shard = [rng.randrange(few) for _ in strings]
+        rank, same = np.zeros(len(strings), int), np.zeros(len(strings), int)
+        for x in range(few):
+            own = [k for k, y in enumerate(shard) if y == x]
+            r, c = suffix.ordered([keys[k] for k in own], [strings[k] for k in own]) if own else ([], [])
+            rank[own], same[own] = r, c
+        rows = sorted(range(len(strings)), key=lambda k: (keys[k], shard[k], rank[k]))
+        columns = suffix.symbols([strings[k] for k in rows])
+        order, shared = suffix.interleave(np.array([keys[k] for k in rows]), np.array([shard[k] for k in rows]), same[rows], columns)
+        merged = [rows[k] for k in order]
+        assert sorted(merged) == sorted(rows) and shared[0] == -1
+        for a, b, n in zip(merged, merged[1:], shared[1:]):
+            want = -1 if keys[a] != keys[b] else suffix._common(strings[a], strings[b])
+            assert n == want
+        # rows that share n symbols stand together
+        for n in (1, 4, 60, 127):
+            runs = np.cumsum(shared < n)
+            by = {}
+            for k, run in zip(merged, runs):
+                if len(strings[k]) >= n:
+                    by.setdefault((keys[k], strings[k][:n]), set()).add(run)
+            assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
+
+
 def test_op6_base(spark, odd):
     rows = run(spark, "op6_quality", odd)
     want = multiset((d[0], *brute.quality(d[1])) for d in fixtures.documents())
@@ -479,7 +542,7 @@ def test_pipeline(spark, odd):
             keep = {i for (i, _), c in zip(marked, brute.near_components(marked)) if i == c}
             assert {r["doc_id"] for r in docs.collect() if r["doc_id"] is not None} == keep - {1 << 62}
         if k == 2:
-            want = multiset(b[3] for b in brute.repeats([r["text"] for r in rows]))
+            want = multiset(b[3] for b in brute.repeats([r["text"] for r in rows], corpus_pipeline.PASSAGE))
             got = multiset(sha(r["text"].encode()) for r in docs.collect())
             assert sum((want - got).values()) <= 1  # a cut may break a character
     assert docs.count() and corpus_pipeline.ORACLE_SQL is None

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.shared import release, settle, shared_dir, shared_path  # noqa: F401  the operators take them from here
+from waymark.functions.shared import release, settle, shared_dir, shared_path, slices  # noqa: F401  the operators take them from here
+from waymark.operators.components import components  # noqa: F401
 
 #: Rows of statistics that a join may send whole to every executor.
 SMALL = 10_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that what a worker makes of them stays small too."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id (bigint), text (null becomes empty) and the columns named; the rest is left out."""
     return df.select(
@@ -53,31 +44,3 @@ def may_have(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
     return found.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("__bucket", "__bits")
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b): root is the smallest node it reaches.
-
-    Alternating large-star and small-star steps, each a grouped minimum and a join; the
-    edges left after a round are settled, so a lost executor costs one round at most.
-    Roots are not listed. Edges from a node to itself are ignored.
-    """
-    spark = edges.sparkSession
-
-    def distinct(df: DataFrame) -> DataFrame:
-        return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    now = settle(distinct(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    state = None
-    for _ in range(rounds):
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state or not new[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = new
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = distinct(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle(distinct(small.unionByName(least.select("u", F.col("m").alias("v")))))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,48 +1,63 @@
 """Exact removal of long repeated byte strings, by merging the suffix orders of shards.
 
-A string of ``LENGTH`` bytes is led by its minimizer: the position, among its first
+A string of ``length`` bytes is led by its minimizer: the position, among its first
 ``WINDOW``, whose 24-byte hash is least. Equal strings have equal leaders, so only
-suffixes at leaders are ordered, and only those whose ``KEY`` bytes occur twice. Around
-those bytes, which are one symbol then, two strings of 127 symbols remain: the text
-before, read backwards, and the text after.
-
-Suffixes of one class, from whatever task, are ordered together by a radix sort: stable
-sorts by one column of symbols after the other, the last one first. No suffix order or
-Burrows-Wheeler transform of a shard is built or merged. Neighbours give the common
-prefixes. A 400-byte string
-repeats if its suffix shares an interval on either side of the leader, long enough
-together, with another one's.
+suffixes at leaders are ordered, and only those whose first bytes, the key that all
+strings led from there share, occur twice. Around the key, which is one symbol then, two
+strings of ``SIDE`` symbols remain: the text after it, and the text before it read
+backwards.
+
+A shard is what one task holds at a time. It sorts its suffixes once, by what follows the
+key and by what stands before it (the columns of its transform), and hands on the ranks
+and the common prefixes of neighbours. Shards are merged by refining their interleave: at
+first all rows of a class are one block, shard after shard; round k parts each block,
+stably, by the symbol at k, and a border that appears in round k has a common prefix of k
+symbols. Blocks that hold rows of one shard only aren't refined further, for their order
+and their prefixes are that shard's. So nothing is sorted again, and no symbol is read
+that a shard has settled. Intervals of the merged orders that share enough symbols on both
+sides hold the repeated strings.
 
 Copies never meet in the merge: equal surroundings of a leader are counted first, and one
-stands for all. A class with over ``CLASS`` different surroundings is decided by grouped
-hashes of its strings instead, which is exact too and has no group in one task.
+stands for all. A class of over ``CLASS`` different surroundings is parted before it is
+merged: the strings that begin in the first half of the places before the key share half
+of what follows it, the others half of what stands before it, so either half is a class
+by that symbol string, and again, until classes are small or hold one string, which is
+counted. So no class, however common its key, meets in one task.
+
+Keys, surroundings and the symbol strings of parted classes are told apart by 64-bit
+hashes, each within its key.
 
 Nulls: a null text is empty and has nothing removed. Repeated rows count as documents of
-their own, so all their bytes go if the text has 400 bytes. An empty table gives an empty
-result. Other columns are ignored. Text is taken in pieces of 1 MiB.
+their own, so all their bytes go if the text has ``length`` bytes. An empty table gives an
+empty result. Other columns are ignored. Text is taken in pieces of 1 MiB.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import documents, may_have, settle, slices
 
 LENGTH = 400
 WINDOW = 128
-KEY = LENGTH - WINDOW + 1
-#: Different surroundings of one key beyond which they aren't merged in one task.
-CLASS = 65_536
 SIDE = WINDOW - 1
+#: Bytes of a leader's hash, which must lie in every key.
+SEED = 24
+#: Different surroundings of one class beyond which it is parted.
+CLASS = 2048
 MISSING = 256
 PIECE = 1 << 20
+#: Rows of a shard, and rows that are merged together at least.
+SHARD = 20_000
 MERGE = 20_000
+_CONTEXT = "key bigint, around bigint, copies bigint, shard bigint, rank_after int, same_after int, rank_before int, same_before int, before binary, after binary"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
@@ -63,11 +78,11 @@ def _join(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
     return a[: len(b)] * _MIX + (b ^ (b >> _SHIFT))
 
 
-def leaders(text: bytes) -> np.ndarray:
-    """Positions that lead some ``LENGTH``-byte string of the text, in order."""
+def leaders(text: bytes, length: int = LENGTH) -> np.ndarray:
+    """Positions that lead some ``length``-byte string of the text, in order."""
     found = []
-    for at in range(0, max(0, len(text) - LENGTH + 1), PIECE):
-        b = np.frombuffer(text[at : at + PIECE + LENGTH - 1], np.uint8)
+    for at in range(0, max(0, len(text) - length + 1), PIECE):
+        b = np.frombuffer(text[at : at + PIECE + length - 1], np.uint8)
         h1 = _BYTES[b]
         h2 = _join(h1, h1, 1)
         h4 = _join(h2, h2, 2)
@@ -79,7 +94,7 @@ def leaders(text: bytes) -> np.ndarray:
         while span < WINDOW:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
-        low = low[: len(b) - LENGTH + 1]
+        low = low[: len(b) - length + 1]
         # a position leads if it is the least of some window that holds it
         high = np.concatenate((np.zeros(WINDOW - 1, np.uint64), low, np.zeros(WINDOW - 1, np.uint64)))
         span = 1
@@ -91,98 +106,186 @@ def leaders(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
-def _surroundings(text: bytes, at: int) -> tuple[bytes, bytes]:
-    return text[max(0, at - SIDE) : at], text[at + KEY : at + LENGTH]
-
-
-def _suffixes(docs: DataFrame) -> DataFrame:
-    """(key, around, doc, pos) of every leader."""
+def _suffixes(docs: DataFrame, length: int) -> DataFrame:
+    """(key, around, doc, tint, pos) of every leader."""
+    key = length - SIDE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in slices(batches):
             keys: list[int] = []
             around: list[int] = []
-            pos, doc = [], []
-            for row, text in zip(b["doc"].to_numpy().tolist(), b["text"].to_pylist()):
+            pos, many = [], []
+            for text in b["text"].to_pylist():
                 text = text.encode()
-                at = leaders(text)
+                at = leaders(text, length)
                 n = len(text)
                 for p in at.tolist():
-                    keys.append(digest(text[p : p + KEY]))
-                    around.append(digest(text[max(0, p - SIDE) : p + LENGTH], min(p, SIDE) * 1024 + min(n - p, LENGTH)))
+                    keys.append(digest(text[p : p + key]))
+                    around.append(digest(text[max(0, p - SIDE) : p + length], min(p, SIDE) * 65536 + min(n - p, length)))
                 pos.append(at)
-                doc.append(np.full(len(at), row, dtype=np.int64))
+                many.append(len(at))
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
                         pa.array(np.array(around, dtype=np.uint64).view(np.int64)),
-                        pa.array(np.concatenate(doc)),
+                        pa.array(np.repeat(b["doc"].to_numpy(), many)),
+                        pa.array(np.repeat(b["tint"].to_numpy(), many)),
                         pa.array(np.concatenate(pos).astype(np.int32)),
                     ],
-                    ["key", "around", "doc", "pos"],
+                    ["key", "around", "doc", "tint", "pos"],
                 )
 
-    return docs.select("doc", "text").mapInArrow(run, "key bigint, around bigint, doc bigint, pos int")
+    return docs.select("doc", "tint", "text").mapInArrow(run, "key bigint, around bigint, doc bigint, tint int, pos int")
+
+
+def symbols(strings: list[bytes]) -> np.ndarray:
+    """(strings, SIDE) symbols; places past a string's end hold ``MISSING``."""
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    out = np.full((len(strings), SIDE), MISSING, dtype=np.uint16)
+    out[np.arange(SIDE) < size[:, None]] = np.frombuffer(b"".join(strings), np.uint8)
+    return out
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (x.bit_length() + 7) // 8
+
+
+def ordered(keys: list[int], strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's order: each row's rank, by key and string, and the symbols that it shares with the row before it; -1 across keys."""
+    order = sorted(range(len(keys)), key=lambda k: (keys[k], strings[k]))
+    rank, same = np.empty(len(keys), np.int32), np.full(len(keys), -1, np.int32)
+    rank[order] = np.arange(len(keys))
+    for a, b in zip(order, order[1:]):
+        if keys[a] == keys[b]:
+            same[b] = _common(strings[a], strings[b])
+    return rank, same
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The surroundings of ``wanted`` leaders (doc, tint, list of pos, key, around, copies), in the order of shards."""
+    key = length - SIDE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held: list[tuple[int, int, int, bytes, bytes]] = []
+        shards = 0
+
+        def out() -> pa.RecordBatch:
+            keys, around, copies, before, after = (list(c) for c in zip(*held))
+            held.clear()
+            ranks = [pa.array(x) for strings in (after, before) for x in ordered(keys, strings)]
+            shard = pa.array(np.full(len(keys), TaskContext.get().partitionId() << 32 | shards))
+            columns = [pa.array(keys, pa.int64()), pa.array(around, pa.int64()), pa.array(copies, pa.int64()), shard, *ranks, pa.array(before, pa.binary()), pa.array(after, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _CONTEXT.split(", ")])
+
+        for b in slices(batches, 16):
+            for text, places in zip(b["text"].to_pylist(), b["wanted"].to_pylist()):
+                text = text.encode()
+                for w in places:
+                    p = w["pos"]
+                    held.append((w["key"], w["around"], w["copies"], text[max(0, p - SIDE) : p][::-1], text[p + key : p + length]))
+                    if len(held) >= SHARD:
+                        yield out()
+                        shards += 1
+        if held:
+            yield out()
+
+    found = may_have(docs.select("doc", "tint", "text"), "doc", wanted).where("maybe").join(wanted, ["doc", "tint"])
+    return found.select("text", "wanted").mapInArrow(run, _CONTEXT)
+
+
+def neighbours(group: np.ndarray, shard: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """What each row shares with the one before it, if that is of its group and shard, else -1."""
+    apart = (columns[1:] != columns[:-1]) | (columns[1:] == MISSING)
+    same = np.where(apart.any(axis=1), apart.argmax(axis=1), columns.shape[1])
+    return np.concatenate(([-1], np.where((group[1:] == group[:-1]) & (shard[1:] == shard[:-1]), same, -1)))
 
 
-def refine(group: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The merged order of rows, and the symbols that each shares with the one before it.
+def interleave(group: np.ndarray, shard: np.ndarray, same: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The merged order of rows, and the symbols that each shares with the one before it; -1 across groups.
 
-    ``group`` is below 65,536; rows of different groups share -1. The interleave is
-    partitioned stably by the last column first; missing symbols match nothing.
+    Rows come by group, then shard, then rank in it; ``same`` is what a row shares with
+    the one before it in its shard. Missing symbols match nothing.
     """
-    order = np.arange(len(group))
-    for k in range(columns.shape[1] - 1, -1, -1):
-        order = order[np.argsort(columns[order, k], kind="stable")]
-    order = order[np.argsort(group[order].astype(np.uint16), kind="stable")]
-    a, b = columns[order[1:]], columns[order[:-1]]
-    apart = (a != b) | (a == MISSING)
-    shared = np.where(apart.any(axis=1), apart.argmax(axis=1), columns.shape[1])
-    shared[group[order[1:]] != group[order[:-1]]] = -1
-    return order, np.concatenate(([-1], shared))
-
-
-def repeated(group: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """(rows, WINDOW): whether the string that starts o symbols before the key occurs in another row."""
     n = len(group)
-    lo, ls = refine(group, before)
-    ro, rs = refine(group, after)
-    have_l, have_r = (before != MISSING).sum(axis=1), (after != MISSING).sum(axis=1)
+    order, shared = np.arange(n), np.full(n, -1, dtype=np.int64)
+    first = np.concatenate(([True], group[1:] != group[:-1]))
+
+    def mixed(first: np.ndarray, shards: np.ndarray) -> np.ndarray:
+        """Whether a row's block, each beginning at ``first``, has rows of several shards."""
+        starts = np.flatnonzero(first)
+        return np.repeat(np.minimum.reduceat(shards, starts) != np.maximum.reduceat(shards, starts), np.diff(np.append(starts, len(first))))
+
+    # inside a block of one shard, neighbours share what they share there
+    inside = ~first
+    open_ = np.flatnonzero(mixed(first, shard))
+    block = np.cumsum(first)
+    for k in range(columns.shape[1]):
+        if not len(open_):
+            break
+        rows, of = order[open_], block[open_]
+        symbol = columns[rows, k]
+        by = np.argsort(of * 512 + symbol, kind="stable")
+        rows, symbol = rows[by], symbol[by]
+        order[open_] = rows
+        border = np.concatenate(([True], (of[1:] != of[:-1]) | (symbol[1:] != symbol[:-1]) | (symbol[1:] == MISSING)))
+        appears = border & np.concatenate(([False], of[1:] == of[:-1]))
+        shared[open_[appears]] = k
+        inside[open_[appears]] = False
+        block[open_] = open_[border][np.cumsum(border) - 1] + n + 1  # the place where it begins, apart from the first numbers
+        open_ = open_[mixed(border, shard[rows])]
+    whole = np.zeros(n, dtype=bool)
+    whole[open_] = True  # never parted: all symbols are the same
+    shared[inside] = np.where(whole[inside], columns.shape[1], same[order[inside]])
+    return order, shared
+
+
+def repeated(after: tuple[np.ndarray, np.ndarray], before: tuple[np.ndarray, np.ndarray], have_after: np.ndarray, have_before: np.ndarray) -> np.ndarray:
+    """(rows, WINDOW): whether the string that starts o symbols before the key occurs in another row, by the two merged orders."""
+    (ro, rs), (lo, ls) = after, before
+    n = len(ro)
     out = np.zeros((n, WINDOW), dtype=bool)
     left, right = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(WINDOW):
         left[lo] = np.cumsum(ls < o)
         right[ro] = np.cumsum(rs < SIDE - o)
-        rows = np.flatnonzero((have_l >= o) & (have_r >= SIDE - o))
+        rows = np.flatnonzero((have_before >= o) & (have_after >= SIDE - o))
         _, at, count = np.unique(left[rows] * (n + 1) + right[rows], return_inverse=True, return_counts=True)
         out[rows, o] = count[at] > 1
     return out
 
 
-def _merge(contexts: DataFrame) -> DataFrame:
-    """(key, around, bits): contexts (key, around, copies, before, after) sorted by key in their partition."""
+def _merge(contexts: DataFrame, parted: bool) -> DataFrame:
+    """(key, around, bits) of contexts (class, lo, hi and ``_CONTEXT``), sorted by class, shard and rank in their partition.
 
-    def symbols(column: pa.Array, backwards: bool) -> np.ndarray:
-        out = np.full((len(column), SIDE), MISSING, dtype=np.uint16)
-        for k, x in enumerate(column.to_pylist()):
-            x = np.frombuffer(x, np.uint8)
-            out[k, : len(x)] = x[::-1] if backwards else x
-        return out
+    A parted class has some of a shard's rows of a key only, so what neighbours share in
+    it is looked up anew; their order stays.
+    """
 
     def decide(rows: pa.Table) -> pa.RecordBatch:
-        key = rows["key"].to_numpy()
-        first = np.concatenate(([True], key[1:] != key[:-1]))
-        before = symbols(rows["before"].combine_chunks(), True)
-        after = symbols(rows["after"].combine_chunks(), False)
-        bits = repeated(np.cumsum(first) - 1, before, after)
-        bits[rows["copies"].to_numpy() > 1] = True
-        packed = np.packbits(bits, axis=1, bitorder="little")
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key), rows["around"].combine_chunks(), pa.array([x.tobytes() for x in packed], pa.binary())],
-            ["key", "around", "bits"],
-        )
+        at = {c: rows[c].to_numpy() for c in ("class", "shard", "same_after", "same_before", "rank_before", "copies", "lo", "hi")}
+        group = np.cumsum(np.concatenate(([True], at["class"][1:] != at["class"][:-1])))
+        after, before = (symbols(rows[c].to_pylist()) for c in ("after", "before"))
+        turn = np.lexsort((at["rank_before"], at["shard"], group))
+        there, shards = group[turn], at["shard"][turn]
+        same = (neighbours(group, at["shard"], after), neighbours(there, shards, before[turn])) if parted else (at["same_after"], at["same_before"][turn])
+        forth = interleave(group, at["shard"], same[0], after)
+        order, shared = interleave(there, shards, same[1], before[turn])
+        bits = repeated(forth, (turn[order], shared), (after != MISSING).sum(axis=1), (before != MISSING).sum(axis=1))
+        bits[at["copies"] > 1] = True
+        o = np.arange(WINDOW)
+        bits &= (o >= at["lo"][:, None]) & (o <= at["hi"][:, None])
+        some = np.flatnonzero(bits.any(axis=1))
+        packed = np.packbits(bits[some], axis=1, bitorder="little")
+        key, around = (pa.array(rows[c].to_numpy()[some]) for c in ("key", "around"))
+        return pa.RecordBatch.from_arrays([key, around, pa.array([x.tobytes() for x in packed], pa.binary())], ["key", "around", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -191,7 +294,7 @@ def _merge(contexts: DataFrame) -> DataFrame:
                 part = pa.Table.from_batches([b.slice(at, MERGE)])
                 held = part if held is None else pa.concat_tables([held, part])
                 if held.num_rows >= MERGE:
-                    key = held["key"].to_numpy()
+                    key = held["class"].to_numpy()
                     cut = int(np.searchsorted(key == key[-1], True))
                     if cut:
                         yield decide(held.slice(0, cut))
@@ -202,91 +305,69 @@ def _merge(contexts: DataFrame) -> DataFrame:
     return contexts.mapInArrow(run, "key bigint, around bigint, bits binary")
 
 
-def _by_strings(contexts: DataFrame) -> DataFrame:
-    """As ``_merge``, by counting hashes of the strings: for classes too large for one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            out: list[tuple[int, int, int, int, int]] = []
-            for key, around, copies, x, y in zip(*(b[c].to_pylist() for c in ("key", "around", "copies", "before", "after"))):
-                for o in range(max(0, SIDE - len(y)), min(SIDE, len(x)) + 1):
-                    string = x[len(x) - o :] + y[: SIDE - o]
-                    out.append((key, around, copies, o, xxhash.xxh3_64_intdigest(string) - (1 << 63)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, (pa.int64(),) * 3 + (pa.int32(), pa.int64()))],
-                ["key", "around", "copies", "o", "string"],
-            )
-
-    strings = contexts.mapInArrow(run, "key bigint, around bigint, copies bigint, o int, string bigint")
-    often = strings.groupBy("key", "o", "string").agg(F.sum("copies").alias("n")).where("n > 1")
-    found = strings.join(often, ["key", "o", "string"], "left_semi").groupBy("key", "around").agg(F.collect_set("o").alias("os"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            bits = np.zeros((b.num_rows, WINDOW), dtype=bool)
-            for k, os in enumerate(b["os"].to_pylist()):
-                bits[k, os] = True
-            packed = [x.tobytes() for x in np.packbits(bits, axis=1, bitorder="little")]
-            yield pa.RecordBatch.from_arrays([b["key"], b["around"], pa.array(packed, pa.binary())], ["key", "around", "bits"])
-
-    return found.mapInArrow(pack, "key bigint, around bigint, bits binary")
-
-
-def _marks(docs: DataFrame) -> DataFrame:
-    """(doc, marks): for each document the leaders with repeated strings; null bits stand for all of them."""
-    suffixes = _suffixes(docs)
+def _one_bit(o: Column) -> Column:
+    """The bits of ``_merge`` with only o set."""
+    byte = F.unhex(F.lpad(F.hex(F.pow(F.lit(2), F.pmod(o, F.lit(8))).cast("int")), 2, "0"))
+    zeros = lambda n: F.unhex(F.repeat(F.lit("00"), n))
+    return F.concat(zeros(F.floor(o / 8).cast("int")), byte, zeros(F.lit(WINDOW // 8 - 1) - F.floor(o / 8).cast("int")))
+
+
+def _decided(contexts: DataFrame) -> list[DataFrame]:
+    """(key, around, bits) of settled contexts, by rounds: small classes are merged, large ones parted."""
+    out: list[DataFrame] = []
+    now = contexts.withColumns({"class": F.col("key"), "lo": F.lit(0), "hi": F.lit(SIDE)})
+    parted = False
+    while True:
+        sizes = settle(now.groupBy("class").agg(F.count("*").alias("rows")).where(F.col("rows") > CLASS).select("class"))
+        large = not sizes.isEmpty()
+        small = now.join(sizes, "class", "left_anti") if large else now
+        out.append(_merge(small.repartition("class").sortWithinPartitions("class", "shard", "rank_after"), parted))
+        if not large:
+            return out
+        parted = True
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("lo").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("hi").alias("b")))
+        parts = now.join(sizes, "class", "left_semi").withColumn("half", F.explode(halves)).withColumns({"lo": F.col("half.a"), "hi": F.col("half.b")}).drop("half")
+        rest = F.lit(SIDE) - F.col("hi")  # symbols after the key that all strings of the half have
+        parts = parts.where((F.length("before") >= F.col("lo")) & (F.length("after") >= rest))
+        parts = parts.withColumn("class", F.xxhash64("class", "lo", "hi", F.substring("before", F.lit(1), F.col("lo")), F.substring("after", F.lit(1), rest)))
+        # rows alone in their class have no partner there; copies have each other
+        kin = parts.groupBy("class").agg(F.sum("copies").alias("n"))
+        parts = settle(parts.join(kin.where("n > 1").select("class"), "class", "left_semi"))
+        single = parts.where("lo = hi")  # classes of one string, which occurs more than once
+        out.append(single.select("key", "around", _one_bit(F.col("lo")).alias("bits")))
+        now = parts.where("lo < hi")
+
+
+def _marks(docs: DataFrame, length: int) -> DataFrame:
+    """(doc, tint, marks): for each document the leaders with repeated strings; null bits stand for all of them."""
+    suffixes = _suffixes(docs, length)
     classes = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi"))
     # settled, so that the join has shuffles of its own and the rows of a hot key are split
     classes = settle(classes.where("n > 1").select("key", F.expr("lo <> hi").alias("mixed")))
     shared = settle(suffixes.join(classes, "key"))
-    mixed = shared.where("mixed").select("key", "around", "doc", "pos")
-    kinds = mixed.groupBy("key", "around").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "pos")).alias("at"))
-    wanted = settle(kinds.groupBy("at.doc").agg(F.collect_list(F.struct("at.pos", "key", "around", "copies")).alias("wanted")))
+    mixed = shared.where("mixed").select("key", "around", "doc", "tint", "pos")
+    kinds = mixed.groupBy("key", "around").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tint", "pos")).alias("at"))
+    wanted = settle(kinds.groupBy("at.doc", "at.tint").agg(F.collect_list(F.struct("at.pos", "key", "around", "copies")).alias("wanted")))
+    bits = reduce(DataFrame.unionByName, _decided(settle(_contexts(docs, wanted, length))))
+    marks = mixed.join(bits, ["key", "around"]).select("doc", "tint", "pos", "bits")
+    marks = marks.unionByName(shared.where("not mixed").select("doc", "tint", "pos", F.lit(None).cast("binary").alias("bits")))
+    return settle(marks.groupBy("doc", "tint").agg(F.collect_set(F.struct("pos", "bits")).alias("marks")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            out: list[tuple[int, int, int, bytes, bytes]] = []
-            for text, wanted in zip(b["text"].to_pylist(), b["wanted"].to_pylist()):
-                text = text.encode()
-                out += [(w["key"], w["around"], w["copies"], *_surroundings(text, w["pos"])) for w in wanted]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, (pa.int64(),) * 3 + (pa.binary(),) * 2)],
-                ["key", "around", "copies", "before", "after"],
-            )
 
-    contexts = (
-        may_have(docs.select("doc", "text"), "doc", wanted)
-        .where("maybe")
-        .join(wanted, "doc")
-        .select("text", "wanted")
-        .mapInArrow(cut, "key bigint, around bigint, copies bigint, before binary, after binary")
-    )
-    sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
-    large = settle(sizes.where(F.col("kinds") > CLASS))
-    if large.count():
-        contexts = settle(contexts.distinct())
-        bits = _merge(contexts.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key"))
-        bits = bits.unionByName(_by_strings(contexts.join(large, "key", "left_semi")))
-    else:
-        bits = _merge(contexts.repartition("key").sortWithinPartitions("key"))
-    marks = mixed.join(bits, ["key", "around"]).select("doc", "pos", "bits")
-    marks = marks.unionByName(shared.where("not mixed").select("doc", "pos", F.lit(None).cast("binary").alias("bits")))
-    return settle(marks.groupBy("doc").agg(F.collect_set(F.struct("pos", "bits")).alias("marks")))
-
-
-def spans(size: int, marks: list[dict]) -> list[tuple[int, int]]:
+def spans(size: int, marks: list[dict], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the strings that the marks name."""
     edges = []
     for m in marks:
         at = m["pos"]
-        lo, hi = max(0, LENGTH - (size - at)), min(SIDE, at)
+        lo, hi = max(0, length - (size - at)), min(SIDE, at)
         if m["bits"] is None:
-            edges.append((at - hi, at - lo + LENGTH))
+            edges.append((at - hi, at - lo + length))
             continue
         on = np.flatnonzero(np.unpackbits(np.frombuffer(m["bits"], np.uint8), bitorder="little"))
         on = on[(on >= lo) & (on <= hi)]
         if len(on):  # gaps between them are narrower than a string, so one run covers all
-            edges.append((at - int(on[-1]), at - int(on[0]) + LENGTH))
+            edges.append((at - int(on[-1]), at - int(on[0]) + length))
     out: list[tuple[int, int]] = []
     for a, b in sorted(edges):
         if out and a <= out[-1][1]:
@@ -296,17 +377,20 @@ def spans(size: int, marks: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, *more: str, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *more: str, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """doc_id, the columns in ``more``, n_bytes, spans (start, end) removed, kept (the bytes left) of every row.
 
-    With ``as_text`` a column text holds what is left instead; characters that a cut
+    Strings of ``length`` bytes count, which is ``WINDOW`` + ``SEED`` at least. With ``as_text`` a column text holds what is left instead; characters that a cut
     broke are left out of it.
     """
-    own = documents(docs, *more).withColumn("doc", F.xxhash64("doc_id", "text"))
-    marks = _marks(own)
+    if length < WINDOW + SEED:
+        raise ValueError(f"strings have {WINDOW + SEED} bytes at least")
+    # rows with one doc_id and one text have the same marks; 96 bits tell the others apart
+    own = documents(docs, *more).withColumns({"doc": F.coalesce("doc_id", F.xxhash64("text")), "tint": F.hash("text")})
+    marks = _marks(own, length)
     apart = may_have(own, "doc", marks)
     unmarked = apart.where("not maybe").withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType))
-    joined = apart.where("maybe").join(marks, "doc", "left").select(unmarked.columns).unionByName(unmarked)
+    joined = apart.where("maybe").join(marks, ["doc", "tint"], "left").select(unmarked.columns).unionByName(unmarked)
     names = ["doc_id", *more]
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names)
 
@@ -317,7 +401,7 @@ def remove_repeats(docs: DataFrame, *more: str, as_text: bool = False) -> DataFr
             size, cuts, kept = [], [], []
             for text, found in zip(b["text"].to_pylist(), b["marks"].to_pylist()):
                 text = text.encode()
-                runs = spans(len(text), found or [])
+                runs = spans(len(text), found or [], length)
                 size.append(len(text))
                 cuts.append([{"start": s, "end": e} for s, e in runs])
                 at, parts = 0, []
