@@ -19,10 +19,12 @@ sides hold the repeated strings.
 
 Copies never meet in the merge: equal surroundings of a leader are counted first, and one
 stands for all. A class of over ``CLASS`` different surroundings is parted before it is
-merged: the strings that begin in the first half of the places before the key share half
-of what follows it, the others half of what stands before it, so either half is a class
-by that symbol string, and again, until classes are small or hold one string, which is
-counted. So no class, however common its key, meets in one task.
+merged, by where its strings begin: those that begin at least a and at most b symbols
+before the key have a symbols before it and ``SIDE`` - b after it in common, so rows are
+classed by these, and rows that also agree on the b and ``SIDE`` - a symbols that the
+strings can reach share all of them. Rows alone in their class have no partner, and this
+goes on until classes are small or hold one string. So no class, however common its key,
+meets in one task.
 
 Keys, surroundings and the symbol strings of parted classes are told apart by 64-bit
 hashes, each within its key.
@@ -51,7 +53,9 @@ SIDE = WINDOW - 1
 #: Bytes of a leader's hash, which must lie in every key.
 SEED = 24
 #: Different surroundings of one class beyond which it is parted.
-CLASS = 2048
+CLASS = 8192
+#: Parts that a round makes of one; a power of two, as ``WINDOW`` is.
+PARTS = 4
 MISSING = 256
 PIECE = 1 << 20
 #: Rows of a shard, and rows that are merged together at least.
@@ -305,38 +309,44 @@ def _merge(contexts: DataFrame, parted: bool) -> DataFrame:
     return contexts.mapInArrow(run, "key bigint, around bigint, bits binary")
 
 
-def _one_bit(o: Column) -> Column:
-    """The bits of ``_merge`` with only o set."""
-    byte = F.unhex(F.lpad(F.hex(F.pow(F.lit(2), F.pmod(o, F.lit(8))).cast("int")), 2, "0"))
-    zeros = lambda n: F.unhex(F.repeat(F.lit("00"), n))
-    return F.concat(zeros(F.floor(o / 8).cast("int")), byte, zeros(F.lit(WINDOW // 8 - 1) - F.floor(o / 8).cast("int")))
+def _all_bits(lo: int, hi: int) -> bytes:
+    return np.packbits((np.arange(WINDOW) >= lo) & (np.arange(WINDOW) <= hi), bitorder="little").tobytes()
 
 
 def _decided(contexts: DataFrame) -> list[DataFrame]:
-    """(key, around, bits) of settled contexts, by rounds: small classes are merged, large ones parted."""
+    """(key, around, bits) of settled contexts, by rounds: small classes are merged, large ones parted.
+
+    A round goes from the strings that begin ``lo`` to ``hi`` symbols before the key to
+    parts of these. All of a part's strings hold its core, by which rows are classed, and
+    none goes beyond its reach; rows of one reach share all of the part's strings, so they
+    are decided, and one stands for them from there on.
+    """
     out: list[DataFrame] = []
     now = contexts.withColumns({"class": F.col("key"), "lo": F.lit(0), "hi": F.lit(SIDE)})
-    parted = False
+    size = WINDOW  # of the parts of a round
     while True:
-        sizes = settle(now.groupBy("class").agg(F.count("*").alias("rows")).where(F.col("rows") > CLASS).select("class"))
-        large = not sizes.isEmpty()
-        small = now.join(sizes, "class", "left_anti") if large else now
-        out.append(_merge(small.repartition("class").sortWithinPartitions("class", "shard", "rank_after"), parted))
-        if not large:
+        large = settle(now.groupBy("class").agg(F.count("*").alias("rows")).where(F.col("rows") > CLASS).select("class"))
+        some = not large.isEmpty()
+        small = now.join(large, "class", "left_anti") if some else now
+        out.append(_merge(small.repartition("class").sortWithinPartitions("class", "shard", "rank_after"), size < WINDOW))
+        if not some:
             return out
-        parted = True
-        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("lo").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("hi").alias("b")))
-        parts = now.join(sizes, "class", "left_semi").withColumn("half", F.explode(halves)).withColumns({"lo": F.col("half.a"), "hi": F.col("half.b")}).drop("half")
-        rest = F.lit(SIDE) - F.col("hi")  # symbols after the key that all strings of the half have
-        parts = parts.where((F.length("before") >= F.col("lo")) & (F.length("after") >= rest))
-        parts = parts.withColumn("class", F.xxhash64("class", "lo", "hi", F.substring("before", F.lit(1), F.col("lo")), F.substring("after", F.lit(1), rest)))
-        # rows alone in their class have no partner there; copies have each other
-        kin = parts.groupBy("class").agg(F.sum("copies").alias("n"))
-        parts = settle(parts.join(kin.where("n > 1").select("class"), "class", "left_semi"))
-        single = parts.where("lo = hi")  # classes of one string, which occurs more than once
-        out.append(single.select("key", "around", _one_bit(F.col("lo")).alias("bits")))
-        now = parts.where("lo < hi")
+        size = max(1, size // PARTS)
+        starts = F.sequence(F.col("lo"), F.col("hi"), F.lit(size))
+        parts = now.join(large, "class", "left_semi").withColumn("lo", F.explode(starts)).withColumn("hi", F.col("lo") + (size - 1))
+        after = lambda o: F.substring("after", F.lit(1), F.lit(SIDE) - F.col(o))  # noqa: E731  what strings from o on have at most, or all of them to o have
+        before = lambda o: F.substring("before", F.lit(1), F.col(o))
+        parts = parts.where((F.length("before") >= F.col("lo")) & (F.length("after") >= F.lit(SIDE) - F.col("hi")))
+        parts = parts.withColumn("class", F.xxhash64("class", "lo", before("lo"), after("hi"))).withColumn("reach", F.xxhash64(before("hi"), after("lo")))
+        parts = settle(parts)
+        one = F.min_by(F.struct("key", "around", "shard", "rank_after", "same_after", "rank_before", "same_before", "before", "after"), F.struct("shard", "rank_after"))
+        kinds = parts.groupBy("class", "lo", "hi", "reach").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), one.alias("x"))
+        kinds = settle(kinds.select("class", "lo", "hi", "reach", "copies", "rows", "x.*"))
+        shared = kinds.where("copies > 1").select("class", "reach")
+        whole = reduce(lambda x, a: x.when(F.col("lo") == a, F.lit(_all_bits(a, a + size - 1))), range(0, WINDOW, size), F.when(F.lit(False), F.lit(b"")))
+        out.append(parts.join(shared, ["class", "reach"], "left_semi").select("key", "around", whole.alias("bits")))
+        several = kinds.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+        now = settle(kinds.join(several, "class", "left_semi").select(now.columns))
 
 
 def _marks(docs: DataFrame, length: int) -> DataFrame:
