@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from waymark.functions import names
 from waymark.functions.shared import settle
 from waymark.operators import catalog, lineage, published, references, usages
+from waymark.operators.components import components
 from waymark.plans.tables import Tables, read_tables
 from waymark.sources.files import Tree, from_rows, read_archive, read_tree
 
 HOP_LIMIT = 25
+SQL_EXTENSIONS = (".sql", ".sqlx", ".ddl", ".hql")
+#: Words that show that SQL is written in a file.
+SQL_WORDS = r"(?i)\b(SELECT|INSERT\s+INTO|CREATE\s+TABLE|CREATE\s+OR\s+REPLACE|MERGE\s+INTO|UPDATE|EXECUTE\s+IMMEDIATE)\b"
 
 
 @dataclass
@@ -105,32 +109,114 @@ class Scan:
         roots = F.array_sort(F.array_distinct(F.flatten(F.collect_set("roots"))))
         return self.findings.where("export_uri <> ''").groupBy(F.col("export_uri").alias("uri")).agg(F.max("breaking").alias("breaking"), roots.alias("roots"), F.min("file").alias("file"))
 
+    @property
+    def _names(self) -> list[str]:
+        """What is asked about, as it may be written: columns, and tables by their own name."""
+        return [c for _, c in self.pairs] + [a.table.rsplit(".", 1)[-1] for a in self.asks]
+
     @cached_property
     def hits(self) -> DataFrame:
-        return self.repo.search([c for _, c in self.pairs] + [a.table.rsplit(".", 1)[-1] for a in self.asks])
+        return self.repo.search(self._names)
+
+    @cached_property
+    def _trail(self) -> DataFrame:
+        """(short): tables that the walks stood on."""
+        trail = self.nodes.select("short")
+        return (trail if self.table_nodes is None else trail.unionByName(self.table_nodes.select("short"))).distinct()
 
     @cached_property
     def mentions(self) -> DataFrame:
         """Files that only mention the names, the likeliest to hold SQL first."""
         seen = self.findings.select("file").distinct()
         rest = self.hits.join(seen, "file", "left_anti").groupBy("file").agg(F.count("*").alias("hits"), F.min("line_no").alias("line")).join(self.repo.tables.files.select("file", "ext"), "file")
-        likely = 4 * F.least("hits", F.lit(3)) + F.when(F.col("ext").isin(".sql", ".sqlx", ".ddl", ".hql"), 2).otherwise(0)
+        likely = 4 * F.least("hits", F.lit(3)) + F.when(F.col("ext").isin(*SQL_EXTENSIONS), 2).otherwise(0)
         return rest.withColumn("score", likely).orderBy(F.desc("score"), "file")
 
+    @cached_property
+    def references(self) -> DataFrame:
+        """(file, line, table, columns): indexes, policies and the like that name a table on the trail or a column asked about, and carry nothing."""
+        t = self.repo.tables
+        wanted = [c.upper() for _, c in self.pairs]
+        asked = F.upper("column").isin(*wanted) if wanted else F.lit(False)
+        named = t.mentions.withColumn("short", names.short(F.col("table"))).withColumn("asked", asked)
+        on = named.join(self._trail.withColumn("there", F.lit(True)), "short", "left").where("there or asked")
+        told = on.groupBy("stmt", "file", "table").agg(F.array_sort(F.collect_set(F.when(F.col("asked"), F.col("column")))).alias("columns"))
+        return settle(told.join(t.statements.select("stmt", (F.col("line") + 1).alias("line")), "stmt").select("file", "line", "table", "columns"))
+
+    @cached_property
+    def opaque(self) -> DataFrame:
+        """(file, line, table, snippet): the first statement of each file that can't be followed and names a table on the trail."""
+        t = self.repo.tables
+        word = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("sql", F.lit(r"([\p{L}\p{N}_$]+)"), F.lit(1)), F.upper)))
+        said = t.statements.where("opaque").join(t.mentions.select("stmt").distinct(), "stmt", "left_anti").select("file", (F.col("line") + 1).alias("line"), F.substring("sql", 1, 200).alias("snippet"), word.alias("short"))
+        first = F.min_by(F.struct(F.col("short").alias("table"), "line", "snippet"), F.struct("line", "short"))
+        return settle(said.join(self._trail, "short").groupBy("file").agg(first.alias("x")).select("file", "x.line", "x.table", "x.snippet"))
+
+    @cached_property
+    def hidden(self) -> DataFrame:
+        """(file, name, why, line, snippet, places, beside): files where a name stands out of reach, as text or in a statement that can't be followed.
+
+        line, snippet and places tell where it is written in quotes, else where it is
+        written at all; beside says that the file has findings too, which mending doesn't
+        mend this.
+        """
+        t = self.repo.tables
+        pattern = _any_of(self._names)
+        if not pattern:
+            return t.files.select("file").where("false").selectExpr("file", "'' name", "'' why", "0 line", "'' snippet", "0L places", "false beside")
+        known = t.mentions.select("stmt").distinct()
+        unclear = t.statements.where("opaque").join(known, "stmt", "left_anti").select("file", "line", F.lit(0).alias("rank"), F.col("sql").alias("text"), F.lit("in a statement that can't be followed").alias("why"))
+        why = F.when(F.col("metadata"), "looked up by its name in the warehouse's own catalogue").otherwise("as text inside a statement")
+        quoted = t.statements.where("not opaque").select("file", "line", F.lit(1).alias("rank"), F.explode("literals").alias("text"), why.alias("why"))
+        hit = unclear.unionByName(quoted).where(F.col("text").rlike(pattern)).withColumn("name", F.lower(F.regexp_extract("text", pattern, 1)))
+        one = hit.groupBy("file").agg(F.min_by(F.struct("name", "why"), F.struct("rank", "line", "name")).alias("x")).select("file", "x.*")
+        beside = self.findings.select("file").distinct().withColumn("beside", F.lit(True))
+        placed = one.join(places(t.files, one), ["file", "name"], "left").join(beside, "file", "left")
+        return settle(placed.select("file", "name", "why", F.coalesce("line", F.lit(1)).alias("line"), F.coalesce("snippet", F.lit("")).alias("snippet"), F.coalesce("places", F.lit(0)).alias("places"), F.coalesce("beside", F.lit(False)).alias("beside")))
+
+    @cached_property
+    def by_hand(self) -> DataFrame:
+        """(file, why, line, snippet, places, score): what a person has to look at, what bears on the question first.
+
+        Four for a file that mentions a name asked about, two for a file of SQL, one for a
+        file with SQL in it, or one that was never opened.
+        """
+        t = self.repo.tables
+        shape = ["file", "why", "line", "snippet", "places"]
+        rows = self.hidden.select(*shape)
+        rows = rows.unionByName(t.problems_by_file().select("file", F.col("message").alias("why"), "line", "snippet", "places"))
+        rows = rows.unionByName(self.opaque.join(rows.select("file").distinct(), "file", "left_anti").select("file", F.concat(F.lit("a statement that can't be followed names "), "table").alias("why"), "line", "snippet", F.lit(1).cast("bigint").alias("places")))
+        closed = t.unread.where("kind in ('too_long', 'not_text', 'unknown_type')").select("file", F.col("reason").alias("why"), F.lit(0).alias("line"), F.lit("").alias("snippet"), F.lit(0).cast("bigint").alias("places"))
+        rows = rows.unionByName(closed)
+        told = rows.join(self.hits.select("file").distinct().withColumn("mentioned", F.lit(True)), "file", "left")
+        told = told.join(t.files.select("file", "ext", F.col("text").rlike(SQL_WORDS).alias("written")), "file", "left")
+        score = 4 * F.coalesce("mentioned", F.lit(False)).cast("int") + 2 * F.coalesce(F.col("ext").isin(*SQL_EXTENSIONS), F.lit(False)).cast("int") + F.coalesce("written", F.lit(True)).cast("int")
+        return told.withColumn("score", score).select(*shape, "score").orderBy(F.desc("score"), "file", "why")
+
     @cached_property
     def attributes(self) -> DataFrame:
-        """One row for each column asked about."""
+        """One row for each column asked about: what was found, where the name is mentioned, where the trail ends or is cut,
+        tables on it whose columns aren't listed, and whether the column isn't known at all (then the columns its table has)."""
         by_root = self.findings.select(F.explode("roots").alias("root"), "file", "inferred_hops", "certain").groupBy("root").agg(
             F.count("*").alias("findings"), F.array_sort(F.collect_set("file")).alias("files"), F.count_if(F.col("inferred_hops") > 0).alias("inferred"), F.count_if(~F.col("certain")).alias("uncertain")
         )
         ends = self.led.groupBy("root").agg(F.array_sort(F.collect_set("prod")).alias("ends_at"))
-        short_cut = self.cut.groupBy("root").agg(F.count("*").alias("cut_short"))
+        short_cut = self.cut.groupBy("root").agg(F.count("*").alias("cut_short"), F.array_sort(F.collect_set("table")).alias("cut_short_at"))
         named = catalog.carriers(self.repo.catalog).select(F.col("column").alias("key"), "tables")
-        out = self.start.select("root", "key").join(by_root, "root", "left").join(ends, "root", "left").join(short_cut, "root", "left").join(named, "key", "left")
+        every = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_any_of(self._names) or "()"), F.lit(1)), F.upper)))
+        said = self.repo.tables.files.select(every.alias("key")).groupBy("key").agg(F.count("*").alias("mentioned_in"))
+        unlisted = self.repo.gaps.select(names.short(F.col("table")).alias("short")).distinct()
+        unseen = self.nodes.where("hop > 0").join(unlisted, "short").groupBy("root").agg(F.array_sort(F.collect_set("at_table")).alias("not_visible"))
+        listed = self.repo.catalog.groupBy(F.col("key").alias("short")).agg(F.array_sort(F.collect_set("column")).alias("listed"))
+        out = self.start.select("root", "key", "short").join(by_root, "root", "left").join(ends, "root", "left").join(short_cut, "root", "left").join(named, "key", "left")
+        out = out.join(said, "key", "left").join(unseen, "root", "left").join(listed, "short", "left")
+        none, nothing = F.lit(0), F.array().cast("array<string>")
+        failed = F.col("findings").isNull() & F.col("tables").isNull()
         return out.select(
-            "root", F.col("findings").isNotNull().alias("found"), F.coalesce("findings", F.lit(0)).alias("findings"), "files", "ends_at",
-            F.coalesce("cut_short", F.lit(0)).alias("cut_short"), F.coalesce("inferred", F.lit(0)).alias("inferred"), F.coalesce("uncertain", F.lit(0)).alias("uncertain"),
-            F.coalesce("tables", F.lit(0)).alias("tables_with_name"),
+            "root", F.col("findings").isNotNull().alias("found"), F.coalesce("findings", none).alias("findings"), "files", "ends_at",
+            F.coalesce("cut_short", none).alias("cut_short"), F.coalesce("cut_short_at", nothing).alias("cut_short_at"), F.coalesce("inferred", none).alias("inferred"), F.coalesce("uncertain", none).alias("uncertain"),
+            F.coalesce("tables", none).alias("tables_with_name"), F.coalesce("mentioned_in", none).alias("mentioned_in"), F.coalesce("not_visible", nothing).alias("not_visible"),
+            failed.alias("lookup_failed"), F.when(failed, F.coalesce("listed", nothing)).otherwise(nothing).alias("table_columns"),
         )
 
     @cached_property
@@ -148,13 +234,14 @@ class Scan:
             "couldNotRead": t.problems.select("file").distinct(), "neverOpened": t.unread.where("kind in ('too_long', 'not_text')"), "unknown_types": t.unread.where("kind = 'unknown_type'"),
             "passed_by": t.unread.where("kind = 'skipped_folder'"), "tablesNotVisible": self.repo.gaps.join(self.reached.select(F.col("at_table").alias("table")), "table", "left_semi"),
             "missing_sql": self.repo.sql_files()[1].select("ref").distinct(), "trailsCutShort": self.cut, "productionStopsLoading": self.stops, "feedsBroken": self.feeds.where("breaking"),
-            "unread_here": t.problems.join(self.hits.select("file").distinct(), "file", "left_semi").select("file").distinct(), "matched": self.hits.select("file").distinct(),
+            "unread_here": t.problems.join(self.hits.select("file").distinct(), "file", "left_semi").select("file").unionByName(self.hidden.select("file")).unionByName(self.opaque.select("file")).distinct(),
+            "hidden": self.hidden, "opaque": self.opaque, "referenced": self.references, "matched": self.hits.select("file").distinct(),
             "referred": t.mentions.where(F.upper("column").isin(*named)) if named else t.mentions.where("false"), "ambiguous": catalog.ambiguous(t).where("ambiguous"),
         })
 
     @property
     def stats(self) -> dict[str, int]:
-        inner = ("found", "no_fix", "uncertain", "unknown_types", "passed_by", "unread_here", "referred", "matched", "ambiguous", "missing_sql")
+        inner = ("found", "no_fix", "uncertain", "unknown_types", "passed_by", "unread_here", "referred", "matched", "ambiguous", "missing_sql", "hidden", "opaque", "referenced")
         return {k: v for k, v in self._counted.items() if k not in inner} | {"wholeTables": sum(a.whole for a in self.asks)}
 
     @property
@@ -272,14 +359,18 @@ def _whole(readers: DataFrame, t: Tables, change: str) -> DataFrame:
 
 
 def _counts(frames: dict[str, DataFrame]) -> dict[str, int]:
-    """How many rows each frame has, in one job."""
+    """How many rows each frame has, in one job; unions are nested evenly, which keeps the plan shallow."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, df in frames.items()]
-    return {r["k"]: r["n"] for r in reduce(DataFrame.unionByName, parts).collect()}
+    while len(parts) > 1:
+        parts = [reduce(DataFrame.unionByName, parts[k : k + 2]) for k in range(0, len(parts), 2)]
+    return {r["k"]: r["n"] for r in parts[0].collect()}
 
 
 def _coverage(n: dict[str, int]) -> dict:
     gaps = [
         (n["couldNotRead"], "file that could not be read in full", "files that could not be read in full"),
+        (n["hidden"], "file that names it out of reach", "files that name it out of reach"),
+        (n["opaque"], "file with a statement on the trail that can't be followed", "files with statements on the trail that can't be followed"),
         (n["neverOpened"], "file that was not opened", "files that were not opened"),
         (n["missing_sql"], "SQL file that a program runs and that isn't here", "SQL files that programs run and that aren't here"),
         (n["tablesNotVisible"], "table on the way whose columns are listed nowhere", "tables on the way whose columns are listed nowhere"),
@@ -301,34 +392,50 @@ def _unfenced(t: Tables) -> Tables:
         return t
     defined = calls.where("startswith(called, '=')").select(names.short(F.substring("called", 2, 1000)).alias("name"), F.col("file").alias("defined"))
     used = calls.where("not startswith(called, '=')").select(names.short(F.col("called")).alias("name"), F.col("file").alias("caller"))
-    pairs = settle(used.join(defined, "name").where("caller <> defined").select("caller", "defined").distinct())
-    both = settle(pairs.select(F.col("caller").alias("a"), F.col("defined").alias("b")).unionByName(pairs.select(F.col("defined").alias("a"), F.col("caller").alias("b"))).distinct())
-    reach, front = both, both
-    while front.limit(1).count():
-        new = front.join(both.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("a <> c").select("a", F.col("c").alias("b")).distinct()
-        front = settle(new.join(reach, ["a", "b"], "left_anti"))
-        reach = settle(reach.unionByName(front))
-    temps = t.statements.where("temp and startswith(target, '#')").select(F.col("file").alias("b"), "target", "t_short").distinct()
-    seen = reach.join(temps, "b").select(F.col("a").alias("file"), F.col("t_short").alias("s_short"), F.col("target").alias("other"), F.upper("target").alias("other_ds")).distinct()
+    pairs = used.join(defined, "name").where("caller <> defined").select("caller", "defined").distinct()
+    # files get the hash of their name as a node; a group of files that call each other shares a root
+    node = lambda c: F.xxhash64(c)
+    group = settle(components(pairs.select(node("caller").alias("a"), node("defined").alias("b"))))
+    group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
+    temps = t.statements.where("temp and startswith(target, '#')").select(F.col("file").alias("maker"), "target", "t_short").distinct()
+    made = temps.join(group, node("maker") == F.col("node")).select("root", "maker", F.col("t_short").alias("s_short"), F.col("target").alias("other"), F.upper("target").alias("other_ds"))
 
     def also(df: DataFrame) -> DataFrame:
-        more = df.where("s_ds = ''").join(seen, ["file", "s_short"]).withColumn("table", F.col("other")).withColumn("s_ds", F.col("other_ds"))
+        own = df.where("s_ds = ''").join(group, node("file") == group["node"]).drop("node")
+        more = own.join(made, ["root", "s_short"]).where("file <> maker").withColumn("table", F.col("other")).withColumn("s_ds", F.col("other_ds"))
         return settle(df.unionByName(more.select(df.columns)))
 
     return Tables(**{**t.__dict__, "uses": also(t.uses), "flows": also(t.flows)})
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, whole; case doesn't count. Empty for none."""
+    wanted = sorted({re.escape(w) for w in words if w}, key=len, reverse=True)
+    return r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(wanted) + r")(?![\p{L}\p{N}_])" if wanted else ""
+
+
 def word_hits(files: DataFrame, words: list[str]) -> DataFrame:
     """(file, line_no, line, name): lines of (file, text) with one of the words, whole; case doesn't count."""
-    wanted = sorted({re.escape(w) for w in words if w}, key=len, reverse=True)
-    if not wanted:
+    pattern = _any_of(words)
+    if not pattern:
         return files.select("file", F.lit(0).alias("line_no"), F.lit("").alias("line"), F.lit("").alias("name")).where("false")
-    pattern = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(wanted) + r")(?![\p{L}\p{N}_])"
     lines = files.where(F.col("text").rlike(pattern)).select("file", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     hit = lines.where(F.col("line").rlike(pattern))
     return hit.select("file", (F.col("at") + 1).alias("line_no"), "line", F.lower(F.regexp_extract("line", pattern, 1)).alias("name"))
 
 
+def places(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file, name, line, snippet, places) of wanted (file, name): the first line with the name in quotes and how many
+    there are; else the first that has it as a word, which counts as one."""
+    lines = files.select("file", "text").join(wanted.select("file", "name"), "file").select("file", "name", F.posexplode(F.split("text", "\n", -1)).alias("at", "said"))
+    name = F.concat(F.lit("\\Q"), "name", F.lit("\\E"))
+    quoted = F.regexp_like("said", F.concat(F.lit("(?i)['\"]"), name, F.lit("['\"]")))
+    plain = F.regexp_like("said", F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}_])"), name, F.lit(r"(?![\p{L}\p{N}_])")))
+    found = lines.withColumn("quoted", quoted).where(F.col("quoted") | plain)
+    first = F.min_by(F.struct((F.col("at") + 1).alias("line"), F.substring(F.trim("said"), 1, 140).alias("snippet")), F.struct(~F.col("quoted"), "at"))
+    return found.groupBy("file", "name").agg(first.alias("x"), F.greatest(F.count_if("quoted"), F.lit(1)).alias("places")).select("file", "name", "x.*", "places")
+
+
 class Engine:
     """``Engine(spark).read(path).scan(...)``."""
 

@@ -10,12 +10,13 @@ from waymark.functions.shared import settle
 from waymark.plans.tables import Tables
 
 
-def build_catalog(t: Tables, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
+def build_catalog(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(catalog, gaps): catalog (table, key, pos, column, type, file, derived); gaps (table, file) can't be filled in.
 
     Stated column lists win over those read off a query; of equals the first file does.
     Tables built by a star get the columns of the tables it covers, but only once all of
-    those are known; the loop ends when nothing more becomes known.
+    those are known; each round makes at least one more table known, and the loop ends
+    when none does.
     """
     stated = t.columns.where("name <> ''").withColumn("key", names.short(F.col("target")))
     stated = stated.withColumn("derived", F.col("type") == "").withColumn("ord", F.monotonically_increasing_id())
@@ -25,7 +26,9 @@ def build_catalog(t: Tables, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
     known = settle(listed.select(F.col("target").alias("table"), "key", "pos", F.col("name").alias("column"), "type", "file", "derived"))
     stars = settle(t.flows.where("column = '*' and temp = false").select("stmt", "file", "target", F.col("t_short").alias("key"), F.col("s_short").alias("source"), "without"))
     named = settle(t.flows.where("column <> '*' and how <> 'carried'").select("stmt", F.col("out").alias("column")).distinct())
-    for _ in range(rounds):
+    rounds = 0
+    while True:
+        rounds += 1
         have = known.select("key").distinct()
         open_ = stars.join(have, "key", "left_anti")
         missing = open_.join(have, open_["source"] == have["key"], "left_anti").select("stmt").distinct()
@@ -39,9 +42,11 @@ def build_catalog(t: Tables, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
         rows = rows.groupBy("key", "target", "file", "column").agg(F.min("pos").alias("at"), F.max("type").alias("type"))
         rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("at", "column")) - 1)
         new = settle(rows.select(F.col("target").alias("table"), "key", "pos", "column", "type", "file", F.lit(True).alias("derived")))
-        if not new.limit(1).count():
+        if new.isEmpty():
             break
-        known = settle(known.unionByName(new))
+        known = known.unionByName(new)
+        if rounds % 8 == 0:  # plans stay short
+            known = settle(known)
     have = known.select("key").distinct()
     gaps = stars.join(have, "key", "left_anti").select(F.col("target").alias("table"), "file").distinct()
     return known, gaps

@@ -18,7 +18,6 @@ from waymark.functions.shared import settle
 from waymark.operators import usages
 
 MOST_PATHS = 10_000
-MOST_STOPPED = 400
 
 
 def _alike(ds_a: Column, ds_b: Column) -> Column:
@@ -32,20 +31,32 @@ def reading(front: DataFrame, rows: DataFrame, wild: bool) -> DataFrame:
     plain = front.join(rows, front["short"] == rows["s_short"]).where(_alike(F.col("ds"), F.col("s_ds"))).withColumn("by", F.lit("name"))
     if not wild:
         return plain
-    patterns = rows.where("endswith(table, '*')")
     shown = F.when(F.col("ds") != "", F.concat_ws(".", "ds", "short")).otherwise(F.col("short"))
-    covered = front.join(patterns, F.expr("startswith(short, regexp_replace(s_short, '_*[*]$', ''))"))
+    patterns = rows.where("endswith(table, '*')").withColumn("stem", _stem("s_short"))
+    # each beginning of a name meets the patterns with this stem: a join on equal text
+    covered = front.withColumn("stem", F.explode(_beginnings("short"))).join(patterns, "stem").drop("stem")
     covered = covered.withColumn("by", names.wildcard(F.col("table"), shown)).where("by <> '' and not startswith(ds, '#')")
     if "conditions" in rows.columns:  # shards that the statement leaves out by its literals aren't read
         suffix = F.expr("substring(short, length(regexp_replace(s_short, '[*]$', '')) + 1)")
-        read = names.suffix_verdict(suffix, F.coalesce("conditions", F.array().cast("array<struct<op: string, value: string>>"))) == "reads"
-        covered = covered.where((F.col("by") == "family") | read)
-    asked = front.where("endswith(short, '*')")
-    named = asked.join(rows.where("not endswith(table, '*')"), F.expr("startswith(s_short, regexp_replace(short, '_*[*]$', ''))"))
+        read = names.suffix_verdict(suffix, F.coalesce("conditions", F.array().cast("array<struct<op: string, value: string>>")))
+        whole = (F.col("by") == "family") | F.endswith("short", F.lit("*"))  # no one shard is asked about
+        covered = covered.withColumn("by", F.when(whole, F.col("by")).when(read == "maybe", "maybe").when(read == "reads", F.col("by")).otherwise("")).where("by <> ''")
+    asked = front.where("endswith(short, '*')").withColumn("stem", _stem("short"))
+    shards = rows.where("not endswith(table, '*')").select("s_short").distinct().withColumn("stem", F.explode(_beginnings("s_short")))
+    named = asked.join(shards, "stem").drop("stem").join(rows.where("not endswith(table, '*')"), "s_short")
     named = named.withColumn("by", names.wildcard(shown, F.col("table"))).where("by <> '' and not startswith(s_ds, '#')")
     return plain.unionByName(covered).unionByName(named)
 
 
+def _stem(column: str) -> Column:
+    """A pattern without its star and the separators before it."""
+    return F.regexp_replace(column, "_*[*]$", "")
+
+
+def _beginnings(column: str) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.length(column)), lambda k: F.substring(F.col(column), F.lit(1), k))
+
+
 def _conditions(rows: DataFrame) -> list[str]:
     return ["conditions"] if "conditions" in rows.columns else []
 
@@ -83,8 +94,9 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
     the column is carried.
     """
     stars = has_wildcards(flows, start)
-    nodes = settle(start)
-    front, steps, cut = nodes, [], None
+    nodes = front = settle(start)
+    steps, cut = [], None
+    who = ["root", "short", "ds", "key"]
     listed = known.select(F.col("key").alias("k_key"), F.upper("column").alias("k_column")).distinct() if known is not None else None
     for hop in range(1, most_rounds + 1):
         if front.isEmpty():
@@ -99,30 +111,38 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
         else:
             unseen = F.lit(True)
         guess = ((F.col("how") == "star") | F.col("star")) & unseen
+        stated = F.col("certain") & (F.col("by") != "maybe")
         onward = onward.select(
             "root", F.col("at_table").alias("from_table"), F.col("short").alias("from_short"), F.col("key").alias("from_key"), F.col("at_column").alias("from_column"), "stmt", "file", "how", "by",
             F.col("t_short").alias("short"), F.col("t_ds").alias("ds"), F.col("target").alias("at_table"), F.col("to_key").alias("key"), F.col("to_column").alias("at_column"),
-            F.lit(hop).alias("hop"), (F.col("inferred") + guess.cast("int")).alias("inferred"), (F.col("sure") & F.col("certain")).alias("sure"),
+            F.lit(hop).alias("hop"), (F.col("inferred") + guess.cast("int")).alias("inferred"), (F.col("sure") & stated).alias("sure"),
         )
         if max_hops and hop > max_hops:
             cut = settle(onward.select("root", F.col("from_table").alias("table"), F.col("from_column").alias("column")).distinct())
             break
-        onward = settle(onward.distinct())
-        steps.append(onward)
-        first = Window.partitionBy("root", "short", "ds", "key").orderBy("inferred", F.desc("sure"), "at_table", "at_column")
-        fresh = onward.withColumn("n", F.row_number().over(first)).where("n = 1").select(nodes.columns)
-        front = settle(fresh.join(nodes.select("root", "short", "ds", "key"), ["root", "short", "ds", "key"], "left_anti").select(nodes.columns))
+        onward = settle(_fresh(onward.distinct(), nodes.select(*who), who, "inferred", F.desc("sure"), "at_table", "at_column"))
+        steps.append(onward.drop("fresh"))
+        front = onward.where("fresh").select(nodes.columns)
         nodes = merged(nodes, front, hop)
     else:
         cut = front.select("root", F.col("at_table").alias("table"), F.col("at_column").alias("column"))
-    every = reduce(DataFrame.unionByName, steps) if steps else None
-    if every is None:
-        every = _no_steps(nodes)
+    every = settle(reduce(DataFrame.unionByName, [x.select(steps[0].columns) for x in steps])) if steps else _no_steps(nodes)
     if cut is None:
         cut = nodes.where("false").select("root", F.col("at_table").alias("table"), F.col("at_column").alias("column"))
     return nodes, every, cut
 
 
+def _fresh(rows: DataFrame, seen: DataFrame, who: list[str], *order: Column | str) -> DataFrame:
+    """``rows`` with fresh: the first of each place that ``seen`` (who) doesn't have. One frame is settled a hop.
+
+    Both go through one window: a join would have Spark multiply its estimates of their
+    sizes hop by hop, up to numbers that take longer than the walk.
+    """
+    both = rows.withColumn("old", F.lit(False)).unionByName(seen.withColumn("old", F.lit(True)), allowMissingColumns=True)
+    at = F.row_number().over(Window.partitionBy(*who).orderBy(F.desc("old"), *order))
+    return both.withColumn("n", at).where("not old").withColumn("fresh", F.col("n") == 1).drop("n", "old")
+
+
 def _no_steps(nodes: DataFrame) -> DataFrame:
     empty = F.lit("")
     return nodes.where("false").select(
@@ -210,10 +230,10 @@ def tree_of(branches: DataFrame) -> DataFrame:
 
 
 def table_edges(statements: DataFrame) -> DataFrame:
-    """(stmt, file, table, s_short, s_ds, target, t_short, t_ds): each table that a statement reads."""
-    rows = statements.select("stmt", "file", "target", "t_short", "t_ds", "copied", "export_uri", "sql", F.explode("sources").alias("table"))
+    """(stmt, file, table, s_short, s_ds, joined, copied, export_uri, target, t_short, t_ds): each table that a statement reads, and whether it joins it."""
+    rows = statements.select("stmt", "file", "target", "t_short", "t_ds", "copied", "export_uri", "joins", F.explode("sources").alias("table"))
     t = F.col("table")
-    return rows.withColumn("s_short", names.short(t)).withColumn("s_ds", F.when(names.is_fenced(t), F.upper(t)).otherwise(names.dataset(t)))
+    return rows.withColumn("joined", F.array_contains("joins", t)).drop("joins").withColumn("s_short", names.short(t)).withColumn("s_ds", F.when(names.is_fenced(t), F.upper(t)).otherwise(names.dataset(t)))
 
 
 def walk_tables(edges: DataFrame, tables: DataFrame, max_hops: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -225,14 +245,12 @@ def walk_tables(edges: DataFrame, tables: DataFrame, max_hops: int = 0) -> tuple
     found, hop = [], 0
     while not front.isEmpty() and not (max_hops and hop >= max_hops):
         hop += 1
-        hit = settle(reading(front, edges, wild))
-        joined = F.lower("sql").contains("join")
-        read_as = F.when(F.col("copied") != "", "copied").when(F.col("export_uri") != "", "exported")
-        after_join = F.expr("upper(sql) rlike concat('JOIN\\\\s+[`\\\\w.-]*', regexp_replace(s_short, '[^A-Z0-9_]', '.'))")
-        found.append(hit.withColumn("role", read_as.when(joined & after_join, "joined").otherwise("read")).select("root", "stmt", "file", F.col("at_table").alias("table"), "hop", "role", "target", "by"))
-        new = hit.where("target <> ''").select("root", F.col("t_short").alias("short"), F.col("t_ds").alias("ds"), F.col("target").alias("at_table"), F.lit(hop).alias("hop"))
-        new = new.dropDuplicates(["root", "short", "ds"]).join(nodes.select("root", "short", "ds"), ["root", "short", "ds"], "left_anti")
-        front = settle(new.select(nodes.columns))
+        role = F.when(F.col("copied") != "", "copied").when(F.col("export_uri") != "", "exported").when(F.col("joined"), "joined").otherwise("read")
+        hit = reading(front, edges, wild).select("root", "stmt", "file", F.col("at_table").alias("table"), F.col("hop").alias("at_hop"), role.alias("role"), "target", "by", "t_short", "t_ds")
+        seen = nodes.select("root", F.col("short").alias("t_short"), F.col("ds").alias("t_ds"))
+        hit = settle(_fresh(hit, seen, ["root", "t_short", "t_ds"], "target", "stmt"))
+        found.append(hit.select("root", "stmt", "file", "table", F.col("at_hop").alias("hop"), "role", "target", "by"))
+        front = hit.where("fresh and target <> ''").select("root", F.col("t_short").alias("short"), F.col("t_ds").alias("ds"), F.col("target").alias("at_table"), F.lit(hop).alias("hop"))
         nodes = merged(nodes, front, hop)
     readers = reduce(DataFrame.unionByName, found) if found else None
     if readers is None:
@@ -241,11 +259,11 @@ def walk_tables(edges: DataFrame, tables: DataFrame, max_hops: int = 0) -> tuple
     return readers.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"), nodes
 
 
-def stops_loading(edges: DataFrame, broken: DataFrame, published: Column, groups: DataFrame, most: int = MOST_STOPPED) -> tuple[DataFrame, bool]:
+def stops_loading(edges: DataFrame, broken: DataFrame, published: Column, groups: DataFrame, most: int = 0) -> tuple[DataFrame, bool]:
     """(table, via, because): published tables downstream of targets of ``broken`` findings (target, stmt), by the fewest steps.
 
-    Tables in ``groups`` (short) are left out: their columns are affected already. Beyond
-    ``most`` tables visited the walk stops, and says so.
+    Tables in ``groups`` (short) are left out: their columns are affected already. All
+    tables are visited; with ``most`` the walk stops beyond so many, and says so.
     """
     t = F.col("target")
     start = broken.where("target <> ''").groupBy(names.short(t).alias("short")).agg(F.min(t).alias("at_table"), F.min("stmt").alias("because"))
@@ -255,13 +273,13 @@ def stops_loading(edges: DataFrame, broken: DataFrame, published: Column, groups
     rounds = 0
     while not front.isEmpty():
         rounds += 1
-        if seen.count() > most:
+        if most and seen.count() > most:
             capped = True
             break
         new = front.join(links, "short").where("next <> short")
         new = new.groupBy("next").agg(F.min(F.struct(F.size("via").alias("n"), F.array_join("via", ">").alias("k"), "via", "because", "next_table")).alias("x"))
         new = new.select(F.col("next").alias("short"), F.col("x.next_table").alias("at_table"), F.col("x.because").alias("because"), F.concat("x.via", F.array("x.next_table")).alias("via"))
-        front = settle(new.join(seen, "short", "left_anti").select(seen.columns))
+        front = settle(new.join(seen.select("short"), "short", "left_anti").select(seen.columns))
         seen = merged(seen, front, rounds)
     found = seen.join(groups, "short", "left_anti").select(F.col("at_table").alias("table"), "via", "because")
     return found.where(published), capped

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from dataclasses import dataclass, field
 
@@ -17,10 +16,11 @@ _NAME = re.compile(r"^[A-Za-z_][\w$\-]*(?:[.:][\w$\-*]+)*\*?$")
 
 @dataclass
 class Rule:
-    """Entries (given, kind, key): kind is name, glob or suffix."""
+    """Entries (given, kind, key): kind is name, glob or suffix. same holds pairs that are spelled apart but name one table."""
 
     entries: list[tuple[str, str, str]] = field(default_factory=list)
     duplicates: list[str] = field(default_factory=list)
+    same: list[tuple[str, str]] = field(default_factory=list)
     rejected: list[str] = field(default_factory=list)
 
 
@@ -66,7 +66,7 @@ def parse_rule(text: str) -> Rule:
         return rule
     rows = _columns(lines)
     column = _pick(rows)
-    seen: set[tuple[str, str]] = set()
+    seen: dict[tuple[str, str], str] = {}
     for row in rows:
         cell = _tidy(row[column]) if column < len(row) else ""
         for given in cell.split() if cell and all(_NAME.match(x) or x[:1] in "*_" for x in cell.split()) else [cell]:
@@ -80,8 +80,10 @@ def parse_rule(text: str) -> Rule:
                 rule.rejected.append(given)
             elif (kind, bare) in seen:
                 rule.duplicates.append(given)
+                if seen[kind, bare].upper() != given.upper():
+                    rule.same.append((seen[kind, bare], given))
             else:
-                seen.add((kind, bare))
+                seen[kind, bare] = given
                 rule.entries.append((given, kind, bare))
     return rule
 
@@ -92,12 +94,13 @@ def match(rule: Rule, table: Column) -> Column:
     kin = names.family(table)
     exact = [k for _, kind, k in rule.entries if kind == "name"]
     how = F.when(bare.isin(*exact), "name") if exact else F.when(F.lit(False), "name")
-    for _, kind, key in rule.entries:
-        if kind == "glob":
-            how = how.when(bare.rlike("^" + re.sub(r"\(\?s:(.*)\)\\[zZ]", r"\1", fnmatch.translate(key)) + "$"), "glob")
-    for _, kind, key in rule.entries:
-        if kind == "suffix":
-            how = how.when(bare.endswith(key), "suffix")
+    # one pattern for all entries of a kind, however long the list
+    globs = "|".join("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in key) for _, kind, key in rule.entries if kind == "glob")
+    suffixes = "|".join(re.escape(key) for _, kind, key in rule.entries if kind == "suffix")
+    if globs:
+        how = how.when(bare.rlike(f"^(?:{globs})$"), "glob")
+    if suffixes:
+        how = how.when(bare.rlike(f"(?:{suffixes})$"), "suffix")
     if exact:
         how = how.when((kin["family"] != "") & kin["family"].isin(*exact), kin["how"])
     return how.otherwise("")

@@ -14,13 +14,23 @@ def _base(name: Column) -> Column:
     return F.regexp_extract(_path(name), r"([^/]*)$", 1)
 
 
+def _ends(path: Column) -> Column:
+    """A path and all it goes on with after a slash: a/b/c, b/c, c."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+
+
 def sql_files(refs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, missing) of refs (file, ref, line): found has run, the files whose path ends in the name, else those with its last part."""
-    there = files.select(F.col("file").alias("run"), _path(F.col("file")).alias("path"), _base(F.col("file")).alias("base"))
-    asked = refs.select("file", "ref", "line", _path(F.col("ref")).alias("asked"), _base(F.col("ref")).alias("base")).where("base <> ''")
-    near = asked.join(there, "base").where("run <> file")
-    whole = near.where((F.col("path") == F.col("asked")) | F.endswith(F.col("path"), F.concat(F.lit("/"), F.col("asked"))))
-    exact = whole.select("file", "ref", "line", "run", F.lit("path").alias("by"))
-    rest = near.join(whole.select("file", "ref").distinct(), ["file", "ref"], "left_anti").select("file", "ref", "line", "run", F.lit("name").alias("by"))
+    """(found, missing) of refs (file, ref, line): found has run, the files whose path ends in the name, else those with its last part.
+
+    Both are joins on equal text, so that a last part that many files share (main.sql)
+    only meets the names that no path ends in.
+    """
+    there = files.select(F.col("file").alias("run"), _path(F.col("file")).alias("path"))
+    asked = refs.select("file", "ref", "line", _path(F.col("ref")).alias("asked")).where("asked <> ''")
+    ends = there.select("run", F.explode(_ends(F.col("path"))).alias("asked"))
+    exact = asked.join(ends, "asked").where("run <> file").select("file", "ref", "line", "run", F.lit("path").alias("by"))
+    left = asked.join(exact.select("file", "ref").distinct(), ["file", "ref"], "left_anti").withColumn("base", _base(F.col("asked"))).where("base <> ''")
+    rest = left.join(there.withColumn("base", _base(F.col("path"))), "base").where("run <> file").select("file", "ref", "line", "run", F.lit("name").alias("by"))
     found = exact.unionByName(rest).distinct()
     return found, refs.join(found.select("file", "ref").distinct(), ["file", "ref"], "left_anti")

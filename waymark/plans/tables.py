@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import names
-from waymark.functions.shared import settle
+from waymark.functions.shared import settle, slices
 from waymark.functions.sqltext import export_uri, fill_placeholders, renderings, rescue, split_statements, templating, unwrap_blocks
 from waymark.plans.reader import Statement, Unread, canonical, read_statement
 from waymark.sources.extract import PLAIN, blocks, more_than_taken, sql_files, written_tables
@@ -30,12 +30,15 @@ _STATEMENT = pa.struct([
     ("no", pa.int32()), ("kind", pa.string()), ("line", pa.int32()), ("line_end", pa.int32()), ("sql", pa.string()), ("target", pa.string()),
     ("temp", pa.bool_()), ("copied", pa.string()), ("named_by", pa.string()), ("as_text", pa.bool_()), ("export_uri", pa.string()),
     ("star_note", pa.string()), ("opaque", pa.bool_()), ("defines", pa.string()), ("sources", pa.list_(pa.string())), ("calls", pa.list_(pa.string())),
+    ("literals", pa.list_(pa.string())), ("joins", pa.list_(pa.string())), ("metadata", pa.bool_()),
     ("uses", pa.list_(_USE)), ("flows", pa.list_(_FLOW)), ("columns", pa.list_(_PAIR)), ("mentions", pa.list_(_MENTION)), ("shards", pa.list_(_SHARD)),
 ])
 _PROBLEM = pa.struct([("line", pa.int32()), ("message", pa.string()), ("snippet", pa.string()), ("hint", pa.string())])
 _REF = pa.struct([("ref", pa.string()), ("line", pa.int32())])
 _OUT = pa.schema([("file", pa.string()), ("statements", pa.list_(_STATEMENT)), ("problems", pa.list_(_PROBLEM)), ("refs", pa.list_(_REF)), ("writes", pa.list_(pa.string()))])
 LONGEST_OPAQUE = 8000
+#: Bytes of code that one task reads.
+PARTITION = 4 << 20
 
 
 def _ddl(kind: pa.DataType) -> str:
@@ -54,7 +57,7 @@ def _as_row(s: Statement, no: int, line: int, sql: str) -> dict:
     return {
         "no": no, "kind": s.kind, "line": line, "line_end": line + sql.count("\n"), "sql": sql, "target": s.target, "temp": s.temp,
         "copied": s.copied, "named_by": "", "as_text": s.as_text, "export_uri": s.export, "star_note": s.star_note, "opaque": s.opaque, "defines": s.defines,
-        "sources": list(s.sources), "calls": s.calls,
+        "sources": list(s.sources), "calls": s.calls, "literals": s.literals, "joins": s.joins, "metadata": s.metadata,
         "uses": [dict(zip(("table", "column", "kind", "alias", "detail", "certain", "via_star", "line"), u)) for u in s.uses if u[0]],
         "flows": [dict(zip(("table", "column", "out", "how", "without", "certain", "star"), f)) for f in s.flows if f[0]],
         "columns": [{"name": n, "type": t} for n, t in s.columns], "mentions": [{"table": t, "column": c} for t, c in s.mentions],
@@ -62,37 +65,39 @@ def _as_row(s: Statement, no: int, line: int, sql: str) -> dict:
     }
 
 
-def _read_block(text: str, offset: int, out: list[dict], problems: list[dict]) -> None:
+_OTHERWISE = re.compile(r"\{%-?\s*(?:else|elif)\b")
+
+
+def _statements(text: str, offset: int, hint: str) -> Iterator[tuple[int, dict, dict | None]]:
+    """(0-based line, row, problem or None) of each statement of a text."""
     filled, holes = fill_placeholders(text)
-    plain = rescue(unwrap_blocks(filled))
-    failed: list[dict] = []
-    found: list[dict] = []
-    for sql, line in split_statements(plain):
+    for sql, line in split_statements(rescue(unwrap_blocks(filled))):
         at = offset + line
         try:
-            s = read_statement(sql, offset + line - (sql[: len(sql) - len(sql.lstrip())].count("\n")), set(holes))
+            s = read_statement(sql, at - (sql[: len(sql) - len(sql.lstrip())].count("\n")), set(holes))
         except Unread as e:
-            failed.append({"line": e.line + 1, "message": e.message, "snippet": sql.strip()[:200], "hint": templating(text)})
-            found.append({**_as_row(Statement(kind="UNREAD", opaque=True), 0, at, sql.strip())})
+            yield at, _as_row(Statement(kind="UNREAD", opaque=True), 0, at, sql.strip()), {"line": e.line + 1, "message": e.message, "snippet": sql.strip()[:200], "hint": hint}
             continue
         s.export = export_uri(sql)
-        found.append(_as_row(s, 0, at, sql.strip()))
-    if failed and "{%" in text:
-        best: dict[str, dict] = {}
-        for way in renderings(text):
-            if way == text:
-                continue
-            for sql, line in split_statements(rescue(unwrap_blocks(fill_placeholders(way)[0]))):
-                try:
-                    s = read_statement(sql, offset + line, set(holes))
-                except Unread:
-                    continue
-                s.export = export_uri(sql)
-                best.setdefault(" ".join(sql.split()), _as_row(s, 0, offset + line, sql.strip()))
-        if best:
-            failed, found = [], list(best.values())
-    out += found
-    problems += failed
+        yield at, _as_row(s, 0, at, sql.strip()), None
+
+
+def _read_block(text: str, offset: int, out: list[dict], problems: list[dict]) -> None:
+    """Rows and problems of a block. If it doesn't read as it is, or shows one thing or another, its if-blocks are rendered
+    one arm at a time; a statement stays a problem unless what starts on its line reads in some rendering."""
+    hint = templating(text)
+    found = list(_statements(text, offset, hint))
+    if "{%" in text and (_OTHERWISE.search(text) or any(problem for _, _, problem in found)):
+        rendered = [x for way in renderings(text) if way != text for x in _statements(way, offset, hint)]
+        if any(not problem for _, _, problem in rendered):
+            read = {at for at, _, problem in rendered if not problem}
+            kept: dict[tuple[int, str], tuple[int, dict, dict | None]] = {}
+            for at, row, problem in rendered:
+                if not problem or at not in read:
+                    kept.setdefault((at, "" if problem else " ".join(row["sql"].split())), (at, row, problem))
+            found = [kept[k] for k in sorted(kept)]
+    out += [row for _, row, _ in found]
+    problems += [problem for _, _, problem in found if problem]
 
 
 def read_file(file: str, ext: str, text: str) -> dict:
@@ -112,9 +117,10 @@ def read_file(file: str, ext: str, text: str) -> dict:
                 r["target"], r["named_by"] = canonical([writes[0]]), "program"
             elif writes:
                 r["named_by"] = "several"
-    elif len(rows) == 1 and queries:
+    elif queries and len(queries) == len(rows) and len({r["line"] for r in rows}) == 1:  # one query, in as many renderings as it has
         stem = re.sub(r"\.[^/]*$", "", file.rsplit("/", 1)[-1])
-        queries[0]["target"], queries[0]["named_by"] = stem, "file"
+        for r in queries:
+            r["target"], r["named_by"] = stem, "file"
     # temporary tables and script variables are this file's own
     own = {r["target"].rsplit(".", 1)[-1].upper(): _fence(file, r["target"]) for r in rows if r["temp"] and r["target"]}
     variables = {r["target"].upper(): own[r["target"].rsplit(".", 1)[-1].upper()] for r in rows if r["kind"] in ("DECLARE", "SET") and r["target"]}
@@ -125,7 +131,8 @@ def read_file(file: str, ext: str, text: str) -> dict:
     for no, r in enumerate(rows):
         r["no"] = no
         r["target"] = fenced(r["target"].removeprefix("_SESSION."))
-        r["sources"] = [fenced(s.removeprefix("_SESSION.")) for s in r["sources"]]
+        for part in ("sources", "joins"):
+            r[part] = [fenced(s.removeprefix("_SESSION.")) for s in r[part]]
         for part in ("uses", "flows"):
             for u in r[part]:
                 u["table"] = fenced(u["table"].removeprefix("_SESSION."))
@@ -146,6 +153,12 @@ def read_file(file: str, ext: str, text: str) -> dict:
     return {"file": file, "statements": rows, "problems": problems, "refs": refs, "writes": writes}
 
 
+def by_file(problems: DataFrame) -> DataFrame:
+    """(file, line, message, snippet, hint, places): one entry for each file, its first problem, with how many there are."""
+    first = F.min_by(F.struct("line", "message", "snippet", "hint"), F.struct("line", "message"))
+    return problems.groupBy("file").agg(first.alias("x"), F.count("*").alias("places")).select("file", "x.*", "places")
+
+
 @dataclass(frozen=True)
 class Tables:
     files: DataFrame
@@ -160,19 +173,25 @@ class Tables:
     refs: DataFrame
     calls: DataFrame
 
+    def problems_by_file(self) -> DataFrame:
+        return by_file(self.problems)
+
 
 def read_tables(tree: Tree, partitions: int | None = None) -> Tables:
     """Read every file of a tree once, and settle what it gave."""
     spark = tree.files.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 16):
             rows = [read_file(f, e, t) for f, e, t in zip(b["file"].to_pylist(), b["ext"].to_pylist(), b["text"].to_pylist())]
             yield pa.RecordBatch.from_pylist(rows, _OUT)
 
     schema = ", ".join(f"{f.name} {_ddl(f.type)}" for f in _OUT)
     files = settle(tree.files)
-    spread = files.select("file", "ext", "text").repartition(partitions or spark.sparkContext.defaultParallelism)
+    if not partitions:
+        size = files.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        partitions = max(spark.sparkContext.defaultParallelism, size // PARTITION + 1)
+    spread = files.select("file", "ext", "text").repartition(partitions)
     parsed = settle(spread.mapInArrow(run, schema))
     flat = parsed.select("file", F.explode("statements").alias("s")).select(F.concat_ws("#", "file", "s.no").alias("stmt"), "file", "s.*")
 

@@ -16,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.functions.shared import settle, slices
+
 #: Extensions that are opened, those known to hold no code, folders passed by, template endings.
 CODE_EXTENSIONS = (".sql", ".sqlx", ".ddl", ".hql", ".py", ".scala", ".java", ".sh", ".xml", ".yaml", ".yml")
-NOT_CODE = tuple(
-    ".md .markdown .rst .txt .adoc .pdf .doc .docx .odt .rtf .tex .png .jpg .jpeg .gif .svg .ico .webp .bmp .tif .tiff .psd "
-    ".css .scss .sass .less .woff .woff2 .ttf .eot .otf .map .csv .tsv .parquet .avro .orc .xlsx .xls .pb .zip .gz .tgz .tar "
-    ".bz2 .xz .7z .rar .jar .war .whl .egg .so .dll .dylib .exe .bin .pyc .pyo .class .o .a .lib .pdb .mp3 .mp4 .mov .avi "
-    ".wav .webm .flac .ogg .lock .log .bak .swp .ds_store".split()
-)
+NOT_CODE = (
+    ".md", ".markdown", ".rst", ".txt", ".adoc", ".pdf", ".doc", ".docx", ".odt", ".rtf", ".tex", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".bmp", ".tif", ".tiff", ".psd",
+    ".css", ".scss", ".sass", ".less", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".map", ".csv", ".tsv", ".parquet", ".avro", ".orc", ".xlsx", ".xls", ".pb", ".zip", ".gz", ".tgz", ".tar",
+    ".bz2", ".xz", ".7z", ".rar", ".jar", ".war", ".whl", ".egg", ".so", ".dll", ".dylib", ".exe", ".bin", ".pyc", ".pyo", ".class", ".o", ".a", ".lib", ".pdb", ".mp3", ".mp4", ".mov", ".avi",
+    ".wav", ".webm", ".flac", ".ogg", ".lock", ".log", ".bak", ".swp", ".ds_store",
+)
 SKIPPED_FOLDERS = (".git", ".venv", "venv", "node_modules", "__pycache__", "target", "build", "dist")
 TEMPLATE_ENDINGS = (".j2", ".jinja", ".jinja2", ".tmpl", ".template", ".tpl", ".mustache", ".hbs", ".erb")
 MOST_BYTES = 2_000_000
@@ -37,8 +39,8 @@ def extension(path: Column) -> Column:
 
 
 def decode(raw: bytes) -> str | None:
-    """Text of a file; None if it isn't text. Byte-order marks first, then UTF-16 by its zeros, UTF-8, Latin-1."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+    """Text of a file; None if it isn't text. Byte-order marks first (the longest ones before those they begin with), then UTF-16 by its zeros, UTF-8, Latin-1."""
+    for mark, name in ((b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if raw.startswith(mark):
             try:
                 return raw.decode(name)
@@ -81,7 +83,7 @@ def _classified(raw: DataFrame) -> Tree:
     told = raw.withColumn("ext", ext).withColumn("kind", kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 16):
             yield pa.RecordBatch.from_arrays([b["file"], b["ext"], pa.array([decode(x or b"") for x in b["content"].to_pylist()], pa.string())], ["file", "ext", "text"])
 
     read = told.where("kind is null").select("file", "ext", "content").mapInArrow(run, "file string, ext string, text string")
@@ -114,17 +116,25 @@ def read_archive(spark: SparkSession, path: str) -> Tree:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b["content"].to_pylist():
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
-                    for m in tar:
+                with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as tar:
+                    for m in tar:  # one after the other: no more than one member is held
                         if m.isfile():
                             data = tar.extractfile(m).read() if m.size <= MOST_BYTES else b""
-                            rows.append((m.name.partition("/")[2] or m.name, m.size, data))
-                columns = list(zip(*rows)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()))], ["file", "length", "content"])
+                            row = ([m.name.partition("/")[2] or m.name], [m.size], [data])
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int64(), pa.binary()))], ["file", "length", "content"])
 
     raw = spark.read.format("binaryFile").load(path).select("content")
-    return _classified(raw.mapInArrow(run, "file string, length bigint, content binary"))
+    members = raw.mapInArrow(run, "file string, length bigint, content binary")
+    # an archive is unpacked in one task; its members are dealt out before they are read
+    return _classified(settle(members).repartition(spark.sparkContext.defaultParallelism, "file"))
+
+
+def from_contents(rows: DataFrame, root: str = "") -> Tree:
+    """A tree given as (path, length, content) rows, paths relative to ``root``, by the same rules as a folder."""
+    base = re.sub("^file:/+", "/", root).rstrip("/")
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    relative = F.when(F.startswith(plain, F.lit(base + "/")), F.substring(plain, len(base) + 2, 1 << 20)).otherwise(plain) if base else plain
+    return _classified(rows.select(relative.alias("file"), "length", "content"))
 
 
 def from_rows(rows: DataFrame) -> Tree:
