@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from waymark.plans import queries
+from waymark.plans import generated, queries
+
+ALL = queries.ALL | generated.ALL
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -24,9 +26,9 @@ def plain(v):
     return None if v is None or isinstance(v, float) and math.isnan(v) else round(float(v), 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", list(queries.ALL))
+@pytest.mark.parametrize("name", list(ALL))
 def test_agrees(spark, db, name):
-    query, sql = queries.ALL[name]
+    query, sql = ALL[name]
     df = query(spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(str(plain(r[c])) for c in columns) for r in df.collect()))
@@ -42,4 +44,4 @@ def test_entry_point(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert set(queries.ALL) <= set(e.queries())
+    assert set(ALL) <= set(e.queries())

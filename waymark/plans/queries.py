@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.engine import Ask, Engine, Repo, word_hits
@@ -30,18 +30,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_READ: dict[tuple[str, str], Repo] = {}
-
-
 def warehouse(spark: SparkSession, sf_dir: str) -> Repo:
-    """The pipeline above, with the tables' own schemas as its catalogue; read once for a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _READ:
-        _READ[key] = _warehouse(spark, sf_dir)
-    return _READ[key]
-
-
-def _warehouse(spark: SparkSession, sf_dir: str) -> Repo:
+    """The pipeline above, with the tables' own schemas as its catalogue."""
     ddl = {f"ddl/{t}.sql": f"CREATE TABLE raw.{t} ({', '.join(f'{f.name} {f.dataType.simpleString()}' for f in read(spark, sf_dir, t).schema)});" for t in TABLES}
     return Engine(spark).read_texts(ddl | PIPELINE)
 
@@ -72,6 +62,15 @@ def lineage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groups.select("prod", "matched", "findings", "breaking", F.array_join("through", " ").alias("through"))
 
 
+#: By the pipeline above: shipped_on, last_ship and ship_month lead to both published tables; the statements on the way to one are those of lineage_shipdate but for the other's own.
+GROUPS_SQL = """
+WITH on_the_way(prod, "table", "column", breaking) AS (VALUES
+ ('mart.segment_sales_pub', 'raw.lineitem', 'l_shipdate', true), ('mart.segment_sales_pub', 'staging.lines_clean', 'shipped_on', true), ('mart.segment_sales_pub', 'curated.order_facts', 'last_ship', true), ('mart.segment_sales_pub', 'segment_sales', 'last_ship', true),
+ ('mart.late_orders_pub', 'raw.lineitem', 'l_shipdate', true), ('mart.late_orders_pub', 'staging.lines_clean', 'shipped_on', true), ('mart.late_orders_pub', 'curated.order_facts', 'last_ship', true))
+SELECT prod, 'name' AS matched, count(*) AS findings, count(*) FILTER (breaking) AS breaking, string_agg("table" || '.' || "column", ' ' ORDER BY "table" || '.' || "column") AS through FROM on_the_way GROUP BY prod
+"""
+
+
 def lineage_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _answer(spark, sf_dir, "value_change", Ask("raw.lineitem", ["l_discount"]))
     return s.branches.select(F.array_join("path", " > ").alias("path"), F.col("hops").cast("bigint").alias("hops"))
@@ -317,7 +316,7 @@ UNION ALL SELECT 'cut', count(*) FROM h2 WHERE b IN (SELECT a FROM edges)
 def table_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _geography(spark, sf_dir).select(
         F.concat_ws(">", "a", "b").alias("stmt"), F.lit("f").alias("file"), F.col("b").alias("target"), F.col("b").alias("t_short"), F.lit("").alias("t_ds"), F.lit("").alias("copied"), F.lit("").alias("export_uri"),
-        F.lit("").alias("sql"), F.col("a").alias("table"), F.col("a").alias("s_short"), F.lit("").alias("s_ds"),
+        F.lit(False).alias("joined"), F.col("a").alias("table"), F.col("a").alias("s_short"), F.lit("").alias("s_ds"),
     )
     readers, _ = lineage.walk_tables(e, spark.createDataFrame([("R1",)], "table string"))
     return readers.groupBy(F.col("hop").cast("bigint").alias("hop")).agg(F.count("*").alias("statements"), F.count_distinct("table").alias("tables"))
@@ -334,7 +333,7 @@ def stops_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _as_flows(_geography(spark, sf_dir)).select("s_short", "t_short", "target")
     broken = spark.createDataFrame([("R2", "s1"), ("R3", "s2")], "target string, stmt string")
     none = spark.createDataFrame([("N0",)], "short string")
-    found, _ = lineage.stops_loading(e, broken, F.col("table").startswith("N"), none, most=1_000_000)
+    found, _ = lineage.stops_loading(e, broken, F.col("table").startswith("N"), none)
     return found.select("table", F.array_join("via", " > ").alias("via"), "because")
 
 
@@ -405,15 +404,6 @@ FROM uses u JOIN l ON l.kind = u.kind, (SELECT DISTINCT change FROM b) c GROUP B
 """
 
 
-def usage_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each key, the earliest, with all that led to it."""
-    e = read(spark, sf_dir, "events")
-    return e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"), F.array_join(F.array_sort(F.collect_set(F.dayofweek("ts").cast("string"))), ",").alias("roots"))
-
-
-FIRST_SQL = "SELECT user_id, event_type, min(event_id) AS first_event, array_to_string(list_sort(list(DISTINCT (dayofweek(ts) + 1)::VARCHAR)), ',') AS roots FROM events GROUP BY ALL"
-
-
 def line_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n"))
     at = usages.locate(F.col("text"), F.lit("the"), F.lit("select"), F.lit(0), F.col("n") - 1)
@@ -421,13 +411,14 @@ def line_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.col("at").cast("bigint").alias("line"), F.size(usages.snippet(F.col("text"), F.col("at"))).cast("bigint").alias("shown"))
 
 
-def notice_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return c.select("conv_id", "turn", "role", F.lead("role").over(w).alias("next_role"), F.length(F.lead("text").over(w)).cast("bigint").alias("reply_chars")).where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", "reply_chars")
-
-
-REPLIES_SQL = "SELECT conv_id, turn, reply_chars FROM (SELECT conv_id, turn, role, lead(role) OVER w AS next_role, length(lead(text) OVER w) AS reply_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'"
+LOCATOR_SQL = r"""
+WITH scored AS (
+  SELECT doc_id, i - 1 AS place, len(lines) AS n, CASE WHEN regexp_matches(line, '(^|[^\p{L}\p{N}_])THE($|[^\p{L}\p{N}_])') THEN 1 + 2 * contains(line, 'SELECT')::INT + 2 * contains(line, ' AS ')::INT ELSE 0 END AS score
+  FROM (SELECT doc_id, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT doc_id, string_split(upper(text), chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
+best AS (SELECT doc_id, any_value(n) AS n, CASE WHEN max(score) > 0 THEN arg_min(place, 10000 * (5 - score) + place) ELSE 0 END AS line FROM scored GROUP BY doc_id)
+SELECT doc_id, line::BIGINT AS line, (least(line + 2, n - 1) - greatest(line - 2, 0) + 1)::BIGINT AS shown FROM best
+UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL
+"""
 
 
 def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,41 +429,13 @@ def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 HISTORY_SQL = "SELECT user_id AS id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id"
 
 
-def ambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.concat(F.lit("ds"), F.col("c_nationkey") % 3, F.lit("."))), F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.upper("c_mktsegment"))).alias("name"))
-    t = F.col("name")
-    told = c.groupBy(names.short(t).alias("key")).agg(F.count_distinct(F.when(names.dataset(t) != "", names.dataset(t))).alias("datasets"), F.max(names.dataset(t) == "").alias("bare"), F.count_distinct(F.regexp_extract("name", r"([^.]*)$", 1)).alias("spellings"))
-    return told.withColumn("ambiguous", (F.col("datasets") > 1) | (F.col("datasets") == 1) & F.col("bare"))
-
-
-AMBIGUOUS_SQL = """
-SELECT upper(c_mktsegment) AS key, count(DISTINCT CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey % 3 END) AS datasets, bool_or(c_custkey % 4 = 0) AS bare, count(DISTINCT CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE upper(c_mktsegment) END) AS spellings,
- count(DISTINCT CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey % 3 END) > 1 OR count(DISTINCT CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey % 3 END) = 1 AND bool_or(c_custkey % 4 = 0) AS ambiguous FROM customer GROUP BY 1
-"""
-
-
-def pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The warehouse itself, run: what segment_sales_pub would hold, revenue in ten-thousandths."""
-    o, li, c, n = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "nation"))
-    lines = li.where("l_shipdate is not null").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last_ship"), F.sum(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000).cast("bigint")).alias("revenue"))
-    facts = o.where("o_orderstatus <> 'X'").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
-    sold = facts.join(c, F.col("c_custkey") == F.col("o_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey"))
-    return sold.groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"), F.date_format("last_ship", "yyyy-MM").alias("ship_month")).agg(F.sum("revenue").alias("revenue"), F.count("*").alias("orders"))
-
-
-RUN_SQL = """
-SELECT c_mktsegment AS segment, n_name AS nation, strftime(last_ship, '%Y-%m') AS ship_month, sum(revenue)::BIGINT AS revenue, count(*) AS orders
-FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship, sum(round(l_extendedprice * (1 - l_discount) * 10000)::BIGINT) AS revenue FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
-JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus <> 'X' GROUP BY 1, 2, 3
-"""
-
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "lineage_shipdate": (lineage_shipdate, SHIPDATE_SQL), "lineage_groups": (lineage_groups, None), "lineage_branches": (lineage_branches, BRANCHES_SQL),
+    "lineage_shipdate": (lineage_shipdate, SHIPDATE_SQL), "lineage_groups": (lineage_groups, GROUPS_SQL), "lineage_branches": (lineage_branches, BRANCHES_SQL),
     "lineage_whole_table": (lineage_whole_table, WHOLE_SQL), "lineage_stats": (lineage_stats, None), "catalog_columns": (catalog_columns, CATALOG_SQL), "lineage_warehouse": (lineage_warehouse, WAREHOUSE_SQL),
     "word_search": (word_search, WORD_SQL), "mention_counts": (mention_counts, MENTION_SQL), "page_text": (page_text, PAGE_SQL), "name_parts": (name_parts, NAME_SQL),
     "same_tables": (same_tables, SAME_SQL), "shard_reads": (shard_reads, SHARD_SQL), "families": (families, FAMILY_SQL), "published_names": (published_names, PUBLISHED_SQL),
     "change_words": (change_words, CHANGE_SQL), "first_sentences": (first_sentences, SENTENCE_SQL), "page_types": (page_types, TYPES_SQL), "column_closure": (column_closure, CLOSURE_SQL),
     "closure_cut": (closure_cut, CUT_SQL), "table_closure": (table_closure, TABLES_SQL), "stops_loading": (stops_loading, STOPS_SQL), "longest_branches": (longest_branches, LONGEST_SQL),
-    "usage_primary": (usage_primary, PRIMARY_SQL), "usage_breaks": (usage_breaks, BREAKS_SQL), "usage_first": (usage_first, FIRST_SQL), "line_locator": (line_locator, None),
-    "notice_replies": (notice_replies, REPLIES_SQL), "history_latest": (history_latest, HISTORY_SQL), "ambiguous_names": (ambiguous_names, AMBIGUOUS_SQL), "pipeline_run": (pipeline_run, RUN_SQL),
+    "usage_primary": (usage_primary, PRIMARY_SQL), "usage_breaks": (usage_breaks, BREAKS_SQL), "line_locator": (line_locator, LOCATOR_SQL),
+    "history_latest": (history_latest, HISTORY_SQL), 
 }
