@@ -98,8 +98,12 @@ def sorted_conversations(rows: DataFrame) -> DataFrame:
     return settle(keyed.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").withColumn("shard", F.spark_partition_id()))
 
 
-def _emit(before: dict[int, bytes], stacks: dict[int, list[tuple[int, int, int]]], base: dict[int, int], vocabulary: str) -> Iterator:
-    """The function that emits the nodes of one range, given the key before it and what stands there."""
+def _emit(before: dict[int, bytes], depth: dict[int, int], vocabulary: str) -> Iterator:
+    """The function that emits the nodes of one range, as if it began at 0, given the key before it.
+
+    The ``depth`` nodes that it takes over from there have no length, and a negative
+    place of their own: -2 for the first, -4 for the second and so on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
@@ -111,10 +115,10 @@ def _emit(before: dict[int, bytes], stacks: dict[int, list[tuple[int, int, int]]
             for shard, conv, key, turns in zip(*(b[c].to_pylist() for c in ("shard", "conv_id", "key", "turns"))):
                 if encode is None:
                     encode = encoder(vocabulary)
-                    last, stack, at = before.get(shard, b""), list(stacks.get(shard, [])), base.get(shard, 0)
-                depth = shared(last, key)
-                del stack[depth:]
-                for k in range(depth, len(turns)):
+                    last, stack = before.get(shard, b""), [(-2 * k - 2, -2 * k - 2, 0) for k in range(depth[shard])]
+                same = shared(last, key)
+                del stack[same:]
+                for k in range(same, len(turns)):
                     head, body, foot = (encode(x) for x in parts(turns[k]["role"], turns[k]["text"]))
                     ids = np.array([*head, *body, *foot], dtype="<u4")
                     position = stack[-1][2] + stack[-1][1] - stack[-1][0] if stack else 0
@@ -136,6 +140,31 @@ def _emit(before: dict[int, bytes], stacks: dict[int, list[tuple[int, int, int]]
     return run
 
 
+def _placed(stacks: dict[int, list[tuple[int, int, int]]], base: dict[int, int]) -> Iterator:
+    """The function that moves the nodes of a range to where it begins, behind the nodes (start, end, position) it takes over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = []
+            for r in b.to_pylist():
+                above, at = stacks[r["shard"]], base[r["shard"]]
+                if r["path"] is not None:
+                    r["path"] = [x + at if x >= 0 else above[-x // 2 - 1][0] for x in r["path"]]
+                else:
+                    taken = [above[-x["start"] // 2 - 1] for x in r["attends"] if x["start"] < 0]
+                    attends: list[dict] = []
+                    for start, end in [t[:2] for t in taken] + [(x["start"] + at, x["end"] + at) for x in r["attends"] if x["start"] >= 0]:
+                        if attends and attends[-1]["end"] == start:
+                            attends[-1]["end"] = end
+                        else:
+                            attends.append({"start": start, "end": end})
+                    r |= {"start": r["start"] + at, "end": r["end"] + at, "position": r["position"] + sum(t[1] - t[0] for t in taken), "attends": attends}
+                out.append(tuple(r.values()))
+            yield _rows(out)
+
+    return run
+
+
 _NODES = (
     "shard int, line bigint, conv_id bigint, path array<bigint>, start bigint, end bigint, depth int, position bigint, "
     "attends array<struct<start: bigint, end: bigint>>, loss_start int, loss_end int, ids binary"
@@ -158,9 +187,8 @@ def format_tree(rows: DataFrame, vocabulary: str = "byte_bpe_50k") -> tuple[Data
     shards = sorted((r["shard"], bytes(r["first"]), bytes(r["last"])) for r in ends)
     before = {s: shards[k - 1][2] if k else b"" for k, (s, _, _) in enumerate(shards)}
     depth = {s: shared(before[s], first) for s, first, _ in shards}
-    # first as if each range began at 0, with places for what it takes over
-    blank = {s: [(-1, -1, 0)] * depth[s] for s, _, _ in shards}
-    alone = settle(sorted_.mapInArrow(_emit(before, blank, {}, vocabulary), _NODES))
+    # each range as if it began at 0; turns become tokens here, once
+    alone = settle(sorted_.mapInArrow(_emit(before, depth, vocabulary), _NODES))
     made = alone.where("path is not null")
     size = {r["shard"]: r["n"] for r in alone.groupBy("shard").agg(F.coalesce(F.max("end"), F.lit(0)).alias("n")).collect()}
     lasts = made.groupBy("shard").agg(F.max(F.struct("line", "path"))["path"].alias("path"))
@@ -178,7 +206,7 @@ def format_tree(rows: DataFrame, vocabulary: str = "byte_bpe_50k") -> tuple[Data
             stack.append((begin, end, position))
             position += end - begin
         at += size[s]
-    done = settle(sorted_.mapInArrow(_emit(before, stacks, base, vocabulary), _NODES))
+    done = alone.mapInArrow(_placed(stacks, base), _NODES)
     nodes = done.where("start is not null").drop("shard", "line", "conv_id", "path")
     return nodes, done.where("path is not null").select("conv_id", "path")
 
