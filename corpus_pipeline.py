@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import mixing, packing, quality, simhash, suffix
-from waymark.llm.common import shared_path
+from waymark.llm.common import remove, shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bytes of a passage that goes wherever it occurs twice: some thirty words.
@@ -61,9 +61,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed sequences of ``documents``.
+
+    Each stage's table is removed once the next one is written; the last stays. Nulls,
+    ties, repeated rows and empty tables are what the stages' operators make of them: a
+    null text is an empty one, which the quality rules reject; of equal documents one
+    stays; an empty table gives no sequences. Columns but those of documents are left out.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

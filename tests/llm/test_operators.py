@@ -546,3 +546,10 @@ def test_pipeline(spark, odd):
             got = multiset(sha(r["text"].encode()) for r in docs.collect())
             assert sum((want - got).values()) <= 1  # a cut may break a character
     assert docs.count() and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    path = fixtures.tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, path).count() == 0

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import joined_small, settle
+from waymark.llm.common import joined_small, may_have, settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -185,11 +185,18 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept. Measures are made anew rather than joined to the texts."""
-    cuts = settle(cutoffs(settle(measures(docs).select("doc_id", "stratum", "reached")), labels))
-    names = docs.columns
-    row = docs.withColumn("__row", F.struct(*names))
-    return judged(measures(row, "__row"), cuts).where("kept").select("__row.*")
+    """The rows of ``docs`` that are kept. Each text is measured once.
+
+    What is rejected is known by two 64-bit hashes of a row's id, language and text. Only
+    rows that a filter of bounded size doesn't clear are shuffled to find out.
+    """
+    parts = [F.col("doc_id"), F.col("lang").cast("string"), F.col("text").cast("string")]
+    own = docs.withColumns({"__key": F.xxhash64(*parts), "__check": F.xxhash64(F.lit(1), *reversed(parts))})
+    measured = settle(measures(own, "__key", "__check").select("__key", "__check", "doc_id", "stratum", "base_failed", "reached"))
+    gone = settle(judged(measured, settle(cutoffs(measured, labels))).where("not kept").select("__key", "__check").distinct())
+    apart = may_have(own, "__key", gone)
+    rest = apart.where("maybe").join(gone, ["__key", "__check"], "left_anti")
+    return apart.where("not maybe").unionByName(rest.select(apart.columns)).select(docs.columns)
 
 
 def _sql() -> str:
