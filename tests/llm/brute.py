@@ -90,3 +90,137 @@ def quality(text):
     inside = {j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + 5)}
     failed = len(words) < 10 or 100 * len(inside) > 20 * len(words)
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside), failed
+
+
+def language(train, texts, dimensions=1024):
+    """(lang, cosine) of each text by bundled trigrams of random letter vectors, one letter and one trigram at a time; train holds (lang, text)."""
+    from collections import defaultdict
+    from functools import lru_cache
+
+    import numpy as np
+
+    from waymark.llm import langid
+
+    @lru_cache(None)
+    def vector(sign):
+        return langid.sign_vectors(np.array([sign]), dimensions)[0].astype(int)
+
+    def signs(text):
+        out = [0]
+        for c in text.lower():
+            s = ord(c) if c.isalpha() else 0
+            if s or out[-1]:
+                out.append(s)
+        return out + [0] if out[-1] else out
+
+    def bundle(text):
+        s = signs(text)
+        total = np.zeros(dimensions)
+        n = 0
+        for a, b, c in zip(s, s[1:], s[2:]):
+            total += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+            n += 1
+        return total, n
+
+    sums, sizes = defaultdict(lambda: np.zeros(dimensions)), Counter()
+    for lang, text in train:
+        if any(c.isalpha() for c in text.lower()):
+            total, n = bundle(text)
+            sums[lang] += total
+            sizes[lang] += n
+    langs = sorted(sums)
+    known = np.array([sums[x] / sizes[x] for x in langs])
+    if len(langs) > 1:
+        known = known - known.mean(axis=0)
+    known /= np.linalg.norm(known, axis=1, keepdims=True)
+    out = []
+    for text in texts:
+        if not any(c.isalpha() for c in (text or "").lower()):
+            out.append(("und", 0.0))
+            continue
+        v = bundle(text)[0]
+        cosine = known @ v / np.linalg.norm(v)
+        best = max(range(len(langs)), key=lambda k: (cosine[k], -k))
+        out.append((langs[best], min(1.0, max(0.0, float(cosine[best])))))
+    return out
+
+
+def toxic(text, weights, bias):
+    """The chance that a text is toxic: one less the product of its sentences' chances not to be."""
+    import math
+    import re
+
+    calm = 1.0
+    for sentence in re.split(r"[.!?\n]+", text or ""):
+        if not sentence:
+            continue
+        words = {w.lower() for w in re.findall(r"[^\W\d_]+", sentence)}
+        seen = words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
+        calm *= 1 - 1 / (1 + math.exp(-(bias + sum(weights.get(w, 0.0) for w in seen))))
+    return 1 - calm
+
+
+def language_model(rows):
+    """(n_tokens, n_known, base, score) of each (fold, text): deleted interpolation with counts in plain dictionaries."""
+    import math
+
+    import numpy as np
+
+    from waymark.llm import lm
+
+    docs = [(fold, [*(text or "").encode().lower().split(), lm.END]) for fold, text in rows]
+    start = b"start"
+    kept, whole, words = Counter(), Counter(), Counter()
+    for fold, tokens in docs:
+        if fold == lm.HELD_OUT:
+            continue
+        padded = [start, start, *tokens]
+        grams = Counter(tuple(padded[k - n : k + 1]) for k in range(2, len(padded)) for n in (1, 2)) + Counter((t,) for t in tokens)
+        # a triple that reaches back before the start is a pair at the start
+        whole.update(grams)
+        words.update(tokens)
+        if fold != lm.DELETED:
+            kept.update(grams)
+    total, known = sum(words.values()), len(words)
+    classes = {w: k for k, w in enumerate(dict.fromkeys([lm.END, *sorted(words, key=lambda w: (-words[w], w))[: lm.CLASSES - 1]]))}
+    k = len(classes)
+    pairs = np.zeros((2, k + 2, k + 1))
+    for fold, tokens in docs:
+        if fold != lm.HELD_OUT:
+            kind = [classes.get(t, k) for t in tokens]
+            for a, b in zip([k + 1, *kind], kind):
+                pairs[int(fold == lm.DELETED), a, b] += 1
+    chances = lm.class_chances(*pairs)
+    rare = [w for w in words if w not in classes]
+    sizes = sum(kept[w,] for w in rare), sum(words[w] for w in rare)
+    shares = Counter()
+    for w in rare:
+        shares[kept[w,]] += words[w] - kept[w,]
+    weight = lm.word_weight([(n, d) for n, d in shares.items() if d], sizes[0], known)
+
+    def estimates(tokens, counts, all_):
+        for i, t in enumerate(tokens):
+            before = tokens[i - 1] if i else start
+            two = tokens[i - 2] if i > 1 else start
+            one_n = counts[before,] if i else counts[lm.END,]
+            two_n = counts[two, before] if i else 0
+            triple = counts[two, before, t] / two_n if two_n else 0.0
+            pair = counts[before, t] / max(one_n, 1)
+            kind = classes.get(t, k)
+            word = chances[all_][classes.get(before, k) if i else k + 1, kind]
+            if kind == k:
+                word *= weight / max(sizes[all_], 1) * counts[t,] + (1 - weight) / (known + 1)
+            yield triple, pair, word, int(lm.context_bucket(np.array([one_n]), np.array([two_n]))[0])
+
+    cells = Counter()
+    for fold, tokens in docs:
+        if fold == lm.DELETED:
+            for e in estimates(tokens, kept, 0):
+                cells[e[3], *(round(lm.GRADES * math.log10(x)) if x > 0 else -999 for x in e[:3])] += 1
+    weights = lm.order_weights(sorted((c[0], *(10.0 ** (x / lm.GRADES) if x > -999 else 0.0 for x in c[1:]), n) for c, n in cells.items()))
+    out = []
+    for _, tokens in docs:
+        score = sum(math.log10(sum(w * x for w, x in zip(weights[e[3]], e))) for e in estimates(tokens, whole, 1))
+        base = sum(math.log10((words[t] + 1) / (total + known + 1)) for t in tokens)
+        out.append((len(tokens), sum(words[t] > 0 for t in tokens), base, score))
+    return out

@@ -553,3 +553,51 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
     path = fixtures.tables(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def fold_of(doc, folds):
+    import zlib
+
+    return zlib.crc32(str(doc).encode() if doc is not None else b"") % folds
+
+
+def test_op8_plain(spark, odd):
+    rows = fixtures.documents()
+    train = [(r[2], r[1] or "") for r in rows if fold_of(r[0], 4) != 2 and r[2] is not None]
+    want = multiset((r[0], p, round(s, 4)) for r, (p, s) in zip(rows, brute.language(train, [r[1] for r in rows])))
+    assert want == multiset((r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in run(spark, "op8_langid", odd))
+
+
+def test_op9_plain(spark):
+    import random
+
+    from waymark.llm import toxicity
+
+    rng = random.Random(6)
+    calm = [w for w in fixtures.words(rng, 300).split() if len(w) > 2]
+    texts = {i: ". ".join(" ".join(rng.sample(calm, 8)) for _ in range(rng.randint(1, 6))) + (". Such vilest nonsense!" if i % 2 else "\nfine") for i in range(200)}
+    docs = fixtures.frame(spark, [(i, t, None, None, 0) for i, t in [*texts.items(), (900, None), (901, ""), (902, "..! ?")]])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in texts], "doc_id bigint, quality int, toxic int")
+    weights, bias = toxicity.fit(toxicity.sample(docs, labels))
+    assert weights
+    for r in toxicity.score(docs, labels).collect():
+        assert abs(r["score"] - brute.toxic(texts.get(r["doc_id"], {902: "..! ?"}.get(r["doc_id"], "")), weights, bias)) < 1e-9
+
+
+@pytest.mark.parametrize("classes", [512, 4])
+def test_op10_plain(spark, monkeypatch, classes):
+    """Scores are those of counts in plain dictionaries, with words in classes of their own or mostly in the common one."""
+    import random
+
+    from waymark.llm import lm
+
+    monkeypatch.setattr(lm, "CLASSES", classes)
+    rng = random.Random(12)
+    some = fixtures.words(rng, 60).split()
+    texts = [" ".join(rng.choices(some, k=rng.randint(0, 40))) for _ in range(60)] + [None, "", "Wholly New words"]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    want = brute.language_model([(fold_of(i, 7), t) for i, t in enumerate(texts)])
+    for r in lm.score(fixtures.frame(spark, rows)).collect():
+        n, known, base, score = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"]) == (n, known)
+        assert abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - score) < 1e-6, r["doc_id"]
