@@ -10,7 +10,7 @@ def test_tree_and_archive_by_one_rule(spark, tmp_path):
     root = tmp_path / "build" / "repo"  # the folder the tree stands in doesn't count
     contents = {
         "a.sql": b"SELECT 1", "b.sql.j2": b"SELECT 2", "c.sql.bak": b"SELECT 3", "x/d.py": b"pass", "node_modules/e.sql": b"SELECT 4", "f.ipynb": b"{}", "g.md": b"#", "big.sql": b"x" * 2_000_001,
-        "bom.sql": b"\xef\xbb\xbfSELECT 5", "wide.sql": "SELECT ü".encode("utf-16"), "nobom.sql": "SELECT 6".encode("utf-16-le"), "nul.sql": b"SELECT \0 7", "latin.sql": "SELECT 'é'".encode("latin-1"), "target/n.txt": b"x",
+        "bom.sql": b"\xef\xbb\xbfSELECT 5", "wide.sql": "SELECT ü".encode("utf-16"), "nobom.sql": "SELECT 6".encode("utf-16-le"), "nul.sql": b"SELECT \0 7", "latin.sql": "SELECT 'é'".encode("latin-1"), "long.sql": "SELECT 8".encode("utf-32"), "target/n.txt": b"x",
     }
     for p, b in contents.items():
         (root / p).parent.mkdir(parents=True, exist_ok=True)
@@ -23,8 +23,8 @@ def test_tree_and_archive_by_one_rule(spark, tmp_path):
             tar.addfile(info, io.BytesIO(b))
     for tree in (files.read_tree(spark, str(root)), files.read_archive(spark, str(path))):
         got = {r["file"]: r["text"] for r in tree.files.collect()}
-        assert set(got) == {"a.sql", "b.sql.j2", "x/d.py", "bom.sql", "wide.sql", "nobom.sql", "latin.sql"}
-        assert got["bom.sql"] == "SELECT 5" and got["wide.sql"] == "SELECT ü" and got["nobom.sql"] == "SELECT 6" and got["latin.sql"] == "SELECT 'é'"
+        assert set(got) == {"a.sql", "b.sql.j2", "x/d.py", "bom.sql", "wide.sql", "nobom.sql", "latin.sql", "long.sql"}
+        assert got["long.sql"] == "SELECT 8" and got["bom.sql"] == "SELECT 5" and got["wide.sql"] == "SELECT ü" and got["nobom.sql"] == "SELECT 6" and got["latin.sql"] == "SELECT 'é'"
         kinds = {r["file"]: r["kind"] for r in tree.unread.collect()}
         assert kinds == {"c.sql.bak": "not_code", "node_modules/e.sql": "skipped_folder", "f.ipynb": "unknown_type", "g.md": "not_code", "big.sql": "too_long", "nul.sql": "not_text", "target/n.txt": "ignored"}
 

@@ -13,7 +13,7 @@ SCHEMA = "path string, modificationTime timestamp, length bigint, content binary
 
 
 def changes(spark: SparkSession, root: str) -> DataFrame:
-    """New or changed files under a folder, as a stream of binary files."""
+    """New files under a folder, as a stream of binary files. Spark's file source takes a path once for a checkpoint."""
     glob = "*{" + ",".join(CODE_EXTENSIONS) + "}"
     return spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
 
