@@ -83,7 +83,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     counted = keyed.withColumn("n_copies", count).where("n_copies > 0")
     copies = counted.select(*names, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed + 1), text_id, F.col("copy").cast("string")).cast("binary")))
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string")))  # rows without doc_id share their keys
+    return copies.repartition("shuffle_key", salt).sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
 #: The default mixture with DuckDB, for ``documents``.

@@ -31,7 +31,8 @@ hashes, each within its key.
 
 Nulls: a null text is empty and has nothing removed. Repeated rows count as documents of
 their own, so all their bytes go if the text has ``length`` bytes. An empty table gives an
-empty result. Other columns are ignored. Text is taken in pieces of 1 MiB.
+empty result. Other columns are ignored. Text is taken in pieces of 1 MiB; what is known of a
+document's own leaders stands in one row, as its text does, and is smaller.
 """
 
 from __future__ import annotations
