@@ -42,10 +42,7 @@ def strip_html(html: Column) -> Column:
     out = F.array_join(F.transform(F.split(seen, "<", -1), shown), "")
     for entity, character in _ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(character))
-    lines = F.transform(F.split(out, "\n", -1), lambda line: F.regexp_replace(line, r"[ \t]+$", ""))
-    last = F.regexp_extract(out, r"([^\n]*)$", 1)  # the last line ends no line
-    kept = F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(last))
-    return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
 
 
 def _words(text: Column, marks: str = "") -> Column:

@@ -296,7 +296,7 @@ WITH v(variant, verdict) AS ({_values([(k, v) for k, (_, v) in enumerate(SHARDS)
 SELECT 's_' || s_suppkey || '.sql' AS "file", 'out_' || s_suppkey AS target, verdict = 'reads' AS certain, 0::BIGINT AS hop FROM v JOIN supplier ON s_suppkey % {len(SHARDS)} = variant WHERE verdict <> 'excluded'
 """
 
-DEPTH = 40
+DEPTH = 33
 
 
 def star_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
