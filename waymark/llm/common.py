@@ -21,7 +21,7 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def joined_small(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
+def joined_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join with a settled table of statistics, sent to every executor if it has at most ``SMALL`` rows.
 
     Beyond that both sides are shuffled, and adaptive execution splits hot keys.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, langid, lm, media, mixing, packing, quality, simhash, suffix, toxicity
+from waymark.llm import chat, fim, langid, lm, media, mixing, packing, phrases, quality, sharding, simhash, suffix, toxicity
 from waymark.llm.common import documents, shared_path
 
 
@@ -92,6 +92,22 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"), F.sha2(F.encode("restored", "UTF-8"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -104,6 +120,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_toxicity": op9_toxicity,
         "op10_lm": op10_lm,
+        "op11_fim": op11_fim,
+        "op12_sharding": op12_sharding,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -111,4 +130,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.SQL,
         "op6_quality": quality.SQL,
+        "op11_fim": fim.SQL,
+        "op13_phrases": phrases.SQL,
     }
