@@ -224,3 +224,66 @@ def language_model(rows):
         base = sum(math.log10((words[t] + 1) / (total + known + 1)) for t in tokens)
         out.append((len(tokens), sum(words[t] > 0 for t in tokens), base, score))
     return out
+
+
+def fim(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output) by a list of lines."""
+    import re
+
+    text = text or ""
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[k : k + 8], 16) for k in (0, 8, 16, 24)]
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")):
+        return len(lines), "plain", None, None, text
+    a, b = sorted((h[0] % (len(lines) + 1), h[1] % (len(lines) + 1)))
+    pre, mid, suf = "".join(lines[:a]), "".join(lines[a:b]), "".join(lines[b:])
+    if h[3] % 100 < 50:
+        return len(lines), "spm", len(pre), len(mid), f"<S>{suf}<P>{pre}<M>{mid}"
+    return len(lines), "psm", len(pre), len(mid), f"<P>{pre}<S>{suf}<M>{mid}"
+
+
+def jump(key, shards):
+    """Jump consistent hashing of one 64-bit key, as published."""
+    at, next_ = -1, 0
+    while next_ < shards:
+        at = next_
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        next_ = int((at + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return at
+
+
+def phrases(rows, least, kept=2000):
+    """Rows of op13 from (text, lang) by counting every phrase of every piece."""
+    import re
+
+    f, total = {}, Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        total[lang] += 0
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", lower):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for m in range(1, 5):
+                for i in range(len(w) - m + 1):
+                    f[lang, tuple(w[i : i + m])] = f.get((lang, tuple(w[i : i + m])), 0) + 1
+    cand = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    covered = set()
+    for (lang, w), c in cand.items():
+        for m in range(2, len(w)):
+            for i in range(len(w) - m + 1):
+                if 100 * c >= 80 * cand[lang, w[i : i + m]]:
+                    covered.add((lang, w[i : i + m]))
+    out = []
+    for (lang, w), a in cand.items():
+        if (lang, w) not in covered:
+            cuts = [(2_000_000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            out.append((lang, " ".join(w), a, f[lang, w[:k]], f[lang, w[k:]], total[lang], score))
+    ranked, seen = [], Counter()
+    for r in sorted(out, key=lambda r: (r[0], -r[6], -r[2], r[1].encode())):
+        seen[r[0]] += 1
+        if seen[r[0]] <= kept:
+            ranked.append((r[0], seen[r[0]], *r[1:]))
+    return ranked

@@ -13,8 +13,11 @@ again for the next word before its neighbour. A prefix with over a 4,096th of al
 (there are at most 4,096 of those) is dealt by its grown patterns instead, so its pointers
 spread over all tasks, and the supports found there are added up.
 
-Words travel as 64-bit hashes of language and word. That no two frequent words share one
-is checked, and they are hashed anew with another salt if two do; so all counts are exact.
+Words travel as hashes of language and word, of as many bits as it takes for no two
+frequent words to share one; that none do is checked, and they are hashed anew with another
+salt if two do, so all counts are exact. A task sends what it counted as one packed row for
+each part of the keys; a part has about ``PART`` rows, so there are as many as the corpus
+needs.
 
 Nulls: a null text has no words, a null lang is ``und``. Repeated rows count each time. An
 empty table gives an empty result. doc_id and other columns are ignored. Long texts are
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,8 @@ WINDOW = 1 << 20
 FILTER = 26
 #: A prefix with more than one in so many words is dealt by its grown patterns.
 HOT = 4096
+#: About so many rows of keys make a part.
+PART = 1 << 22
 BREAK = b"."
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TO_LINE = bytes.maketrans(_BREAKS, b"\n" * len(_BREAKS))
@@ -100,10 +106,39 @@ def word_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterat
         yield given(lang)
 
 
-def word_keys(lang: str, words: list[bytes], salt: str) -> np.ndarray:
-    """What Spark's xxhash64(salt + lang, word) gives."""
-    seed = xxhash.xxh64_intdigest((salt + lang).encode(), 42)
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+@dataclass(frozen=True)
+class Keys:
+    """How words become keys: the upper ``bits`` of a salted hash, never 0 in a frequent word."""
+
+    salt: str
+    bits: int
+
+    @property
+    def mask(self) -> int:
+        return (1 << 64) - (1 << 64 - self.bits)
+
+    def column(self, lang: str, word: str) -> Column:
+        signed = self.mask - (1 << 64)
+        return F.xxhash64(F.concat(F.lit(self.salt), lang), word).bitwiseAND(F.lit(signed).cast("bigint"))
+
+    def of(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """What ``column`` gives; 0 for the first of ``words``, the break."""
+        seed = xxhash.xxh64_intdigest((self.salt + lang).encode(), 42)
+        found = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)) & np.uint64(self.mask)
+        found[0] = 0
+        return found
+
+
+def keys_of(words: DataFrame) -> Keys:
+    """Keys that tell all ``words`` (lang, word) apart."""
+    bits = min(64, max(FILTER, 2 * words.count().bit_length() + 2))
+    for salt in map(str, range(20)):
+        keys = Keys(salt, bits)
+        shared = words.select(keys.column("lang", "word").alias("key")).groupBy("key").count().where("count > 1 or key = 0")
+        if shared.isEmpty():
+            return keys
+        bits = min(64, bits + 1)
+    raise RuntimeError("two frequent words have one key, whatever the salt")
 
 
 def _place(*keys: Column) -> Column:
@@ -146,96 +181,139 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _merged(keys: np.ndarray, columns: list[np.ndarray], at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows of numbers as one, with how many there are; numbers become keys, 0 stays 0."""
+def _merged(keys: np.ndarray, columns: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows of numbers as one row of keys, with how many there are; number 0 has key 0."""
     code = columns[0][at]
     for k, c in enumerate(columns[1:]):  # one number for all columns so far, and the next column
         if k:
             _, code = np.unique(code, return_inverse=True)
         code = code.astype(np.int64) << 32 | c[at]
     _, first, n = np.unique(code, return_index=True, return_counts=True)
-    rows = at[first]
-    return [np.where(c[rows] > 0, keys[c[rows]], np.uint64(0)).view(np.int64) for c in columns], n
+    return np.stack([keys[c[at[first]]] for c in columns], axis=1), n
 
 
-def count_pairs(docs: DataFrame, words: Filter, salt: str) -> DataFrame:
-    """(k1, k2, n) of neighbours that may both be frequent."""
+def _in_order(rows: np.ndarray) -> np.ndarray:
+    return np.lexsort(rows.T[::-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+PACKED = "part int, rows int, packed binary"
+
+
+def pack(rows: np.ndarray, n: np.ndarray, spread: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """A packed row for each part: keys in order, byte by byte, then their numbers. ``spread`` deals rows to parts."""
+    part = ((spread >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((*rows.T[::-1], part))
+    rows, n, part = rows[order], n[order], part[order]
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for start, end in zip(starts, [*starts[1:], len(part)]):
+        planes = [np.ascontiguousarray(c[start:end]).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (*rows.T, n)]
+        packed = pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+        columns = [pa.array([int(part[start])], pa.int32()), pa.array([int(end - start)], pa.int32()), pa.array([packed], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "rows", "packed"])
+
+
+def unpack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, numbers) of each part, equal keys added up, in order."""
+    held: dict[int, list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for part, rows, packed in zip(*(b[c].to_pylist() for c in ("part", "rows", "packed"))):
+            held.setdefault(part, []).append((rows, packed))
+    for part in sorted(held):
+        blocks = []
+        for rows, packed in held.pop(part):
+            planes = np.frombuffer(pa.decompress(packed, decompressed_size=rows * 8 * (width + 1), codec="zstd", asbytes=True), dtype=np.uint8)
+            blocks.append(np.ascontiguousarray(planes.reshape(width + 1, 8, rows).transpose(2, 0, 1)).view(np.uint64)[:, :, 0])
+        every = np.concatenate(blocks)
+        every = every[_in_order(every[:, :width])]
+        starts = np.flatnonzero(np.append(True, (every[1:, :width] != every[:-1, :width]).any(axis=1)))
+        yield every[starts, :width], np.add.reduceat(every[:, width], starts).astype(np.int64)
+
+
+def _turned(key: np.ndarray) -> np.ndarray:
+    return (key << np.uint64(21)) | (key >> np.uint64(43))
+
+
+def dealt(sent: DataFrame, parts: int) -> DataFrame:
+    return sent.repartition(parts, "part")
+
+
+def count_pairs(docs: DataFrame, words: Filter, keys: Keys, parts: int, least: int = LEAST) -> DataFrame:
+    """(k1, k2, n) of all pairs found ``least`` times or more."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, known, numbers in word_blocks(batches):
-            keys = word_keys(lang, known, salt)
-            may = words.has(_place_of(keys))
-            may[0] = False
+            key = keys.of(lang, known)
+            may = words.has(_place_of(key)) & (key != 0)
             ok = may[numbers]
-            at = np.flatnonzero(ok[:-1] & ok[1:])
-            if len(at):
-                columns, n = _merged(keys, [numbers[:-1], numbers[1:]], at)
-                yield from slices(iter([pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], ["k1", "k2", "n"])]), 65536)
+            rows, n = _merged(key, [numbers[:-1], numbers[1:]], np.flatnonzero(ok[:-1] & ok[1:]))
+            yield from pack(rows, n, rows[:, 0] ^ _turned(rows[:, 1]), parts)
 
-    return docs.mapInArrow(run, "k1 bigint, k2 bigint, n bigint").groupBy("k1", "k2").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n in unpack(batches, 2):
+            rows, n = rows[n >= least].view(np.int64), n[n >= least]
+            yield from slices(iter([pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(n)], ["k1", "k2", "n"])]), 65536)
 
+    return dealt(docs.mapInArrow(send, PACKED), parts).mapInArrow(add, "k1 bigint, k2 bigint, n bigint")
 
-def pointers(docs: DataFrame, words: Filter, pairs: Filter, hot: list[tuple[int, int]], salt: str) -> DataFrame:
-    """(k1 to k4, hot, n): occurrences of pairs that may be frequent, with the next word and the one after it (0: it can't matter)."""
-    prefixes, firsts = set(hot), np.array(sorted({a for a, _ in hot}), dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pointers(docs: DataFrame, words: Filter, pairs: Filter, hot: set[tuple[int, int]], keys: Keys, parts: int) -> DataFrame:
+    """Occurrences of pairs that may be frequent, with the next word and the one after it (0: it can't matter), packed by prefix."""
+    firsts = np.array(sorted({a for a, _ in hot}), dtype=np.uint64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, known, numbers in word_blocks(batches):
-            keys = word_keys(lang, known, salt)
-            may = words.has(_place_of(keys))
-            may[0] = False
+            key = keys.of(lang, known)
+            may = words.has(_place_of(key)) & (key != 0)
             ok = may[numbers]
             two = np.zeros(len(numbers), dtype=bool)
             at = np.flatnonzero(ok[:-1] & ok[1:])
-            two[at] = pairs.has(_place_of(keys[numbers[at]], keys[numbers[at + 1]]))
-            at = np.flatnonzero(two[:-1] & two[1:])
-            if not len(at):
-                continue
-            third = np.append(numbers[2:], [0, 0])
-            fourth = np.where(np.append(two[2:], [False, False]), np.append(numbers[3:], [0, 0, 0]), 0)
-            columns, n = _merged(keys, [numbers, np.append(numbers[1:], 0), third, fourth], at)
-            is_hot = np.zeros(len(n), dtype=bool)
-            some = np.flatnonzero(np.isin(columns[0], firsts))
-            is_hot[some] = [x in prefixes for x in zip(columns[0][some].tolist(), columns[1][some].tolist())]
-            batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(is_hot), pa.array(n)], [*KEYS, "hot", "n"])
-            yield from slices(iter([batch]), 65536)
-
-    return docs.mapInArrow(run, ", ".join(f"{k} bigint" for k in KEYS) + ", hot boolean, n bigint")
-
-
-def grow(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
-    """(k1 to k4, n): patterns of three and four words grown from sorted pointers.
-
-    A run of rows alike up to a depth is one pattern's projection. A run that the end of
-    a batch cuts is carried into the next one as a number, so nothing is held whole.
-    Patterns under ``least`` go, but for three words of a hot prefix, found in parts.
-    """
-    carried: dict[int, tuple[np.ndarray, bool, int]] = {}
+            two[at] = pairs.has(_place_of(key[numbers[at]], key[numbers[at + 1]]))
+            next_ = np.append(numbers, [0, 0, 0])
+            fourth = np.where(np.append(two[2:], [False, False]), next_[3:], 0)
+            rows, n = _merged(key, [numbers, next_[1:-2], next_[2:-1], fourth], np.flatnonzero(two[:-1] & two[1:]))
+            spread = rows[:, 0] ^ _turned(rows[:, 1])
+            some = np.flatnonzero(np.isin(rows[:, 0], firsts))
+            some = some[[x in hot for x in zip(rows[some, 0].tolist(), rows[some, 1].tolist())]]
+            spread[some] ^= _turned(_turned(rows[some, 2])) ^ _turned(_turned(_turned(rows[some, 3])))
+            yield from pack(rows, n, spread, parts)
 
-    def finished(depth: int, rows: np.ndarray, hot: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        stay = (n >= least) | hot & (depth == 3)
-        stay &= rows[:, depth - 1] != 0
-        if stay.any():
-            columns = [pa.array(rows[stay, k]) for k in range(depth)] + [pa.array(np.zeros(stay.sum(), dtype=np.int64))] * (LONGEST - depth)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n[stay])], [*KEYS, "n"])
+    return docs.mapInArrow(send, PACKED)
 
-    for b in batches:
-        if not b.num_rows:
+
+def grow(rows: np.ndarray, n: np.ndarray, depth: int, start: int, end: int, least: int, whole: bool) -> Iterator[tuple[int, int, int]]:
+    """(row, words, support) of the patterns grown from a projection, the rows from ``start`` to ``end``, alike in ``depth`` words.
+
+    A pattern of three words of a prefix that isn't here as a ``whole`` is told however little support it has here.
+    """
+    runs = start + np.flatnonzero(np.append(True, rows[start + 1 : end, depth] != rows[start : end - 1, depth]))
+    supports = np.add.reduceat(n[start:end], runs - start)
+    for run, stop, support in zip(runs.tolist(), [*runs[1:].tolist(), end], supports.tolist()):
+        if not rows[run, depth]:
             continue
-        rows = np.stack([b[k].to_numpy() for k in KEYS], axis=1)
-        hot, n = b["hot"].to_numpy(zero_copy_only=False), b["n"].to_numpy()
-        for depth in (3, 4):
-            if depth in carried:
-                row, was_hot, so_far = carried.pop(depth)
-                keyed, flags, numbers = np.vstack([row, rows]), np.append(was_hot, hot), np.append(so_far, n)
-            else:
-                keyed, flags, numbers = rows, hot, n
-            new = np.flatnonzero(np.append(True, (keyed[1:, :depth] != keyed[:-1, :depth]).any(axis=1)))
-            sums = np.add.reduceat(numbers, new)
-            carried[depth] = keyed[new[-1]], bool(flags[new[-1]]), int(sums[-1])
-            yield from finished(depth, keyed[new[:-1]], flags[new[:-1]], sums[:-1])
-    for depth, (row, was_hot, n) in carried.items():
-        yield from finished(depth, row[None, :], np.array([was_hot]), np.array([n]))
+        if support >= least or not whole and depth == 2:
+            yield run, depth + 1, support
+        if support >= least and depth + 1 < LONGEST:
+            yield from grow(rows, n, depth + 1, run, stop, least, whole)
+
+
+def grown_patterns(sent: DataFrame, hot: set[tuple[int, int]], parts: int, least: int = LEAST) -> DataFrame:
+    """(k1 to k4, n) of all patterns of three and four words found ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n in unpack(batches, LONGEST):
+            starts = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+            support = np.add.reduceat(n, starts)
+            found: list[tuple[int, int, int]] = []
+            for start, end, s in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], support.tolist()):
+                whole = (int(rows[start, 0]), int(rows[start, 1])) not in hot
+                if s >= least or not whole:
+                    found += grow(rows, n, 2, start, end, least, whole)
+            at, words, supports = (np.array(c, dtype=np.int64) for c in zip(*found)) if found else [np.zeros(0, dtype=np.int64)] * 3
+            columns = [pa.array(np.where(words > k, rows[at, k], np.uint64(0)).view(np.int64)) for k in range(LONGEST)]
+            yield from slices(iter([pa.RecordBatch.from_arrays([*columns, pa.array(supports)], [*KEYS, "n"])]), 65536)
+
+    grown = dealt(sent, parts).mapInArrow(run, ", ".join(f"{k} bigint" for k in KEYS) + ", n bigint")
+    return grown.groupBy(*KEYS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -244,20 +322,13 @@ def counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, D
     counted = settle(count_words(texts).where(F.col("word").isNull() | (F.col("n") >= least)))
     totals = counted.where("word is null").select("lang", F.col("n").alias("total"))
     every = totals.agg(F.sum("total")).first()[0] or 0
-    for salt in ("", *map(str, range(1, 10))):
-        words = counted.where("word is not null").select(F.xxhash64(F.concat(F.lit(salt), "lang"), "word").alias("key"), "lang", F.col("word").cast("string").alias("word"), "n")
-        if words.groupBy("key").count().where("count > 1 or key = 0").isEmpty():
-            break
-    else:
-        raise RuntimeError("two frequent words have one key, whatever the salt")
+    keys = keys_of(counted.where("word is not null"))
+    words = counted.where("word is not null").select(keys.column("lang", "word").alias("key"), "lang", F.col("word").cast("string").alias("word"), "n")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), every // PART + 1)
     may_word = Filter(words, "key")
-    pairs = settle(count_pairs(texts, may_word, salt).where(F.col("n") >= least))
-    hot = [(r["k1"], r["k2"]) for r in pairs.where(F.col("n") > every // HOT).select("k1", "k2").collect()]
-    sent = pointers(texts, may_word, Filter(pairs, "k1", "k2"), hot, salt)
-    part = F.when(F.col("hot"), F.xxhash64(*KEYS)).otherwise(F.xxhash64("k1", "k2")).alias("part")
-    dealt = sent.select(*KEYS, "hot", "n", part).repartition("part").sortWithinPartitions(*KEYS).drop("part")
-    grown = dealt.mapInArrow(lambda batches: grow(batches, least), ", ".join(f"{k} bigint" for k in KEYS) + ", n bigint")
-    grown = grown.groupBy(*KEYS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    pairs = settle(count_pairs(texts, may_word, keys, parts, least))
+    hot = {(r["k1"] % (1 << 64), r["k2"] % (1 << 64)) for r in pairs.where(F.col("n") > every // HOT).select("k1", "k2").collect()}
+    grown = grown_patterns(pointers(texts, may_word, Filter(pairs, "k1", "k2"), hot, keys, parts), hot, parts, least)
     none = F.lit(0).cast("bigint")
     ones = words.select(F.col("key").alias("k1"), none.alias("k2"), none.alias("k3"), none.alias("k4"), "n")
     twos = pairs.select("k1", "k2", none.alias("k3"), none.alias("k4"), "n")
