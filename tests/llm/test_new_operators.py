@@ -165,3 +165,17 @@ def test_packed_rows_come_back_added_up(rows, parts):
     sent = list(phrases.pack(keys, n, keys[:, 0], parts))
     got = [(tuple(k), x) for ks, xs in phrases.unpack(iter(sent), 4) for k, x in zip(ks.tolist(), xs.tolist())]
     assert dict(got) == dict(want) and len(got) == len(want)
+
+
+def test_op3_takes_added_tokens_first(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waymark.llm import packing
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n b", "<|endoftext", "<|<|endoftext|>|>", "<|ENDOFTEXT|>", "x" * 50 + "<|endoftext|>" + "y z " * 900, "<|fim|> <|endoftext|>é"]
+    found = packing.pack(fixtures.frame(spark, [(i, x, "en", "a", 1) for i, x in enumerate(texts)]), ids=True).collect()
+    for i, x in enumerate(texts):
+        ids = b"".join(bytes(r["ids"]) for r in sorted((r for r in found if r["doc_id"] == i), key=lambda r: r["piece"]))
+        assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(x, add_special_tokens=False).ids, 0]

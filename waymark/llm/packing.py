@@ -18,9 +18,11 @@ first piece is shorter than it.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,23 @@ RANKED = 512
 Plan = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def encoder(vocabulary: str = "byte_bpe_50k"):
-    """Text to token ids: byte-level BPE by the ranks of a public vocabulary, nothing special."""
+def encoder(vocabulary: str = "byte_bpe_50k", added: bool = False):
+    """Text to token ids: byte-level BPE by the ranks of a public vocabulary.
+
+    With ``added`` the strings of the vocabulary's added tokens are taken out of texts first
+    and are one token each, as ``tokenizers`` has them; without, they are ordinary text.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    built = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return built.encode_ordinary
+    special = {}
+    if added:
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    built = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return partial(built.encode, allowed_special="all") if special else built.encode_ordinary
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", ids: bool = False) -> DataFrame:
@@ -53,7 +63,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
         for b in slices(batches):
-            encode = encode or encoder(vocabulary)
+            encode = encode or encoder(vocabulary, added=True)
             out: list[tuple] = []
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 tokens = np.array([*encode(text), 0], dtype="<u4")
