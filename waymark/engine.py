@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waymark.functions import names
 from waymark.functions.shared import settle
 from waymark.operators import catalog, lineage, published, references, usages
-from waymark.operators.components import components
+from waymark.operators.components import reachable
 from waymark.plans.tables import Tables, read_tables
 from waymark.sources.files import Tree, from_rows, read_archive, read_tree
 
@@ -333,7 +333,7 @@ class Repo:
         """(kind, table, detail): what to know about tables and statements on the trail."""
         t = self.tables
         trail = nodes.select("short").distinct()
-        stars = t.flows.where("column = '*'").select("t_short", "target", "s_short").distinct().join(trail, F.col("s_short") == F.col("short"))
+        stars = t.flows.where("column = '*' and out = '*'").select("t_short", "target", "s_short").distinct().join(trail, F.col("s_short") == F.col("short"))
         listed = self.catalog.select(F.col("key").alias("t_short")).distinct().withColumn("listed", F.lit("its columns are known"))
         starred = stars.join(listed, "t_short", "left").select(F.lit("takes every column").alias("kind"), F.col("target").alias("table"), F.coalesce("listed", F.lit("its columns are listed nowhere")).alias("detail"))
         forks = catalog.rebuilt(t).join(trail, F.col("key") == F.col("short")).select(F.lit("built in several files").alias("kind"), F.col("key").alias("table"), F.array_join("files", ", ").alias("detail"))
@@ -386,23 +386,20 @@ def _coverage(n: dict[str, int]) -> dict:
 
 
 def _unfenced(t: Tables) -> Tables:
-    """Temporary tables of a procedure are seen by files that call it, and the other way round, however far."""
+    """Temporary tables are seen by files that their maker calls, however far, and by those that call it; not by other callers of the same procedure."""
     calls = t.calls
     if not calls.limit(1).count():
         return t
     defined = calls.where("startswith(called, '=')").select(names.short(F.substring("called", 2, 1000)).alias("name"), F.col("file").alias("defined"))
     used = calls.where("not startswith(called, '=')").select(names.short(F.col("called")).alias("name"), F.col("file").alias("caller"))
-    pairs = used.join(defined, "name").where("caller <> defined").select("caller", "defined").distinct()
-    # files get the hash of their name as a node; a group of files that call each other shares a root
-    node = lambda c: F.xxhash64(c)
-    group = settle(components(pairs.select(node("caller").alias("a"), node("defined").alias("b"))))
-    group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
-    temps = t.statements.where("temp and startswith(target, '#')").select(F.col("file").alias("maker"), "target", "t_short").distinct()
-    made = temps.join(group, node("maker") == F.col("node")).select("root", "maker", F.col("t_short").alias("s_short"), F.col("target").alias("other"), F.upper("target").alias("other_ds"))
+    pairs = settle(used.join(defined, "name").where("caller <> defined").select(F.col("caller").alias("a"), F.col("defined").alias("b")).distinct())
+    temps = settle(t.statements.where("temp and startswith(target, '#')").select(F.col("file").alias("start"), "target", "t_short").distinct())
+    makers = temps.select("start").distinct()
+    sees = reachable(pairs, makers).unionByName(reachable(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), makers)).distinct()
+    made = settle(temps.join(sees, "start").select(F.col("node").alias("file"), F.col("t_short").alias("s_short"), F.col("target").alias("other"), F.upper("target").alias("other_ds")))
 
     def also(df: DataFrame) -> DataFrame:
-        own = df.where("s_ds = ''").join(group, node("file") == group["node"]).drop("node")
-        more = own.join(made, ["root", "s_short"]).where("file <> maker").withColumn("table", F.col("other")).withColumn("s_ds", F.col("other_ds"))
+        more = df.where("s_ds = ''").join(made, ["file", "s_short"]).withColumn("table", F.col("other")).withColumn("s_ds", F.col("other_ds"))
         return settle(df.unionByName(more.select(df.columns)))
 
     return Tables(**{**t.__dict__, "uses": also(t.uses), "flows": also(t.flows)})

@@ -16,7 +16,8 @@ def build_catalog(t: Tables) -> tuple[DataFrame, DataFrame]:
     Stated column lists win over those read off a query; of equals the first file does.
     Tables built by a star get the columns of the tables it covers, but only once all of
     those are known; each round makes at least one more table known, and the loop ends
-    when none does.
+    when none does. Chains of tables that each take all columns of one other are made one
+    step first, however long they are.
     """
     stated = t.columns.where("name <> ''").withColumn("key", names.short(F.col("target")))
     stated = stated.withColumn("derived", F.col("type") == "").withColumn("ord", F.monotonically_increasing_id())
@@ -24,8 +25,10 @@ def build_catalog(t: Tables) -> tuple[DataFrame, DataFrame]:
     chosen = stated.withColumn("winner", F.first(F.struct("stmt", "derived")).over(first)).where("winner.stmt = stmt and winner.derived = derived")
     listed = chosen.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("ord")) - 1)
     known = settle(listed.select(F.col("target").alias("table"), "key", "pos", F.col("name").alias("column"), "type", "file", "derived"))
-    stars = settle(t.flows.where("column = '*' and temp = false").select("stmt", "file", "target", F.col("t_short").alias("key"), F.col("s_short").alias("source"), "without"))
-    named = settle(t.flows.where("column <> '*' and how <> 'carried'").select("stmt", F.col("out").alias("column")).distinct())
+    stars = settle(t.flows.where("column = '*' and out = '*' and temp = false").select("stmt", "file", "target", F.col("t_short").alias("key"), F.col("s_short").alias("source"), "without"))
+    named = settle(t.flows.where("(column <> '*' or out <> '*') and how <> 'carried' and not contains(out, '.')").select("stmt", F.col("out").alias("column")).distinct())
+    every_star = stars
+    stars, named = _contracted(stars, named, known)
     rounds = 0
     while True:
         rounds += 1
@@ -35,7 +38,7 @@ def build_catalog(t: Tables) -> tuple[DataFrame, DataFrame]:
         ready = open_.join(missing, "stmt", "left_anti")
         source = known.select(F.col("key").alias("source"), "pos", "column", "type")
         passed = ready.join(source, "source").where(~F.array_contains(F.split("without", ","), F.upper("column")))
-        extra = ready.select("stmt", "file", "target", "key").distinct().join(named, "stmt").withColumn("pos", F.lit(1_000_000)).withColumn("type", F.lit(""))
+        extra = ready.select("stmt", "file", "target", "key").distinct().join(named, "stmt").withColumn("type", F.lit(""))
         rows = passed.select("stmt", "file", "target", "key", "pos", "column", "type").unionByName(extra)
         one = Window.partitionBy("key").orderBy("stmt")
         rows = rows.withColumn("winner", F.first("stmt").over(one)).where("winner = stmt")
@@ -48,10 +51,45 @@ def build_catalog(t: Tables) -> tuple[DataFrame, DataFrame]:
         if rounds % 8 == 0:  # plans stay short
             known = settle(known)
     have = known.select("key").distinct()
-    gaps = stars.join(have, "key", "left_anti").select(F.col("target").alias("table"), "file").distinct()
+    gaps = every_star.join(have, "key", "left_anti").select(F.col("target").alias("table"), "file").distinct()
     return known, gaps
 
 
+def _contracted(stars: DataFrame, named: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stars, named) with each chain of single stars as one star over its first table; named (stmt, column, pos) says what is listed beside it.
+
+    Pointer doubling: each round a table's step and the step of the table it leads to
+    become one, so a chain takes as many rounds as its length has binary digits. What the
+    steps leave out unites; columns that a table lists itself are passed on unless a later
+    step leaves them out, those of earlier tables before those of later ones.
+    """
+    last = 1_000_000
+    one = stars.groupBy("key").agg(F.count("*").alias("n")).where("n = 1").select("key").join(known.select("key"), "key", "left_anti")
+    links = settle(stars.where("key <> source").join(one, "key").select("stmt", "file", "target", "key", "source", F.filter(F.split("without", ","), lambda c: c != "").alias("gone"), F.lit(1).alias("depth")))
+    n = links.count()
+    listed = named.withColumn("pos", F.lit(last))
+    if not n:
+        return stars, listed
+    chained = links.select("stmt")
+    extra = settle(links.select("stmt", "key").join(named, "stmt").select("key", "column", F.lit(0).alias("level")))
+    for _ in range(n.bit_length()):
+        onward = links.select(F.col("key").alias("source"), F.col("source").alias("first"), F.col("gone").alias("more"), F.col("depth").alias("further"))
+        joined = settle(links.join(onward, "source", "left"))
+        if joined.where("first is not null").isEmpty():
+            break
+        passed = joined.where("first is not null").select("key", "source", "gone", "depth").join(extra.select(F.col("key").alias("source"), "column", "level"), "source")
+        passed = passed.where(~F.array_contains("gone", F.upper("column"))).select("key", "column", (F.col("level") + F.col("depth")).alias("level"))
+        extra = settle(extra.unionByName(passed).groupBy("key", "column").agg(F.min("level").alias("level")))
+        links = joined.select(
+            "stmt", "file", "target", "key", F.coalesce("first", "source").alias("source"),
+            F.when(F.col("first").isNull(), F.col("gone")).otherwise(F.array_union("gone", F.coalesce("more", F.array().cast("array<string>")))).alias("gone"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
+        )
+    rest = stars.join(chained, "stmt", "left_anti")
+    short = links.select(*(F.array_join("gone", ",").alias("without") if c == "without" else F.col(c) for c in stars.columns))
+    listed = listed.join(chained, "stmt", "left_anti").unionByName(extra.join(links.select("key", "stmt"), "key").select("stmt", "column", (F.lit(last) - F.col("level")).alias("pos")))
+    return settle(rest.unionByName(short)), settle(listed)
+
+
 def carriers(catalog: DataFrame) -> DataFrame:
     """(column, tables): how many tables have a column of each name."""
     return catalog.groupBy(F.upper("column").alias("column")).agg(F.count_distinct("key").alias("tables"))

@@ -1,4 +1,4 @@
-"""Connected components of a graph."""
+"""Connected components of a graph, and what can be reached in a directed one."""
 
 from __future__ import annotations
 
@@ -34,3 +34,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = settle(distinct(small.unionByName(least.select("u", F.col("m").alias("v")))))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node): what each of ``starts`` (start) reaches along directed ``edges`` (a, b), itself left out.
+
+    A round takes one step from all that the last one reached first, so it ends in cycles too.
+    """
+    steps = settle(edges.where("a <> b").select("a", "b").distinct())
+    seen = front = settle(starts.select("start", F.col("start").alias("node")).distinct())
+    rounds = 0
+    while not front.isEmpty():
+        rounds += 1
+        onward = front.join(steps, front["node"] == steps["a"]).select("start", F.col("b").alias("node")).distinct()
+        front = settle(onward.join(seen, ["start", "node"], "left_anti"))
+        seen = seen.unionByName(front)
+        if rounds % 8 == 0:
+            seen = settle(seen)
+    return seen.where("start <> node")

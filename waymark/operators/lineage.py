@@ -1,9 +1,11 @@
 """Following columns and tables through statements.
 
 Reachability is a set: a column of a table is visited once for each thing asked about, at
-the least number of steps, so diamonds don't multiply. Paths are listed afterwards from
-the steps, up to a bound that is reported when it is met. Every loop ends when a round
-finds nothing new; a step limit only marks what was cut short.
+the least number of steps, so diamonds don't multiply. It is visited again only when a longer
+way is surer: one with fewer steps through stars whose columns are listed nowhere, or all of
+whose tables the SQL states. Paths are listed afterwards from the steps, up to a bound that
+is reported when it is met. Every loop ends when a round finds nothing new; a step limit only
+marks what was cut short.
 """
 
 from __future__ import annotations
@@ -82,8 +84,19 @@ def column_start(asked: DataFrame) -> DataFrame:
     )
 
 
+def _field_of(inner: Column, outer: Column) -> Column:
+    """Whether one dotted name is a field of another."""
+    return F.startswith(inner, F.concat(outer, F.lit(".")))
+
+
+def _takes(column: Column, key: Column) -> Column:
+    """Whether what takes a column takes this one: itself, a field of it, or the struct it is in."""
+    name = F.upper(column)
+    return (name == key) | _field_of(key, name) | _field_of(name, key)
+
+
 def _carries(flow_column: Column, without: Column, key: Column) -> Column:
-    return (F.upper(flow_column) == key) | (flow_column == "*") & ~F.array_contains(F.split(without, ","), key)
+    return _takes(flow_column, key) | (flow_column == "*") & ~F.array_contains(F.split(without, ","), key)
 
 
 def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = None, max_hops: int = 0, most_rounds: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -91,7 +104,9 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
 
     A step through a star whose target's columns are not ``known`` (key, column) is
     inferred, and so is all that follows; a step on the bare fact that a statement uses
-    the column is carried.
+    the column is carried. A place has labels (steps inferred, tables stated), those that
+    no other label of it is as good as; a new one opens it again. Its node tells the fewest
+    steps, and the best label. A field of a struct goes on under the struct's new name.
     """
     stars = has_wildcards(flows, start)
     nodes = front = settle(start)
@@ -103,7 +118,8 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
             break
         there = reading(front, flows.select("stmt", "file", "table", "s_short", "s_ds", "column", "out", "how", "without", "certain", "star", "target", "t_short", "t_ds", *_conditions(flows)), stars)
         there = there.where(_carries(F.col("column"), F.col("without"), F.col("key")))
-        new_column = F.when(F.col("column") == "*", F.col("at_column")).otherwise(F.col("out"))
+        deeper = (F.col("how") == "direct") & _field_of(F.col("key"), F.upper("column"))
+        new_column = F.when((F.col("column") == "*") & (F.col("out") == "*"), F.col("at_column")).when(deeper, F.concat("out", F.expr("substring(at_column, length(column) + 1)"))).otherwise(F.col("out"))
         onward = there.withColumn("to_column", new_column).withColumn("to_key", F.upper("to_column"))
         if listed is not None:
             onward = onward.join(listed, (F.col("t_short") == F.col("k_key")) & (F.col("to_key") == F.col("k_column")), "left")
@@ -118,9 +134,10 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
             F.lit(hop).alias("hop"), (F.col("inferred") + guess.cast("int")).alias("inferred"), (F.col("sure") & stated).alias("sure"),
         )
         if max_hops and hop > max_hops:
-            cut = settle(onward.select("root", F.col("from_table").alias("table"), F.col("from_column").alias("column")).distinct())
+            beyond = onward.join(nodes.select(*who), who, "left_anti")
+            cut = settle(beyond.select("root", F.col("from_table").alias("table"), F.col("from_column").alias("column")).distinct())
             break
-        onward = settle(_fresh(onward.distinct(), nodes.select(*who), who, "inferred", F.desc("sure"), "at_table", "at_column"))
+        onward = settle(_better(onward.distinct(), nodes.select(*who, "inferred", "sure"), who))
         steps.append(onward.drop("fresh"))
         front = onward.where("fresh").select(nodes.columns)
         nodes = merged(nodes, front, hop)
@@ -129,7 +146,21 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
     every = settle(reduce(DataFrame.unionByName, [x.select(steps[0].columns) for x in steps])) if steps else _no_steps(nodes)
     if cut is None:
         cut = nodes.where("false").select("root", F.col("at_table").alias("table"), F.col("at_column").alias("column"))
-    return nodes, every, cut
+    label = F.min(F.struct("inferred", (~F.col("sure")).alias("unsure"))).alias("label")
+    name = F.min_by(F.struct("at_table", "at_column"), F.struct("hop", "inferred", ~F.col("sure"), "at_table", "at_column")).alias("name")
+    best = nodes.groupBy(*who).agg(F.min("hop").alias("hop"), label, name)
+    best = best.select("root", "short", "ds", "name.at_table", "key", "name.at_column", "hop", "label.inferred", (~F.col("label.unsure")).alias("sure"))
+    return settle(best.select(nodes.columns)), every, cut
+
+
+def _better(rows: DataFrame, labels: DataFrame, who: list[str]) -> DataFrame:
+    """``rows`` with fresh: those whose label (inferred, sure) is better in something than each earlier one of their place."""
+    both = rows.withColumn("old", F.lit(False)).unionByName(labels.withColumn("old", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy(*who).orderBy(F.desc("old"), "inferred", F.desc("sure"), "at_table", "at_column")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    any_, sure = F.min("inferred").over(before), F.min(F.when(F.col("sure"), F.col("inferred"))).over(before)
+    least = F.coalesce(F.when(F.col("sure"), sure).otherwise(any_), F.col("inferred") + 1)
+    return both.withColumn("fresh", F.col("inferred") < least).where("not old").drop("old")
 
 
 def _fresh(rows: DataFrame, seen: DataFrame, who: list[str], *order: Column | str) -> DataFrame:
@@ -155,7 +186,7 @@ def findings(nodes: DataFrame, uses: DataFrame, statements: DataFrame, change: s
     """One row for each statement and column it uses on the trail, headed by its most telling use."""
     wild = has_wildcards(uses, nodes)
     hit = reading(nodes, uses.select("stmt", "table", "s_short", "s_ds", "column", "kind", "alias", "detail", "certain", "via_star", "line", *_conditions(uses)), wild)
-    named = F.upper("column") == F.col("key")
+    named = _takes(F.col("column"), F.col("key"))
     hit = hit.where(named | (F.col("column") == "*") & ~F.array_contains(F.split("detail", ","), F.col("key")))
     hit = hit.withColumn("certain", F.col("certain") & F.col("by").isin("name", "shard", "both")).withColumn("detail", F.when(F.col("column") == "*", "").otherwise(F.col("detail")))
     starry = Window.partitionBy("stmt", "short", "ds", "key", "root")
@@ -179,17 +210,31 @@ def findings(nodes: DataFrame, uses: DataFrame, statements: DataFrame, change: s
 
 
 def upstream_of(steps: DataFrame, ends: DataFrame) -> DataFrame:
-    """(root, end, short, key): for each table in ``ends`` (short) the columns of the trail that lead to it."""
+    """(root, end, short, key): for each table in ``ends`` (short) the columns of the trail that lead to it.
+
+    Ends are bits, 64 to a word, and go back along the steps as words that are or-ed
+    together: what is held is a word for each column and 64 tables it leads to, not a row
+    for each pair. They become rows again in what is returned.
+    """
     edges = settle(steps.select("root", "from_short", "from_key", "short", "key").distinct())
-    seen = settle(edges.join(ends, "short").select("root", F.col("short").alias("end"), "short", "key").distinct())
-    front = seen
+    place = ["root", "short", "key"]
+    numbered = settle(settle(edges.select("short").join(ends, "short", "left_semi").distinct()).withColumn("id", F.monotonically_increasing_id()))
+    word, bit = F.shiftright("id", 6).alias("word"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bits")
+    seen = front = settle(edges.join(numbered, "short").select(*place, word, bit).distinct())
     rounds = 0
     while not front.isEmpty():
         rounds += 1
-        back = front.join(edges, ["root", "short", "key"]).select("root", "end", F.col("from_short").alias("short"), F.col("from_key").alias("key")).distinct()
-        front = settle(back.join(seen, ["root", "end", "short", "key"], "left_anti"))
-        seen = merged(seen, front, rounds)
-    return seen
+        back = front.join(edges, place).select("root", F.col("from_short").alias("short"), F.col("from_key").alias("key"), "word", "bits")
+        told = back.withColumn("new", F.lit(True)).unionByName(seen.withColumn("new", F.lit(False)))
+        there = F.coalesce(F.bit_or(F.when(~F.col("new"), F.col("bits"))), F.lit(0).cast("bigint"))
+        come = F.coalesce(F.bit_or(F.when(F.col("new"), F.col("bits"))), F.lit(0).cast("bigint"))
+        both = settle(told.groupBy(*place, "word").agg(there.alias("there"), come.alias("come")))
+        seen = both.select(*place, "word", F.col("there").bitwiseOR(F.col("come")).alias("bits"))
+        front = both.select(*place, "word", F.col("come").bitwiseAND(F.bitwise_not("there")).alias("bits")).where("bits <> 0")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("getbit", F.col("bits"), k) == 1)
+    each = seen.select(*place, "word", F.explode(bits).alias("bit"))
+    named = numbered.select(F.col("short").alias("end"), word, F.expr("cast(id & 63 as int)").alias("bit"))
+    return each.join(named, ["word", "bit"]).select("root", "end", "short", "key")
 
 
 def paths(start: DataFrame, steps: DataFrame, most: int = MOST_PATHS) -> tuple[DataFrame, bool]:

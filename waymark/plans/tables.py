@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from waymark.functions import names
 from waymark.functions.shared import settle, slices
 from waymark.functions.sqltext import export_uri, fill_placeholders, renderings, rescue, split_statements, templating, unwrap_blocks
-from waymark.plans.reader import Statement, Unread, canonical, read_statement
+from waymark.plans.reader import VARIABLES, Statement, Unread, canonical, read_statement
 from waymark.sources.extract import PLAIN, blocks, more_than_taken, sql_files, written_tables
 from waymark.sources.files import Tree
 
@@ -30,13 +30,15 @@ _STATEMENT = pa.struct([
     ("no", pa.int32()), ("kind", pa.string()), ("line", pa.int32()), ("line_end", pa.int32()), ("sql", pa.string()), ("target", pa.string()),
     ("temp", pa.bool_()), ("copied", pa.string()), ("named_by", pa.string()), ("as_text", pa.bool_()), ("export_uri", pa.string()),
     ("star_note", pa.string()), ("opaque", pa.bool_()), ("defines", pa.string()), ("sources", pa.list_(pa.string())), ("calls", pa.list_(pa.string())),
-    ("literals", pa.list_(pa.string())), ("joins", pa.list_(pa.string())), ("metadata", pa.bool_()),
+    ("literals", pa.list_(pa.string())), ("variables", pa.list_(pa.string())), ("joins", pa.list_(pa.string())), ("metadata", pa.bool_()),
     ("uses", pa.list_(_USE)), ("flows", pa.list_(_FLOW)), ("columns", pa.list_(_PAIR)), ("mentions", pa.list_(_MENTION)), ("shards", pa.list_(_SHARD)),
 ])
 _PROBLEM = pa.struct([("line", pa.int32()), ("message", pa.string()), ("snippet", pa.string()), ("hint", pa.string())])
 _REF = pa.struct([("ref", pa.string()), ("line", pa.int32())])
 _OUT = pa.schema([("file", pa.string()), ("statements", pa.list_(_STATEMENT)), ("problems", pa.list_(_PROBLEM)), ("refs", pa.list_(_REF)), ("writes", pa.list_(pa.string()))])
 LONGEST_OPAQUE = 8000
+#: How a problem begins that is about names no rule of the reader took; the rest of the statement was read.
+UNREAD = "a clause isn't understood:"
 #: Bytes of code that one task reads.
 PARTITION = 4 << 20
 
@@ -57,7 +59,7 @@ def _as_row(s: Statement, no: int, line: int, sql: str) -> dict:
     return {
         "no": no, "kind": s.kind, "line": line, "line_end": line + sql.count("\n"), "sql": sql, "target": s.target, "temp": s.temp,
         "copied": s.copied, "named_by": "", "as_text": s.as_text, "export_uri": s.export, "star_note": s.star_note, "opaque": s.opaque, "defines": s.defines,
-        "sources": list(s.sources), "calls": s.calls, "literals": s.literals, "joins": s.joins, "metadata": s.metadata,
+        "sources": list(s.sources), "calls": s.calls, "literals": s.literals, "variables": s.variables, "joins": s.joins, "metadata": s.metadata,
         "uses": [dict(zip(("table", "column", "kind", "alias", "detail", "certain", "via_star", "line"), u)) for u in s.uses if u[0]],
         "flows": [dict(zip(("table", "column", "out", "how", "without", "certain", "star"), f)) for f in s.flows if f[0]],
         "columns": [{"name": n, "type": t} for n, t in s.columns], "mentions": [{"table": t, "column": c} for t, c in s.mentions],
@@ -79,7 +81,11 @@ def _statements(text: str, offset: int, hint: str) -> Iterator[tuple[int, dict,
             yield at, _as_row(Statement(kind="UNREAD", opaque=True), 0, at, sql.strip()), {"line": e.line + 1, "message": e.message, "snippet": sql.strip()[:200], "hint": hint}
             continue
         s.export = export_uri(sql)
-        yield at, _as_row(s, 0, at, sql.strip()), None
+        problem = None
+        if s.unread:
+            names_ = ", ".join(dict.fromkeys(n for n, _ in s.unread))
+            problem = {"line": s.unread[0][1] + 1, "message": f"{UNREAD} {names_}", "snippet": sql.strip()[:200], "hint": hint}
+        yield at, _as_row(s, 0, at, sql.strip()), problem
 
 
 def _read_block(text: str, offset: int, out: list[dict], problems: list[dict]) -> None:
@@ -123,7 +129,7 @@ def read_file(file: str, ext: str, text: str) -> dict:
             r["target"], r["named_by"] = stem, "file"
     # temporary tables and script variables are this file's own
     own = {r["target"].rsplit(".", 1)[-1].upper(): _fence(file, r["target"]) for r in rows if r["temp"] and r["target"]}
-    variables = {r["target"].upper(): own[r["target"].rsplit(".", 1)[-1].upper()] for r in rows if r["kind"] in ("DECLARE", "SET") and r["target"]}
+    variables = {v.upper(): own[VARIABLES.upper()] for r in rows for v in r["variables"]}
 
     def fenced(name: str) -> str:
         return own.get(name.upper(), name) if "." not in name or name.upper().startswith("_SESSION.") else name
