@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from waymark.plans import generated, queries
+from waymark.plans import clauses, generated, queries
 
-ALL = queries.ALL | generated.ALL
+ALL = queries.ALL | generated.ALL | clauses.ALL
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")

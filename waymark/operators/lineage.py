@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from waymark.functions import names
 from waymark.functions.shared import settle
 from waymark.operators import usages
+from waymark.plans.reader import HELD
 
 MOST_PATHS = 10_000
 
@@ -117,12 +118,12 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
         if front.isEmpty():
             break
         there = reading(front, flows.select("stmt", "file", "table", "s_short", "s_ds", "column", "out", "how", "without", "certain", "star", "target", "t_short", "t_ds", *_conditions(flows)), stars)
-        there = there.where(_carries(F.col("column"), F.col("without"), F.col("key")))
+        there = there.where(_carries(F.col("column"), F.col("without"), F.col("key")) & (F.col("without") != HELD))
         deeper = (F.col("how") == "direct") & _field_of(F.col("key"), F.upper("column"))
         new_column = F.when((F.col("column") == "*") & (F.col("out") == "*"), F.col("at_column")).when(deeper, F.concat("out", F.expr("substring(at_column, length(column) + 1)"))).otherwise(F.col("out"))
         onward = there.withColumn("to_column", new_column).withColumn("to_key", F.upper("to_column"))
         if listed is not None:
-            onward = onward.join(listed, (F.col("t_short") == F.col("k_key")) & (F.col("to_key") == F.col("k_column")), "left")
+            onward = onward.join(listed, (F.col("t_short") == F.col("k_key")) & (F.substring_index("to_key", ".", 1) == F.col("k_column")), "left")
             unseen = F.col("k_key").isNull()
         else:
             unseen = F.lit(True)

@@ -21,15 +21,15 @@ from waymark.sources import notices
 Variant = tuple[str, str]
 
 
-def _texts(spark: SparkSession, sf_dir: str, variants: list[Variant]) -> DataFrame:
-    """(file, text): for each supplier the variant that its key falls on, with its key for the mark #."""
-    k = F.col("s_suppkey")
+def _texts(spark: SparkSession, sf_dir: str, variants: list[Variant], table: str = "supplier", key: str = "s_suppkey") -> DataFrame:
+    """(file, text): for each supplier, or row of another table, the variant that its key falls on, with its key for the mark #."""
+    k = F.col(key)
 
     def pick(at: int) -> Column:
         of = F.array(*(F.lit(v[at]) for v in variants))
         return F.replace(F.element_at(of, (k % len(variants) + 1).cast("int")), F.lit("#"), k.cast("string"))
 
-    return read(spark, sf_dir, "supplier").select(pick(0).alias("file"), pick(1).alias("text"))
+    return read(spark, sf_dir, table).select(pick(0).alias("file"), pick(1).alias("text"))
 
 
 def _repo(spark: SparkSession, sf_dir: str, *families: list[Variant]) -> Repo:
@@ -90,6 +90,15 @@ USES: list[tuple[str, str]] = [
     ("SELECT CASE WHEN a = 1 THEN b ELSE c END AS x FROM t_#", "t a transform, t b transform, t c transform"),
     ("SELECT CAST(a AS STRING) AS x FROM t_#", "t a transform"),
     ("SELECT a FROM t_# UNION ALL SELECT b FROM u_#", "t a select, u b select"),
+    ("DELETE FROM t_# USING u_# WHERE t_#.k = u_#.z", "t k filter, u z filter"),
+    ("DELETE a FROM t_# a JOIN u_# b ON a.k = b.k WHERE b.z = 1", "t k join_key, u k join_key, u z filter"),
+    ("SELECT e.v FROM APPENDS(TABLE t_#, NULL, NULL) e", "t v select"),
+    ("SELECT b FROM t_# JOIN EXTERNAL_QUERY('c', 'SELECT 1') e ON e.k = t_#.k", "t b select, t k join_key"),
+    ("SET (p, q) = (SELECT a, b FROM t_#)", "t a select, t b select"),
+    ("UPDATE t_# SET s.f = u_#.g FROM u_# WHERE t_#.k = u_#.k", "t s.f transform, u g transform, t k filter, u k filter"),
+    ("SELECT b, ROW_NUMBER() OVER (PARTITION BY k ORDER BY o) AS rn FROM t_# QUALIFY rn = 1", "t b select, t k dedup_key, t o ranking"),
+    ("CREATE TABLE FUNCTION x_#(d STRING) AS (SELECT b FROM t_# WHERE c = d)", "t b select, t c filter"),
+    ("SELECT t FROM t_# AS t", "t * star"),
     ("SELECT a FROM t_# WHERE EXISTS (SELECT 1 FROM u_# WHERE u_#.k = t_#.k)", "t a select, u k filter, t k filter"),
 ]
 
@@ -118,6 +127,16 @@ FLOWS: list[tuple[str, str]] = [
     ("CREATE TABLE x_# AS SELECT s.a AS c FROM t_# s JOIN u_# USING (k)", "t a c"),
     ("CREATE TABLE x_# AS SELECT STRUCT(a AS p, b AS q) AS c FROM t_#", "t a c.p, t b c.q, t a c, t b c"),
     ("CREATE TABLE x_# AS SELECT MAX(a) OVER (PARTITION BY k) AS c FROM t_#", "t a c"),
+    ("CREATE TABLE x_# AS SELECT s.p AS c FROM (SELECT STRUCT(a AS p, b AS q) AS s FROM t_#)", "t a c"),
+    ("CREATE TABLE x_# AS SELECT s.* FROM (SELECT STRUCT(a AS p, b AS q) AS s FROM t_#)", "t a p, t b q"),
+    ("CREATE TABLE x_# AS SELECT s.m.n.o AS c FROM (SELECT STRUCT(STRUCT(STRUCT(a AS o, b AS w) AS n) AS m) AS s FROM t_#)", "t a c"),
+    ("CREATE TABLE x_# AS SELECT s.m.* FROM (SELECT STRUCT(b AS q, STRUCT(a AS o) AS m) AS s FROM t_#)", "t a o"),
+    ("CREATE TABLE x_# AS SELECT AS VALUE STRUCT(a AS p, b AS q) FROM t_#", "t a p, t b q"),
+    ("CREATE TABLE x_# AS SELECT s_x1 AS c FROM t_# PIVOT (SUM(v) AS s FOR m IN ('x' AS x1, 'y'))", "t v c, t m c"),
+    ("CREATE TABLE x_# AS SELECT x AS c FROM t_# PIVOT (SUM(v) FOR m IN ('x', 'y'))", "t v c, t m c"),
+    ("CREATE TABLE x_# AS SELECT v AS c FROM t_# UNPIVOT (v FOR m IN (jan, feb))", "t jan c, t feb c"),
+    ("CREATE TABLE x_# AS SELECT r.* EXCEPT (z) FROM (SELECT ANY_VALUE(w) AS r FROM t_# AS w GROUP BY k)", "t * *"),
+    ("CREATE TABLE x_# AS FROM t_# |> SET b = a + 1 |> SELECT b AS c", "t a c"),
 ]
 
 
@@ -225,6 +244,11 @@ REWRITES: list[tuple[str, str]] = [
     ("EXPORT DATA OPTIONS (uri='gs://b/#/*.csv') AS SELECT a FROM t_#", "t_#"),
     ("SELECT a FROM t_# FOR SYSTEM_TIME AS OF ts WHERE b = 1", "t_#"),
     ("{% set c = ['a', 'b'] %}\nSELECT {% for x in c %}{{ x }}, {% endfor %} d FROM t_#", "t_#"),
+    ("BEGIN TRANSACTION;\nINSERT INTO x_# SELECT a FROM t_#;\nCOMMIT TRANSACTION;", "t_#"),
+    ("BEGIN;\nINSERT INTO x_# SELECT a FROM t_#;\nCOMMIT;", "t_#"),
+    ("START TRANSACTION;\nINSERT INTO x_# SELECT a FROM t_#;\nROLLBACK;", "t_#"),
+    ("BEGIN\n  BEGIN\n    IF EXISTS (SELECT 1 FROM u_#) THEN\n      CASE WHEN y = 1 THEN INSERT INTO x_# SELECT CASE WHEN a THEN b END FROM t_#; END CASE;\n    ELSE\n      RAISE USING MESSAGE = 'no';\n    END IF;\n  END;\nEXCEPTION WHEN ERROR THEN\n  RAISE;\nEND", "t_#, u_#"),
+    ("lab: LOOP\n  SET i = i + 1;\n  IF i > 3 THEN LEAVE lab; END IF;\nEND LOOP lab;\nREPEAT INSERT INTO x_# SELECT a FROM t_#; UNTIL i > 9 END REPEAT;", "t_#"),
     ("SELECT ';' AS x, a FROM t_#; -- b; c\nSELECT b FROM u_# /* ; */;", "t_#, u_#"),
 ]
 
