@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from waymark.functions import names
 from waymark.functions.shared import settle
-from waymark.operators import catalog, lineage, published, references, usages
+from waymark.operators import catalog, lineage, published, references, usages, words
 from waymark.operators.components import reachable
 from waymark.plans.tables import Tables, read_tables
 from waymark.sources.files import Tree, from_rows, read_archive, read_tree
 
 HOP_LIMIT = 25
+#: As many names are one pattern over the text of files; more are looked up in its index.
+FEW = 50
 SQL_EXTENSIONS = (".sql", ".sqlx", ".ddl", ".hql")
 #: Words that show that SQL is written in a file.
 SQL_WORDS = r"(?i)\b(SELECT|INSERT\s+INTO|CREATE\s+TABLE|CREATE\s+OR\s+REPLACE|MERGE\s+INTO|UPDATE|EXECUTE\s+IMMEDIATE)\b"
@@ -161,14 +163,15 @@ class Scan:
         mend this.
         """
         t = self.repo.tables
-        pattern = _any_of(self._names)
-        if not pattern:
+        asked = sorted({n for n in self._names if n})
+        if not asked:
             return t.files.select("file").where("false").selectExpr("file", "'' name", "'' why", "0 line", "'' snippet", "0L places", "false beside")
         known = t.mentions.select("stmt").distinct()
         unclear = t.statements.where("opaque").join(known, "stmt", "left_anti").select("file", "line", F.lit(0).alias("rank"), F.col("sql").alias("text"), F.lit("in a statement that can't be followed").alias("why"))
         why = F.when(F.col("metadata"), "looked up by its name in the warehouse's own catalogue").otherwise("as text inside a statement")
         quoted = t.statements.where("not opaque").select("file", "line", F.lit(1).alias("rank"), F.explode("literals").alias("text"), why.alias("why"))
-        hit = unclear.unionByName(quoted).where(F.col("text").rlike(pattern)).withColumn("name", F.lower(F.regexp_extract("text", pattern, 1)))
+        named = t.files.sparkSession.createDataFrame([(n,) for n in asked], "name string")
+        hit = words.naming(unclear.unionByName(quoted), "text", named).withColumn("name", F.lower("name"))
         one = hit.groupBy("file").agg(F.min_by(F.struct("name", "why"), F.struct("rank", "line", "name")).alias("x")).select("file", "x.*")
         beside = self.findings.select("file").distinct().withColumn("beside", F.lit(True))
         placed = one.join(places(t.files, one), ["file", "name"], "left").join(beside, "file", "left")
@@ -203,8 +206,7 @@ class Scan:
         ends = self.led.groupBy("root").agg(F.array_sort(F.collect_set("prod")).alias("ends_at"))
         short_cut = self.cut.groupBy("root").agg(F.count("*").alias("cut_short"), F.array_sort(F.collect_set("table")).alias("cut_short_at"))
         named = catalog.carriers(self.repo.catalog).select(F.col("column").alias("key"), "tables")
-        every = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_any_of(self._names) or "()"), F.lit(1)), F.upper)))
-        said = self.repo.tables.files.select(every.alias("key")).groupBy("key").agg(F.count("*").alias("mentioned_in"))
+        said = words.naming(self.repo.tables.files.select("file", "text"), "text", self.start.select(F.col("key").alias("name"))).groupBy(F.col("name").alias("key")).agg(F.count("*").alias("mentioned_in"))
         unlisted = self.repo.gaps.select(names.short(F.col("table")).alias("short")).distinct()
         unseen = self.nodes.where("hop > 0").join(unlisted, "short").groupBy("root").agg(F.array_sort(F.collect_set("at_table")).alias("not_visible"))
         listed = self.repo.catalog.groupBy(F.col("key").alias("short")).agg(F.array_sort(F.collect_set("column")).alias("listed"))
@@ -307,9 +309,19 @@ class Repo:
         placed = joined.withColumn("place", usages.locate(F.col("text"), F.col("column"), F.col("kind"), F.col("first"), F.col("line_end")))
         return placed.select("stmt", "key", (F.col("place") + 1).alias("at"), usages.snippet(F.col("text"), F.col("place")).alias("lines"))
 
-    def search(self, words: list[str]) -> DataFrame:
-        """(file, line_no, line, name): whole-word hits in the text of files."""
-        return word_hits(self.tables.files, words)
+    @cached_property
+    def index(self) -> DataFrame:
+        """(word, file, lines): where each word stands, written when it is first asked for."""
+        return words.index(self.tables.files)
+
+    def search(self, wanted: list[str] | DataFrame) -> DataFrame:
+        """(file, line_no, line, name): lines with one of the names, whole. Up to ``FEW`` names are looked for in the text,
+        more, or a frame of them (name), are looked up in the index; the lines are the same."""
+        if isinstance(wanted, DataFrame):
+            return words.lines_naming(self.index, self.tables.files, wanted)
+        if len(wanted) > FEW:
+            return self.search(self.tables.files.sparkSession.createDataFrame([(w,) for w in wanted], "name string"))
+        return word_hits(self.tables.files, wanted)
 
     def file(self, path: str) -> str | None:
         row = self.tables.files.where(F.col("file") == path).select("text").first()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import names
+from waymark.operators.words import naming
 
 _HEADINGS = {"TABLE", "TABLES", "TABLE NAME", "TABLE_NAME", "NAME", "PUBLISHED", "PUBLISHED TABLES", "PRODUCTION", "PRODUCTION TABLES", "DATASET", "PROJECT", "OWNER", "DESCRIPTION", "SCHEMA"}
 _NAME = re.compile(r"^[A-Za-z_][\w$\-]*(?:[.:][\w$\-*]+)*\*?$")
@@ -115,10 +116,7 @@ def check(rule: Rule, tables: DataFrame, files: DataFrame) -> DataFrame:
     kin = known.where("kin.family <> ''").select(F.col("kin.family").alias("key"), F.col("kin.how").alias("kin_how")).groupBy("key").agg(F.min("kin_how").alias("kin_how"))
     told = entries.join(exact, "key", "left").join(kin, "key", "left")
     told = told.withColumn("how", F.when(F.col("exact"), "name").otherwise(F.coalesce("kin_how", F.lit(""))))
-    unseen = [r["key"] for r in told.where("how = '' and kind = 'name'").select("key").collect()]
-    if not unseen:
-        return told.select("given", "kind", "key", (F.col("how") != "").alias("found"), "how", F.lit(0).cast("bigint").alias("mentions"))
-    pattern = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(sorted(map(re.escape, unseen), key=len, reverse=True)) + r")(?![\p{L}\p{N}_])"
-    hits = files.select("file", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), F.upper))).alias("key"))
-    counted = hits.groupBy("key").agg(F.count_distinct("file").alias("mentions"))
+    unseen = told.where("how = '' and kind = 'name'").select(F.col("key").alias("name"))
+    hits = naming(files.select("file", "text"), "text", unseen)
+    counted = hits.groupBy(F.col("name").alias("key")).agg(F.count_distinct("file").alias("mentions"))
     return told.join(counted, "key", "left").select("given", "kind", "key", (F.col("how") != "").alias("found"), "how", F.coalesce("mentions", F.lit(0)).alias("mentions"))

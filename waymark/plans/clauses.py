@@ -157,7 +157,24 @@ def tuple_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 TUPLE_SQL = """SELECT 'raw.s_' || s_suppkey || '.b' AS root, 'v_' || s_suppkey AS "table" FROM supplier"""
 
 
+def many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name for each part, looked up in the text of a file for each customer: the lines that have it whole."""
+    k, n = F.col("c_custkey"), F.lit(7)
+    body = F.concat_ws("\n", F.concat(F.lit("x = get('col_"), k, F.lit("')")), F.lit("nothing"), F.concat(F.lit("-- col_"), k * n, F.lit(" and Col_"), k + 1, F.lit(", not xcol_"), k + 2, F.lit(" nor p-col_9")))
+    files = read(spark, sf_dir, "customer").select(F.concat(F.lit("a_"), k, F.lit(".py")).alias("file"), body.alias("text"))
+    wanted = read(spark, sf_dir, "part").select(F.concat(F.lit("col_"), "p_partkey").alias("name")).unionByName(spark.createDataFrame([("p-col_9",), ("no.such-name",)], "name string"))
+    found = Engine(spark).read_all(source.from_rows(files)).search(wanted)
+    return found.select("file", F.col("line_no").cast("bigint").alias("line_no"), "name")
+
+
+MANY_SQL = """
+WITH p AS (SELECT DISTINCT p_partkey AS k FROM part), c AS (SELECT c_custkey AS k FROM customer)
+SELECT 'a_' || k || '.py' AS "file", 1::BIGINT AS line_no, 'col_' || k AS name FROM c WHERE k IN (SELECT k FROM p)
+UNION ALL SELECT 'a_' || k || '.py', 3, CASE WHEN 7 * k IN (SELECT k FROM p) THEN 'col_' || 7 * k WHEN k + 1 IN (SELECT k FROM p) THEN 'col_' || (k + 1) ELSE 'p-col_9' END FROM c
+"""
+
+
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "pipe_steps": (pipe_steps, PIPES_SQL), "unread_clauses": (unread_clauses, UNREAD_SQL), "unread_risk": (unread_risk, RISK_SQL), "shared_procedures": (shared_procedures, SHARED_SQL),
-    "surer_ways": (surer_ways, SURER_SQL), "struct_walk": (struct_walk, STRUCT_SQL), "tuple_variables": (tuple_variables, TUPLE_SQL),
+    "surer_ways": (surer_ways, SURER_SQL), "struct_walk": (struct_walk, STRUCT_SQL), "tuple_variables": (tuple_variables, TUPLE_SQL), "many_names": (many_names, MANY_SQL),
 }
