@@ -14,6 +14,7 @@ from waymark.functions.shared import settle
 from waymark.operators import catalog, lineage, published, references, usages, words
 from waymark.operators.components import reachable
 from waymark.plans.tables import Tables, read_tables
+from waymark.sources.archives import ENDINGS
 from waymark.sources.files import Tree, from_rows, read_archive, read_tree
 
 HOP_LIMIT = 25
@@ -452,7 +453,7 @@ class Engine:
         self.spark = spark
 
     def read(self, path: str) -> Repo:
-        tree = read_archive(self.spark, path) if path.endswith((".tar.gz", ".tgz")) else read_tree(self.spark, path)
+        tree = read_archive(self.spark, path) if path.endswith(ENDINGS) else read_tree(self.spark, path)
         return self.read_all(tree)
 
     def read_texts(self, texts: dict[str, str]) -> Repo:

@@ -6,13 +6,18 @@ same rows says what must be found.
 
 from __future__ import annotations
 
+import io
+import tarfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.engine import Ask, Engine, Repo
+from waymark.functions.shared import shared_path
 from waymark.operators import lineage, published
+from waymark.operators.history import History
 from waymark.plans.generated import _key, _repo, _texts, _values
 from waymark.plans.queries import read
 from waymark.sources import files as source
@@ -174,7 +179,124 @@ UNION ALL SELECT 'a_' || k || '.py', 3, CASE WHEN 7 * k IN (SELECT k FROM p) THE
 """
 
 
+def archived_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packed tar of the suppliers of each nation, written to the shared folder and read back by ranges."""
+    folder = shared_path(spark, "archives")
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        nation = int(rows["nation"].iloc[0])
+        with system.open_output_stream(f"{root}/n{nation}.tar.gz", compression=None) as f, tarfile.open(fileobj=f, mode="w|gz") as tar:
+            for name, text in sorted(zip(rows["name"], rows["text"])):
+                info = tarfile.TarInfo(f"owner-repo-0123abc/{name}")
+                info.size = len(text.encode())
+                tar.addfile(info, io.BytesIO(text.encode()))
+        return pd.DataFrame({"nation": [nation]})
+
+    key = F.col("s_suppkey").cast("string")
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("bigint").alias("nation"), F.concat(F.lit("sql/s_"), key, F.when(F.col("s_suppkey") % 5 == 0, ".md").otherwise(".sql")).alias("name"), F.concat(F.lit("SELECT a FROM raw.t_"), key).alias("text"))
+    rows.groupBy("nation").applyInPandas(pack, "nation bigint").write.format("noop").mode("overwrite").save()
+    tree = source.read_archive(spark, folder)
+    return tree.files.select("file", "text").unionByName(tree.unread.select("file", F.col("kind").alias("text")))
+
+
+ARCHIVED_SQL = """
+SELECT 'sql/s_' || s_suppkey || CASE WHEN s_suppkey % 5 = 0 THEN '.md' ELSE '.sql' END AS "file", CASE WHEN s_suppkey % 5 = 0 THEN 'not_code' ELSE 'SELECT a FROM raw.t_' || s_suppkey END AS text FROM supplier
+"""
+
+
+def history_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each region, saved and given a status, before and after its events are made one table."""
+    h = History(spark, shared_path(spark, "history"), most=0)
+    names = [r["r_name"] for r in read(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").collect()]
+    made = [h.save(name, "low", change="removal") for name in names[:3]]
+    h.set_status(made[0], "In progress")
+    h.compact()
+    made += [h.save(name, "high") for name in names[3:]]
+    h.set_status(made[0], "Closed")
+    h.set_status(made[3], "Verified")
+    h.compact()
+    h.set_status(made[1], "Verified")
+    return h.rows().select("subject", "risk", "status", "change")
+
+
+HISTORY_SQL = """
+SELECT r_name AS subject, CASE WHEN n < 3 THEN 'low' ELSE 'high' END AS risk, CASE n WHEN 0 THEN 'Closed' WHEN 1 THEN 'Verified' WHEN 3 THEN 'Verified' ELSE 'New' END AS status, CASE WHEN n < 3 THEN 'removal' ELSE 'unknown' END AS change
+FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS n FROM region)
+"""
+
+
+def walked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by published table, the most first: for each nation a published table that all of its suppliers' files feed, and one that only a star reaches."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    rows = read(spark, sf_dir, "supplier")
+    own = rows.select(F.concat(F.lit("a_"), k, F.lit(".sql")).alias("file"), F.concat(F.lit("CREATE TABLE mid_"), k, F.lit(" AS SELECT code AS c FROM raw.people WHERE code > 0;\nINSERT INTO nation_"), n, F.lit("_pub (d) SELECT c FROM mid_"), k).alias("text"))
+    repo = Engine(spark).read_all(source.from_rows(own))
+    s = repo.scan([Ask("raw.people", ["code"])], published.parse_rule("_pub"), "removal")
+    order = Window.orderBy(F.desc("findings"), F.upper("prod"))
+    return s.groups.withColumn("place", F.row_number().over(order)).select("prod", "matched", F.col("findings").cast("bigint").alias("findings"), F.col("breaking").cast("bigint").alias("breaking"), F.col("nearest").cast("bigint").alias("nearest"), F.col("place").cast("bigint").alias("place"), F.size("statements").cast("bigint").alias("statements"))
+
+
+GROUPS_SQL = """
+SELECT 'nation_' || s_nationkey || '_pub' AS prod, 'suffix' AS matched, 2 * count(*) AS findings, 2 * count(*) AS breaking, 0::BIGINT AS nearest, row_number() OVER (ORDER BY count(*) DESC, upper('nation_' || s_nationkey || '_pub')) AS place, 2 * count(*) AS statements
+FROM supplier GROUP BY s_nationkey
+"""
+
+
+def walked_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an answer counts and how sure it is, over a file for each supplier: found, hidden in text, not followed, not opened."""
+    repo = _repo(spark, sf_dir, [("a_#.sql", "CREATE TABLE out_#_pub AS SELECT code FROM raw.people"), ("a_#.sql", "CREATE TABLE mid_# AS SELECT * FROM raw.people"), ("a_#.sql", "SELECT tag('code') AS x FROM raw.other_#"), ("a_#.sql", "TRUNCATE TABLE raw.people"), ("a_#.ipynb", "{}"), ("a_#.sql", "SELECT FROM WHERE code")])
+    s = repo.scan([Ask("raw.people", ["code"])], published.parse_rule("_pub"), "removal")
+    stats, gaps = s.stats, {g["what"]: g["count"] for g in s.coverage["gaps"]}
+    pick = lambda *words: sum(v for what, v in gaps.items() if all(w in what for w in words))
+    rows = [("published", stats["productionTables"]), ("files", stats["filesWithImpact"]), ("breaking", stats["breakingUsages"]), ("unread", stats["couldNotRead"]), ("hidden", pick("out of reach")), ("opaque", pick("followed")), ("closed", pick("type")), ("complete", int(s.coverage["complete"])), ("high", int(s.risk == "high"))]
+    return spark.createDataFrame(rows, "what string, n bigint")
+
+
+STATS_SQL = """
+WITH v AS (SELECT s_suppkey % 6 AS v FROM supplier), c AS (SELECT count(*) FILTER (v = 0) AS a, count(*) FILTER (v = 1) AS b, count(*) FILTER (v = 2) AS h, count(*) FILTER (v = 3) AS o, count(*) FILTER (v = 4) AS n, count(*) FILTER (v = 5) AS u FROM v)
+SELECT 'published' AS what, a AS n FROM c UNION ALL SELECT 'files', a + b FROM c UNION ALL SELECT 'breaking', a FROM c UNION ALL SELECT 'unread', u FROM c UNION ALL SELECT 'hidden', h + o + u FROM c UNION ALL SELECT 'opaque', o FROM c
+UNION ALL SELECT 'closed', n FROM c UNION ALL SELECT 'complete', 0 FROM c UNION ALL SELECT 'high', 0 FROM c
+"""
+
+
+def walked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each statement takes a table that is asked about whole."""
+    repo = _repo(spark, sf_dir, [("a_#.sql", "CREATE TABLE x_# AS SELECT 1 AS one FROM raw.people"), ("a_#.sql", "CREATE TABLE x_# AS SELECT t.a FROM raw.t_# t JOIN raw.people p ON p.k = t.k"), ("a_#.sql", "CREATE TABLE x_# CLONE raw.people"), ("a_#.sql", "EXPORT DATA OPTIONS (uri='gs://b/#/*.csv') AS SELECT k FROM raw.people"), ("a_#.sql", "SELECT a FROM raw.people_old")],
+                 [("b_#.sql", "CREATE TABLE y_# AS SELECT * FROM x_#")])
+    s = repo.scan([Ask("raw.people", whole=True)], published.parse_rule("y_*"), "removal")
+    return s.findings.select("file", F.col("detail").alias("role"), F.col("hop").cast("bigint").alias("hop"), "breaking")
+
+
+TABLES_SQL = """
+SELECT 'a_' || s_suppkey || '.sql' AS "file", ['read', 'joined', 'copied', 'exported'][(s_suppkey % 5 + 1)::INT] AS role, 0::BIGINT AS hop, true AS breaking FROM supplier WHERE s_suppkey % 5 < 4
+UNION ALL SELECT 'b_' || s_suppkey || '.sql', 'read', 1, true FROM supplier WHERE s_suppkey % 5 < 3
+"""
+
+#: A file, and what is told of it by hand: the statement that can't be followed, the line, and the score that orders it.
+BY_HAND: list[tuple[str, str, int]] = [
+    ("a_#.sql", "SELECT 1;\nCALL d.fill('people')", 7), ("a_#.py", 'q = """\nGRANT SELECT ON raw.people TO x\n"""\n', 5), ("a_#.sql", "SELECT x FROM raw.other", 0), ("a_#.sql", "SELECT FROM code", 7), ("a_#.ipynb", "{}", 1), ("a_#.sql", "SELECT a FROM raw.t GROUP BY", 3),
+]
+
+
+def by_hand_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a person has to look at, what bears on the question first."""
+    repo = _repo(spark, sf_dir, [(f, x) for f, x, _ in BY_HAND])
+    s = repo.scan([Ask("raw.people", ["code"])], published.parse_rule("_pub"), "removal")
+    return s.by_hand.select("file", F.col("score").cast("bigint").alias("score")).distinct()
+
+
+BY_HAND_SQL = f"""
+WITH v(variant, file, score) AS ({_values([(k, f, n) for k, (f, _, n) in enumerate(BY_HAND)])})
+SELECT replace(file, '#', s_suppkey::VARCHAR) AS "file", score::BIGINT AS score FROM v JOIN supplier ON s_suppkey % {len(BY_HAND)} = variant WHERE score > 0
+"""
+
+
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "pipe_steps": (pipe_steps, PIPES_SQL), "unread_clauses": (unread_clauses, UNREAD_SQL), "unread_risk": (unread_risk, RISK_SQL), "shared_procedures": (shared_procedures, SHARED_SQL),
     "surer_ways": (surer_ways, SURER_SQL), "struct_walk": (struct_walk, STRUCT_SQL), "tuple_variables": (tuple_variables, TUPLE_SQL), "many_names": (many_names, MANY_SQL),
+    "archived_trees": (archived_trees, ARCHIVED_SQL), "history_kept": (history_kept, HISTORY_SQL), "walked_groups": (walked_groups, GROUPS_SQL), "walked_stats": (walked_stats, STATS_SQL), "walked_tables": (walked_tables, TABLES_SQL), "by_hand_order": (by_hand_order, BY_HAND_SQL),
 }

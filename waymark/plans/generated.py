@@ -99,6 +99,12 @@ USES: list[tuple[str, str]] = [
     ("SELECT b, ROW_NUMBER() OVER (PARTITION BY k ORDER BY o) AS rn FROM t_# QUALIFY rn = 1", "t b select, t k dedup_key, t o ranking"),
     ("CREATE TABLE FUNCTION x_#(d STRING) AS (SELECT b FROM t_# WHERE c = d)", "t b select, t c filter"),
     ("SELECT t FROM t_# AS t", "t * star"),
+    ("SELECT * RENAME (a AS z) FROM t_#", "t * star"),
+    ("SELECT 1 AS one FROM t_#, UNNEST(t_#.items) AS i WHERE i > 0", "t items transform, t items filter"),
+    ("SELECT SUM(a) OVER (PARTITION BY k ORDER BY o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM t_#", "t a transform, t k dedup_key, t o ranking"),
+    ("SELECT r.a FROM t_#(TABLE u_#, 3) AS r", "t a select"),
+    ("TRUNCATE TABLE t_#;\nSELECT a FROM u_#", "u a select"),
+    ("SELECT b FROM t_# WHERE d = CURRENT_DATE", "t b select, t d filter, t CURRENT_DATE filter"),
     ("SELECT a FROM t_# WHERE EXISTS (SELECT 1 FROM u_# WHERE u_#.k = t_#.k)", "t a select, u k filter, t k filter"),
 ]
 

@@ -6,9 +6,7 @@ column expression, and only the bytes go through Arrow to be decoded.
 
 from __future__ import annotations
 
-import io
 import re
-import tarfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions.shared import settle, slices
+from waymark.functions.shared import slices
+from waymark.sources.archives import members
 
 #: Extensions that are opened, those known to hold no code, folders passed by, template endings.
 CODE_EXTENSIONS = (".sql", ".sqlx", ".ddl", ".hql", ".py", ".scala", ".java", ".sh", ".xml", ".yaml", ".yml")
@@ -111,22 +110,10 @@ def read_tree(spark: SparkSession, root: str) -> Tree:
 
 
 def read_archive(spark: SparkSession, path: str) -> Tree:
-    """A .tar.gz of a tree (as code hosts make them, with one top folder), by the same rules."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b["content"].to_pylist():
-                with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as tar:
-                    for m in tar:  # one after the other: no more than one member is held
-                        if m.isfile():
-                            data = tar.extractfile(m).read() if m.size <= MOST_BYTES else b""
-                            row = ([m.name.partition("/")[2] or m.name], [m.size], [data])
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int64(), pa.binary()))], ["file", "length", "content"])
-
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    members = raw.mapInArrow(run, "file string, length bigint, content binary")
-    # an archive is unpacked in one task; its members are dealt out before they are read
-    return _classified(settle(members).repartition(spark.sparkContext.defaultParallelism, "file"))
+    """A tar, packed or not, of a tree (as code hosts make them, with one top folder), or a folder of such, by the same rules."""
+    rows = members(spark, path, MOST_BYTES)
+    below = F.regexp_extract("name", "^[^/]*/(.+)$", 1)
+    return _classified(rows.select(F.when(below != "", below).otherwise(F.col("name")).alias("file"), "length", "content"))
 
 
 def from_contents(rows: DataFrame, root: str = "") -> Tree:
