@@ -80,14 +80,30 @@ class Scan:
     @cached_property
     def groups(self) -> DataFrame:
         """Findings by published table, the most first."""
-        to = self.led.select("prod", F.col("short").alias("to_short")).distinct()
-        placed = self.findings.join(self.led.select("prod", "how", "short", "key").distinct(), ["short", "key"]).withColumn("to_short", names.short(F.col("target")))
-        placed = placed.join(to, ["prod", "to_short"], "left_semi")  # a statement on the trail leads on to the table
-        return placed.groupBy("prod", F.col("how").alias("matched")).agg(
+        return self._placed.groupBy("prod", F.col("how").alias("matched")).agg(
             F.count("*").alias("findings"), F.count_if("breaking").alias("breaking"), F.min("hop").alias("nearest"),
             F.array_sort(F.collect_set("stmt")).alias("statements"), F.array_sort(F.collect_set(F.concat_ws(".", "table", "column"))).alias("through"),
         ).orderBy(F.desc("findings"), F.upper("prod"))
 
+    @cached_property
+    def _placed(self) -> DataFrame:
+        """(prod, and a finding's columns): findings under each published table that they lead to."""
+        to = self.led.select("prod", F.col("short").alias("to_short")).distinct()
+        placed = self.findings.join(self.led.select("prod", "how", "short", "key").distinct(), ["short", "key"]).withColumn("to_short", names.short(F.col("target")))
+        return placed.join(to, ["prod", "to_short"], "left_semi")  # a statement on the trail leads on to the table
+
+    @property
+    def rows(self) -> DataFrame:
+        """Findings of all groups, each place once though it leads to several published tables, with the groups it is in."""
+        same = ["file", "column", "alias", "kind"]
+        rest = [c for c in self.findings.columns if c not in same]
+        return self._placed.groupBy(*same).agg(F.min_by(F.struct(*rest), F.struct("hop", "stmt")).alias("x"), F.array_sort(F.collect_set("prod")).alias("groups")).select(*same, "x.*", "groups")
+
+    @property
+    def other(self) -> DataFrame:
+        """Findings that lead to no published table."""
+        return self.findings.join(self._placed.select("stmt", "short", "key", "kind").distinct(), ["stmt", "short", "key", "kind"], "left_anti")
+
     @cached_property
     def _stops(self) -> tuple[DataFrame, bool]:
         return lineage.stops_loading(self.repo.edges, self.findings.where("breaking"), published.match(self.rule, F.col("table")) != "", self.published.select("short"))

@@ -36,6 +36,12 @@ def dataset(name: Column) -> Column:
     return F.upper(F.regexp_extract(name, r"([^.]*)\.[^.]*$", 1))
 
 
+def ordered_distinct(items: Column) -> Column:
+    """An array's items in their order, of those that differ in case only the first."""
+    upper = F.transform(items, F.upper)
+    return F.filter(items, lambda x, k: F.array_position(upper, F.upper(x)) == k + 1)
+
+
 def is_fenced(name: Column) -> Column:
     return name.startswith("#")
 

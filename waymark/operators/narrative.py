@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.engine import Scan
@@ -14,10 +18,11 @@ RISKS = {
 }
 
 
-def listed(items: list[str], most: int = SHOWN) -> str:
-    """a, b and c; or the first ones and how many more."""
-    if len(items) > most:
-        return ", ".join(items[:most]) + f" and {len(items) - most} more"
+def listed(items: list[str], most: int = SHOWN, total: int = 0) -> str:
+    """a, b and c; or the first ones and how many more, where ``total`` counts those that aren't given too."""
+    total = max(total, len(items))
+    if total > most:
+        return ", ".join(items[:most]) + f" and {total - len(items[:most])} more"
     return items[0] if len(items) == 1 else ", ".join(items[:-1]) + f" and {items[-1]}" if items else "none"
 
 
@@ -28,11 +33,12 @@ def plural(n: int, one: str, more: str | None = None) -> str:
 def summarise(scan: Scan) -> dict:
     """headline, points, actions: what was found, in the order that matters."""
     s = scan.stats
-    prods = [r["prod"] for r in scan.groups.select("prod").limit(SHOWN + 50).collect()]
+    prods = [r["prod"] for r in scan.groups.select("prod").limit(SHOWN).collect()]
     points, actions = [], []
     missing = [r["root"] for r in scan.attributes.where("not found").select("root").collect()]
     if prods:
-        points.append(f"{plural(len(prods), 'published table')} affected: {listed(prods)}.")
+        total = scan.groups.count()
+        points.append(f"{plural(total, 'published table')} affected: {listed(prods, total=total)}.")
     elif s["tablesReached"]:
         points.append(f"It reaches {plural(s['tablesReached'], 'table')}, none of them published.")
     else:
@@ -71,3 +77,23 @@ def reply(scan: Scan, to: str = "", subject: str = "") -> str:
 def to_json(scan: Scan):
     """The findings as one JSON text each."""
     return scan.findings.select(F.to_json(F.struct("*")).alias("finding"))
+
+
+def document(scan: Scan) -> DataFrame:
+    """(part, json): the whole answer as JSON texts, one for each row of each part, and one for its head.
+
+    Each part is a frame of its own and stays one, so an answer of any size is written as
+    it is; a reader takes the parts it shows.
+    """
+    spark = scan.findings.sparkSession
+    head = {
+        "risk": scan.risk, "stats": scan.stats, "coverage": scan.coverage, "warnings": scan.warnings, "maxHops": scan.max_hops, "change": scan.change,
+        "asked": [f"{a.table}.{c}" for a in scan.asks for c in a.columns] + [a.table for a in scan.asks if a.whole], "filesScanned": scan.repo.tables.files.count(),
+    }
+    parts = {
+        "attributes": scan.attributes, "groups": scan.groups, "rows": scan.rows, "other": scan.other, "reached": scan.reached, "branches": scan.branches, "checkByHand": scan.by_hand,
+        "mentionsOnly": scan.mentions, "cutShort": scan.cut, "notes": scan.notes, "stopsLoading": scan.stops, "referencedHere": scan.references, "feeds": scan.feeds,
+        "fileTypesUnopened": scan.repo.summary().where("what <> 'read'"), "missingFiles": scan.repo.sql_files()[1],
+    }
+    rows = [df.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("json")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows, spark.createDataFrame([("head", json.dumps(head))], "part string, json string"))

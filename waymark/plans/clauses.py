@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from waymark.engine import Ask, Engine, Repo
 from waymark.functions.shared import shared_path
-from waymark.operators import lineage, published
+from waymark.operators import lineage, narrative, published
 from waymark.operators.history import History
 from waymark.plans.generated import _key, _repo, _texts, _values
 from waymark.plans.queries import read
@@ -295,8 +295,24 @@ SELECT replace(file, '#', s_suppkey::VARCHAR) AS "file", score::BIGINT AS score
 """
 
 
+def answer_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer as JSON, part by part: rows that lead to several published tables stand in it once."""
+    repo = _repo(spark, sf_dir, [("a_#.sql", "CREATE TABLE m_# AS SELECT code AS c FROM raw.people")], [("b_#.sql", "CREATE TABLE one_#_pub AS SELECT c FROM m_#;\nCREATE TABLE two_#_pub AS SELECT c FROM m_#"), ("b_#.sql", "CREATE TABLE side_# AS SELECT c FROM m_#")])
+    s = repo.scan([Ask("raw.people", ["code"])], published.parse_rule("_pub"), "removal")
+    told = narrative.document(s).where("part in ('groups', 'rows', 'other', 'reached', 'head')")
+    said = F.coalesce(F.get_json_object("json", "$.prod"), F.get_json_object("json", "$.target"), F.get_json_object("json", "$.at_table"), F.get_json_object("json", "$.risk"))
+    return told.select("part", said.alias("said"), F.coalesce(F.json_array_length(F.get_json_object("json", "$.groups")), F.lit(0)).cast("bigint").alias("groups"))
+
+
+DOCUMENT_SQL = """
+WITH s AS (SELECT s_suppkey AS k, s_suppkey % 2 = 0 AS two FROM supplier), p AS (SELECT unnest(['one_', 'two_']) || k || '_pub' AS prod FROM s WHERE two)
+SELECT 'head' AS part, 'medium' AS said, 0::BIGINT AS groups UNION ALL SELECT 'groups', prod, 0 FROM p UNION ALL SELECT 'reached', prod, 0 FROM p UNION ALL SELECT 'reached', 'm_' || k, 0 FROM s UNION ALL SELECT 'reached', 'side_' || k, 0 FROM s WHERE NOT two
+UNION ALL SELECT 'rows', 'm_' || k, 2 FROM s WHERE two UNION ALL SELECT 'rows', 'one_' || k || '_pub', 2 FROM s WHERE two UNION ALL SELECT 'other', 'm_' || k, 0 FROM s WHERE NOT two UNION ALL SELECT 'other', 'side_' || k, 0 FROM s WHERE NOT two
+"""
+
+
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "pipe_steps": (pipe_steps, PIPES_SQL), "unread_clauses": (unread_clauses, UNREAD_SQL), "unread_risk": (unread_risk, RISK_SQL), "shared_procedures": (shared_procedures, SHARED_SQL),
     "surer_ways": (surer_ways, SURER_SQL), "struct_walk": (struct_walk, STRUCT_SQL), "tuple_variables": (tuple_variables, TUPLE_SQL), "many_names": (many_names, MANY_SQL),
-    "archived_trees": (archived_trees, ARCHIVED_SQL), "history_kept": (history_kept, HISTORY_SQL), "walked_groups": (walked_groups, GROUPS_SQL), "walked_stats": (walked_stats, STATS_SQL), "walked_tables": (walked_tables, TABLES_SQL), "by_hand_order": (by_hand_order, BY_HAND_SQL),
+    "archived_trees": (archived_trees, ARCHIVED_SQL), "history_kept": (history_kept, HISTORY_SQL), "walked_groups": (walked_groups, GROUPS_SQL), "walked_stats": (walked_stats, STATS_SQL), "walked_tables": (walked_tables, TABLES_SQL), "by_hand_order": (by_hand_order, BY_HAND_SQL), "answer_document": (answer_document, DOCUMENT_SQL),
 }
