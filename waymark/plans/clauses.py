@@ -311,8 +311,76 @@ UNION ALL SELECT 'rows', 'm_' || k, 2 FROM s WHERE two UNION ALL SELECT 'rows',
 """
 
 
+#: A file, and what the reader tells of it beside uses: (what, value).
+TOLD: list[tuple[str, str, str, str]] = [
+    ("stem_#.sql", "SELECT a FROM raw.t_#", "named after its file", "stem_#"), ("p_#.sql", "CREATE TABLE x_# AS SELECT {cols}, b FROM raw.t_#", "a placeholder in the select list", "x_#"),
+    ("l_#.sql", "LOAD DATA INTO d.x_# (a STRING, b INT64) FROM FILES (format = 'CSV', uris = ['gs://x'])", "columns stated by a load", "a,b"), ("d_#.sql", "CREATE TABLE x_# AS SELECT b FROM raw.t_# WHERE e = 'lit_#'", "a literal", "lit_#"),
+    ("d_#.sql", "CREATE TABLE x_# AS SELECT b FROM raw.t_# WHERE e IN ('lit_#', 'm')", "a literal", "lit_#, m"), ("h_#.sql", "SELECT a FROM raw.t_# WHERE {{ cond }} AND b = {v}", "named after its file", "h_#"),
+    ("c_#.sql", "TRUNCATE TABLE raw.t_#", "can't be followed", "OTHER"), ("c_#.sql", "CALL d.fill_#(1)", "can't be followed", "CALL"), ("c_#.sql", "GRANT SELECT ON TABLE raw.t_# TO 'x'", "can't be followed", "OTHER"),
+    ("e_#.py", "q = \"\"\"SELECT a FROM raw.t_#\"\"\"\nrun(q, destination='d.o_#')\n", "named by its program", "d.o_#"), ("r_#.sql", "EXECUTE IMMEDIATE 'CREATE TABLE x_# AS SELECT a FROM raw.t_#'", "run as text", "x_#"),
+    ("g_#.sql", "CREATE TABLE x_# AS SELECT * FROM raw.nowhere_#", "columns listed nowhere", "x_#"),
+]
+
+
+def reader_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of statements beside their uses: how they got their target, literals, columns of loads, what can't be followed, gaps."""
+    repo = _repo(spark, sf_dir, [(f, x) for f, x, _, _ in TOLD])
+    t = repo.tables
+    s = t.statements
+    parts = [
+        s.where("named_by = 'file'").select("file", F.lit("named after its file").alias("what"), F.col("target").alias("value")), s.where("named_by = 'program'").select("file", F.lit("named by its program"), "target"),
+        s.where("star_note <> ''").select("file", F.lit("a placeholder in the select list"), "target"), s.where("opaque").select("file", F.lit("can't be followed"), "kind"), s.where("as_text").select("file", F.lit("run as text"), "target"),
+        t.uses.where("kind = 'filter' and detail <> ''").select("file", F.lit("a literal"), "detail"), t.columns.where("kind = 'LOAD'").groupBy("file").agg(F.array_sort(F.collect_list("name")).alias("n")).select("file", F.lit("columns stated by a load"), F.array_join("n", ",")),
+        repo.gaps.where("contains(table, 'x_')").select("file", F.lit("columns listed nowhere"), "table"), t.problems.select("file", F.lit("not read"), "message"),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
+
+
+TOLD_SQL = f"""
+WITH v(variant, file, what, value) AS ({_values([(k, f, w, x) for k, (f, _, w, x) in enumerate(TOLD)])})
+SELECT replace(file, '#', s_suppkey::VARCHAR) AS "file", what, replace(value, '#', s_suppkey::VARCHAR) AS value FROM v JOIN supplier ON s_suppkey % {len(TOLD)} = variant
+UNION ALL SELECT 'p_' || s_suppkey || '.sql', 'columns listed nowhere', 'x_' || s_suppkey FROM supplier WHERE s_suppkey % {len(TOLD)} = 1
+"""
+
+
+def letter_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary and the reply of an answer with more published tables than are listed."""
+    repo = _repo(spark, sf_dir, [("a_#.sql", "CREATE TABLE out_#_pub AS SELECT id FROM raw.people WHERE code = 1")])
+    s = repo.scan([Ask("raw.people", ["code"])], published.parse_rule("_pub"), "removal")
+    said = narrative.summarise(s)
+    lines = [("headline", said["headline"]), *(("point", p) for p in said["points"] if "affected" in p or "break" in p), ("actions", str(len(said["actions"]))), ("reply", narrative.reply(s, "Ana").splitlines()[0]), ("signed", narrative.reply(s).splitlines()[-1])]
+    return spark.createDataFrame(lines, "part string, said string")
+
+
+LETTER_SQL = """
+WITH t AS (SELECT 'out_' || s_suppkey || '_pub' AS prod FROM supplier), n AS (SELECT count(*) AS n FROM t), f AS (SELECT string_agg(prod, ', ' ORDER BY upper(prod)) AS first FROM (SELECT prod FROM t ORDER BY upper(prod) LIMIT 6))
+SELECT 'headline' AS part, 'Risk: medium. Something breaks, and can be changed here.' AS said
+UNION ALL SELECT 'point', n || ' published tables affected: ' || first || ' and ' || (n - 6) || ' more.' FROM n, f
+UNION ALL SELECT 'point', n || ' uses in ' || n || ' files would break.' FROM n UNION ALL SELECT 'actions', '6' UNION ALL SELECT 'reply', 'Dear Ana,' UNION ALL SELECT 'signed', 'Regards'
+"""
+
+
+def trail_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes on the trail: stars, tables built in several files, names that stand for several tables, targets named by files."""
+    repo = _repo(spark, sf_dir, [("a_#.sql", "CREATE TABLE one.s_# AS SELECT * FROM raw.people"), ("a_#.sql", "CREATE TABLE one.s_# AS SELECT code FROM raw.people"), ("stem_#.sql", "SELECT code FROM raw.people")], [("b_#.sql", "SELECT 1"), ("b_#.sql", "CREATE TABLE two.s_# AS SELECT code FROM raw.people"), ("b_#.sql", "SELECT 1")])
+    s = repo.scan([Ask("raw.people", ["code"])], published.parse_rule("_pub"), "removal")
+    return s.notes.where("kind <> ''").select("kind", "table", F.regexp_replace("detail", "a_|b_|[.]sql", "").alias("detail"))
+
+
+NOTES_SQL = """
+SELECT 'takes every column' AS kind, 'one.s_' || s_suppkey AS "table", 'its columns are listed nowhere' AS detail FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'built in several files', 'S_' || s_suppkey, s_suppkey || ', ' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 1
+UNION ALL SELECT 'stands for several tables', 'S_' || s_suppkey, 'ONE, TWO' FROM supplier WHERE s_suppkey % 3 = 1
+UNION ALL SELECT 'named after its file', 'stem_' || s_suppkey, 'stem_' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 2
+"""
+
+
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "pipe_steps": (pipe_steps, PIPES_SQL), "unread_clauses": (unread_clauses, UNREAD_SQL), "unread_risk": (unread_risk, RISK_SQL), "shared_procedures": (shared_procedures, SHARED_SQL),
     "surer_ways": (surer_ways, SURER_SQL), "struct_walk": (struct_walk, STRUCT_SQL), "tuple_variables": (tuple_variables, TUPLE_SQL), "many_names": (many_names, MANY_SQL),
-    "archived_trees": (archived_trees, ARCHIVED_SQL), "history_kept": (history_kept, HISTORY_SQL), "walked_groups": (walked_groups, GROUPS_SQL), "walked_stats": (walked_stats, STATS_SQL), "walked_tables": (walked_tables, TABLES_SQL), "by_hand_order": (by_hand_order, BY_HAND_SQL), "answer_document": (answer_document, DOCUMENT_SQL),
+    "archived_trees": (archived_trees, ARCHIVED_SQL), "history_kept": (history_kept, HISTORY_SQL), "walked_groups": (walked_groups, GROUPS_SQL), "walked_stats": (walked_stats, STATS_SQL), "walked_tables": (walked_tables, TABLES_SQL), "by_hand_order": (by_hand_order, BY_HAND_SQL), "answer_document": (answer_document, DOCUMENT_SQL), "reader_told": (reader_told, TOLD_SQL),
+    "letter_written": (letter_written, LETTER_SQL), "trail_notes": (trail_notes, NOTES_SQL),
 }

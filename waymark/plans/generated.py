@@ -100,6 +100,9 @@ USES: list[tuple[str, str]] = [
     ("CREATE TABLE FUNCTION x_#(d STRING) AS (SELECT b FROM t_# WHERE c = d)", "t b select, t c filter"),
     ("SELECT t FROM t_# AS t", "t * star"),
     ("SELECT * RENAME (a AS z) FROM t_#", "t * star"),
+    ("SELECT ARRAY(SELECT i.b FROM u_# AS i WHERE i.k = t_#.k) AS x FROM t_#", "u b select, u k filter, t k filter"),
+    ("SELECT DISTINCT ON (k) a FROM t_# ORDER BY k, o", "t a select, t k dedup_key, t k sort, t o sort"),
+    ("UPDATE d.t_# SET d.t_#.a = 1 WHERE b = 2", "t a transform, t b filter"),
     ("SELECT 1 AS one FROM t_#, UNNEST(t_#.items) AS i WHERE i > 0", "t items transform, t items filter"),
     ("SELECT SUM(a) OVER (PARTITION BY k ORDER BY o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM t_#", "t a transform, t k dedup_key, t o ranking"),
     ("SELECT r.a FROM t_#(TABLE u_#, 3) AS r", "t a select"),
@@ -111,8 +114,8 @@ USES: list[tuple[str, str]] = [
 
 def reader_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     repo = _repo(spark, sf_dir, [(f"q{v}/s_#.sql", sql) for v, (sql, _) in enumerate(USES)])
-    own = F.regexp_extract("table", r"^([a-z]+)_(\d+)$", 2).cast("bigint") == _key()
-    told = repo.tables.uses.where(own).select(F.regexp_extract("file", r"^q(\d+)/", 1).cast("int").alias("variant"), F.substring("table", 1, 1).alias("letter"), "column", "kind", "file").distinct()
+    own = F.regexp_extract("table", r"^(?:d\.)?([a-z]+)_(\d+)$", 2).cast("bigint") == _key()
+    told = repo.tables.uses.where(own).select(F.regexp_extract("file", r"^q(\d+)/", 1).cast("int").alias("variant"), F.regexp_extract("table", r"([a-z])_\d+$", 1).alias("letter"), "column", "kind", "file").distinct()
     return told.groupBy("variant", "letter", "column", "kind").agg(F.count("*").alias("files"))
 
 
@@ -142,6 +145,8 @@ FLOWS: list[tuple[str, str]] = [
     ("CREATE TABLE x_# AS SELECT x AS c FROM t_# PIVOT (SUM(v) FOR m IN ('x', 'y'))", "t v c, t m c"),
     ("CREATE TABLE x_# AS SELECT v AS c FROM t_# UNPIVOT (v FOR m IN (jan, feb))", "t jan c, t feb c"),
     ("CREATE TABLE x_# AS SELECT r.* EXCEPT (z) FROM (SELECT ANY_VALUE(w) AS r FROM t_# AS w GROUP BY k)", "t * *"),
+    ("CREATE TABLE x_# AS SELECT a, b FROM t_# UNION ALL BY NAME SELECT c AS b, d AS a FROM u_#", "t a a, t b b, u d a, u c b"),
+    ("CREATE TABLE x_# AS SELECT ARRAY(SELECT i.b FROM u_# AS i) AS c FROM t_#", "u b c"),
     ("CREATE TABLE x_# AS FROM t_# |> SET b = a + 1 |> SELECT b AS c", "t a c"),
 ]
 
