@@ -317,7 +317,7 @@ TOLD: list[tuple[str, str, str, str]] = [
     ("l_#.sql", "LOAD DATA INTO d.x_# (a STRING, b INT64) FROM FILES (format = 'CSV', uris = ['gs://x'])", "columns stated by a load", "a,b"), ("d_#.sql", "CREATE TABLE x_# AS SELECT b FROM raw.t_# WHERE e = 'lit_#'", "a literal", "lit_#"),
     ("d_#.sql", "CREATE TABLE x_# AS SELECT b FROM raw.t_# WHERE e IN ('lit_#', 'm')", "a literal", "lit_#, m"), ("h_#.sql", "SELECT a FROM raw.t_# WHERE {{ cond }} AND b = {v}", "named after its file", "h_#"),
     ("c_#.sql", "TRUNCATE TABLE raw.t_#", "can't be followed", "OTHER"), ("c_#.sql", "CALL d.fill_#(1)", "can't be followed", "CALL"), ("c_#.sql", "GRANT SELECT ON TABLE raw.t_# TO 'x'", "can't be followed", "OTHER"),
-    ("e_#.py", "q = \"\"\"SELECT a FROM raw.t_#\"\"\"\nrun(q, destination='d.o_#')\n", "named by its program", "d.o_#"), ("r_#.sql", "EXECUTE IMMEDIATE 'CREATE TABLE x_# AS SELECT a FROM raw.t_#'", "run as text", "x_#"),
+    ("e_#.py", "q = \"\"\"SELECT a FROM raw.t_#\"\"\"\nrun(q, destination='d.o_#')\n", "named by its program", "o_#"), ("r_#.sql", "EXECUTE IMMEDIATE 'CREATE TABLE x_# AS SELECT a FROM raw.t_#'", "run as text", "x_#"),
     ("g_#.sql", "CREATE TABLE x_# AS SELECT * FROM raw.nowhere_#", "columns listed nowhere", "x_#"),
 ]
 
