@@ -179,3 +179,17 @@ def test_op3_takes_added_tokens_first(spark):
     for i, x in enumerate(texts):
         ids = b"".join(bytes(r["ids"]) for r in sorted((r for r in found if r["doc_id"] == i), key=lambda r: r["piece"]))
         assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(x, add_special_tokens=False).ids, 0]
+
+
+def test_op4_leaves_out_columns_of_other_names(spark):
+    from pyspark.sql import functions as F
+
+    from waymark.llm import chat
+
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "hi"), (2, 0, "user", "hello"), (2, 1, "assistant", "other"), (3, 0, "user", None)]
+    plain = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    odd = plain
+    for name in ("key", "parent", "turns", "loss", "formatted", "ids", "start", "end", "position", "node", "root", "depth", "tokens", "n", "conv", "rank"):
+        odd = odd.withColumn(name, F.lit("odd"))
+    shown = lambda df: sorted((r["conv_id"], [tuple(t) for t in r["turns"]], list(r["loss"]), r["formatted"]) for r in chat.read_back(*chat.format_tree(df)).collect())
+    assert shown(odd) == shown(plain) and len(shown(odd)) == 3

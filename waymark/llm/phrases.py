@@ -89,17 +89,24 @@ def word_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterat
         sizes.pop(lang, None)
         return lang, list(numbers), np.concatenate(parts)
 
+    def take(lang: str, text: bytes) -> None:
+        numbers, parts = held.setdefault(lang, (_Numbers(), [np.zeros(1, dtype=np.int64)]))
+        for words in split_words(text.lower().translate(_TO_LINE)):
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            sizes[lang] = sizes.get(lang, 0) + len(words)
+        parts.append(np.zeros(1, dtype=np.int64))
+
     for b in slices(batches, 256):
-        texts: dict[str, list[bytes]] = {}
-        for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
-            if text:
-                texts.setdefault(lang, []).append(text)
-        for lang, some in texts.items():
-            numbers, parts = held.setdefault(lang, (_Numbers(), [np.zeros(1, dtype=np.int64)]))
-            for words in split_words(b"\n".join(some).lower().translate(_TO_LINE)):
-                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-                sizes[lang] = sizes.get(lang, 0) + len(words)
-            parts.append(np.zeros(1, dtype=np.int64))
+        short: dict[str, list[bytes]] = {}
+        for lang, text in zip(b["lang"], b["text"]):  # one text of any length, or some short ones together
+            lang, text = lang.as_py(), text.as_py()
+            if text and len(text) >= WINDOW:
+                take(lang, text)
+            elif text:
+                short.setdefault(lang, []).append(text)
+        for lang, some in short.items():
+            for at in range(0, len(some), 64):
+                take(lang, b"\n".join(some[at : at + 64]))
         while sum(sizes.values()) >= block:
             yield given(max(sizes, key=sizes.get))
     for lang in sorted(held):
