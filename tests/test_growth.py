@@ -3,9 +3,11 @@
 import threading
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.engine import Scan
+from waymark.operators import lineage
 
 MANY = 150_000
 
@@ -32,3 +34,16 @@ def test_findings_on_one_column_with_a_table_behind_each(spark):
         placed = scan._placed
         assert placed.count() == MANY + 2
         assert {(r["prod"], r["how"]) for r in placed.where("stmt = '0'").collect()} == {("OUT_0", "suffix"), ("OUT_1", "suffix"), ("OUT_2", "suffix")}
+
+
+@pytest.mark.parametrize("name", ["hold", "$VARIABLES"])
+def test_names_that_every_file_has_for_itself(spark, name):
+    """Temporary tables and variables of one name in many files meet their own file's only."""
+    fenced = F.concat(F.lit("#F_"), F.col("id"), F.lit(f"_SQL.{name.upper()}"))
+    front = spark.range(MANY).select(F.lit(name.upper()).alias("short"), fenced.alias("ds"))
+    rows = spark.range(MANY).select(F.col("id").alias("stmt"), fenced.alias("table"), F.lit(name.upper()).alias("s_short"), fenced.alias("s_ds"))
+    with within(spark, 60):
+        met = lineage.reading(front, rows, False).select("ds", "s_ds", "by")
+        assert met.count() == MANY and met.where("ds <> s_ds or by <> 'name'").count() == 0
+        plain = spark.createDataFrame([(name.upper(), ""), (name.upper(), "D")], "short string, ds string")
+        assert lineage.reading(plain, rows, False).count() == 0  # a fenced name is no plain table's

@@ -29,9 +29,15 @@ def _alike(ds_a: Column, ds_b: Column) -> Column:
     return F.when(fenced, ds_a == ds_b).otherwise((ds_a == "") | (ds_b == "") | (ds_a == ds_b))
 
 
+def _meets(short: str, ds: str) -> Column:
+    """What names of one table have in common: the short name, and all of a fenced one, whose short name any number of files may share."""
+    return F.when(F.startswith(F.col(ds), F.lit("#")), F.col(ds)).otherwise(F.col(short))
+
+
 def reading(front: DataFrame, rows: DataFrame, wild: bool) -> DataFrame:
     """``front`` (short, ds, ...) with the ``rows`` (s_short, s_ds, table, ...) that can mean the same table; by says how."""
-    plain = front.join(rows, front["short"] == rows["s_short"]).where(_alike(F.col("ds"), F.col("s_ds"))).withColumn("by", F.lit("name"))
+    plain = front.withColumn("meets", _meets("short", "ds")).join(rows.withColumn("meets", _meets("s_short", "s_ds")), "meets").drop("meets")
+    plain = plain.where(_alike(F.col("ds"), F.col("s_ds"))).withColumn("by", F.lit("name"))
     if not wild:
         return plain
     shown = F.when(F.col("ds") != "", F.concat_ws(".", "ds", "short")).otherwise(F.col("short"))
