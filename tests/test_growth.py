@@ -6,8 +6,10 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.engine import Scan
+from waymark.engine import Engine, Scan
 from waymark.operators import lineage
+from waymark.plans import tables
+from waymark.sources.files import from_rows
 
 MANY = 150_000
 
@@ -47,3 +49,14 @@ def test_names_that_every_file_has_for_itself(spark, name):
         assert met.count() == MANY and met.where("ds <> s_ds or by <> 'name'").count() == 0
         plain = spark.createDataFrame([(name.upper(), ""), (name.upper(), "D")], "short string, ds string")
         assert lineage.reading(plain, rows, False).count() == 0  # a fenced name is no plain table's
+
+
+def test_what_was_read_from_a_large_tree_is_not_sent_whole(spark, monkeypatch, capsys):
+    """Spark takes what was parsed for as small as the table it came from; joins of a large tree's frames don't go by that."""
+    monkeypatch.setattr(tables, "PARTITION", 1000)
+    texts = spark.range(200).select(F.format_string("a_%d.sql", "id").alias("file"), F.format_string("CREATE TABLE m_%d AS SELECT a, b FROM raw.t_%d", "id", "id").alias("text"))
+    t = Engine(spark).read_all(from_rows(texts)).tables
+    for joined in (t.flows.join(t.statements, "stmt"), t.uses.join(t.flows, "stmt"), t.statements.join(t.files, "file")):
+        joined.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import names
-from waymark.functions.shared import settle
+from waymark.functions.shared import SENT, settle, unsent
 from waymark.plans.tables import Tables
 
 
@@ -27,16 +27,18 @@ def build_catalog(t: Tables) -> tuple[DataFrame, DataFrame]:
     known = settle(listed.select(F.col("target").alias("table"), "key", "pos", F.col("name").alias("column"), "type", "file", "derived"))
     stars = settle(t.flows.where("column = '*' and out = '*' and temp = false").select("stmt", "file", "target", F.col("t_short").alias("key"), F.col("s_short").alias("source"), "without"))
     named = settle(t.flows.where("(column <> '*' or out <> '*') and how <> 'carried' and not contains(out, '.')").select("stmt", F.col("out").alias("column")).distinct())
+    large = known.count() + named.count() + stars.count() > SENT
+    known, named, stars = (unsent(df, large) for df in (known, named, stars))
     every_star = stars
     stars, named = _contracted(stars, named, known)
     rounds = 0
     while True:
         rounds += 1
-        have = known.select("key").distinct()
+        have = unsent(known.select("key").distinct(), large)
         open_ = stars.join(have, "key", "left_anti")
         missing = open_.join(have, open_["source"] == have["key"], "left_anti").select("stmt").distinct()
         ready = open_.join(missing, "stmt", "left_anti")
-        source = known.select(F.col("key").alias("source"), "pos", "column", "type")
+        source = unsent(known.select(F.col("key").alias("source"), "pos", "column", "type"), large)
         passed = ready.join(source, "source").where(~F.array_contains(F.split("without", ","), F.upper("column")))
         extra = ready.select("stmt", "file", "target", "key").distinct().join(named, "stmt").withColumn("type", F.lit(""))
         rows = passed.select("stmt", "file", "target", "key", "pos", "column", "type").unionByName(extra)
@@ -50,9 +52,9 @@ def build_catalog(t: Tables) -> tuple[DataFrame, DataFrame]:
         known = known.unionByName(new)
         if rounds % 8 == 0:  # plans stay short
             known = settle(known)
-    have = known.select("key").distinct()
+    have = unsent(known.select("key").distinct(), large)
     gaps = every_star.join(have, "key", "left_anti").select(F.col("target").alias("table"), "file").distinct()
-    return known, gaps
+    return unsent(known, large), gaps
 
 
 def _contracted(stars: DataFrame, named: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:

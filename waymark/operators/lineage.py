@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import names
-from waymark.functions.shared import settle
+from waymark.functions.shared import SENT, settle, unsent
 from waymark.operators import usages
 from waymark.plans.reader import HELD
 
@@ -119,11 +119,13 @@ def walk_columns(flows: DataFrame, start: DataFrame, known: DataFrame | None = N
     nodes = front = settle(start)
     steps, cut = [], None
     who = ["root", "short", "ds", "key"]
-    listed = known.select(F.col("key").alias("k_key"), F.upper("column").alias("k_column")).distinct() if known is not None else None
+    listed = unsent(settle(known.select(F.col("key").alias("k_key"), F.upper("column").alias("k_column")).distinct())) if known is not None else None
     for hop in range(1, most_rounds + 1):
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
-        there = reading(front, flows.select("stmt", "file", "table", "s_short", "s_ds", "column", "out", "how", "without", "certain", "star", "target", "t_short", "t_ds", *_conditions(flows)), stars)
+        # the flows of a large tree aren't sent whole; a front is, while it is small
+        there = reading(F.broadcast(front) if n <= SENT else front, flows.select("stmt", "file", "table", "s_short", "s_ds", "column", "out", "how", "without", "certain", "star", "target", "t_short", "t_ds", *_conditions(flows)), stars)
         there = there.where(_carries(F.col("column"), F.col("without"), F.col("key")) & (F.col("without") != HELD))
         deeper = (F.col("how") == "direct") & _field_of(F.col("key"), F.upper("column"))
         new_column = F.when((F.col("column") == "*") & (F.col("out") == "*"), F.col("at_column")).when(deeper, F.concat("out", F.expr("substring(at_column, length(column) + 1)"))).otherwise(F.col("out"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import names
-from waymark.functions.shared import settle, slices
+from waymark.functions.shared import settle, slices, unsent
 from waymark.functions.sqltext import export_uri, fill_placeholders, renderings, rescue, split_statements, templating, unwrap_blocks
 from waymark.plans.reader import VARIABLES, Statement, Unread, canonical, read_statement
 from waymark.sources.extract import PLAIN, blocks, more_than_taken, sql_files, written_tables
@@ -194,11 +194,13 @@ def read_tables(tree: Tree, partitions: int | None = None) -> Tables:
 
     schema = ", ".join(f"{f.name} {_ddl(f.type)}" for f in _OUT)
     files = settle(tree.files)
+    size = files.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    large = size > PARTITION
+    files = unsent(files, large)
     if not partitions:
-        size = files.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         partitions = max(spark.sparkContext.defaultParallelism, size // PARTITION + 1)
     spread = files.select("file", "ext", "text").repartition(partitions)
-    parsed = settle(spread.mapInArrow(run, schema))
+    parsed = unsent(settle(spread.mapInArrow(run, schema)), large)
     flat = parsed.select("file", F.explode("statements").alias("s")).select(F.concat_ws("#", "file", "s.no").alias("stmt"), "file", "s.*")
 
     def exploded(what: str, *keep: str) -> DataFrame:
