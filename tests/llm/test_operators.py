@@ -212,6 +212,20 @@ def test_op5_bytes(spark, odd):
     assert want == multiset((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows)
 
 
+def test_op5_text(spark, tmp_path):
+    """What is left can be read: passages of 400 bytes are gone from it, shorter ones of over 50 words stay, broken characters are marked."""
+    import random
+
+    rng = random.Random(12)
+    long, short = fixtures.words(rng, 200)[:450], fixtures.words(rng, 120)[:380]
+    assert len(short.split()) > 50
+    own = [fixtures.words(rng, 40) for _ in range(6)]
+    texts = {1: own[0] + long + own[1], 2: own[2] + "|" + short + "|" + own[3], 3: own[4] + "#" + short + "#" + own[5], 4: long + "é", 5: long + "è" + own[0], 6: long, 7: None, 8: own[5]}
+    got = {r["doc_id"]: r for r in run(spark, "op5_suffix", fixtures.tables(spark, tmp_path, [(i, t, None, None, 0) for i, t in texts.items()]))}
+    assert {i: r["text"] for i, r in got.items()} == {1: own[0] + own[1], 2: texts[2], 3: texts[3], 4: "\ufffd", 5: "\ufffd" + own[0], 6: "", 7: "", 8: own[5]}
+    assert all(sha(r["text"].encode()) == r["kept_sha256"] for i, r in got.items() if i not in (4, 5))
+
+
 @pytest.mark.parametrize("limit, length", [(65_536, 400), (2, 400), (2, 200), (65_536, 200)])
 def test_op5_edges(spark, monkeypatch, limit, length):
     """Overlaps, edits near the edges, and classes that are parted."""
