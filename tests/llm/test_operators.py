@@ -501,6 +501,36 @@ def test_op10_rare_words_by_join(spark, monkeypatch):
         assert r["n_known"] == other["n_known"] and abs(r["base_score"] - other["base_score"]) < 1e-9 and abs(r["score"] - other["score"]) < 1e-9
 
 
+def test_op10_shuffle_files_go_once_used(spark, monkeypatch):
+    """What was sent to be counted is gone from disk when the counts are settled, also if the driver's heap isn't collected."""
+    import time
+
+    from waymark.llm import lm
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if "/shuffle_" in f}
+
+    def settle(df):
+        before, out = files(), real(df)
+        for _ in range(100):
+            if not files() - before:
+                break
+            time.sleep(0.1)
+        left.append(len(files() - before))
+        return out
+
+    real, left = lm.settle, []
+    monkeypatch.setattr(lm, "settle", settle)
+    monkeypatch.setattr(lm, "release", lambda spark: None)
+    rows = [(i, f"a a b c{i % 9} d{i % 31} e{i}", None, None, 0) for i in range(120)]
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    assert lm.score(fixtures.frame(spark, rows)).count() == 120
+    assert len(left) > 2 and not any(left)
+    assert spark.conf.get(name, None) == was
+
+
 def test_op10_mixture_adds_to_one():
     from waymark.llm import lm
 

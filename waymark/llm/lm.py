@@ -15,9 +15,10 @@ All counts cover all training documents. Documents lie in chunks of about ``CHUN
 characters. A chunk sends each different word, pair and triple of words once, by a hash
 and with its number, to the task that counts this hash, and gets the counts of the corpus
 back; so no n-gram is too rare to count, and a frequent one is sent once a chunk. Words
-have hashes of 64 bits; pairs and triples have 20 bits more than it takes to number them,
-so that one in a million shares another's count. What goes to every executor is a matrix
-of ``CLASSES`` squared.
+and pairs are counted first and triples after them, so that only one part of what is sent
+lies on disk at a time. Words have hashes of 64 bits; pairs and triples have 20 bits more
+than it takes to number them, so that one in a million shares another's count. What goes
+to every executor is a matrix of ``CLASSES`` squared.
 
 Nulls: a null text is empty and has the end mark only; a null doc_id counts as the empty
 string in the split. Repeated rows are scored and counted once each. An empty table gives
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import documents, release, settle, slices
+from waymark.llm.common import documents, release, settle, shuffles_removed, slices
 
 HEAD = 1 << 17
 CLASSES = 512
@@ -45,6 +46,7 @@ END = b"\n"
 #: Different words that a task counts before it hands them on.
 FLUSH = 400_000
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
+WORDS, PAIRS, TRIPLES = 0, 1, 2
 #: Characters of documents that send their n-grams together, and tokens whose n-grams a task counts together.
 CHUNK = 1 << 22
 PART = 1 << 20
@@ -207,14 +209,16 @@ def unpacked(payload: bytes, kind: type) -> np.ndarray:
 
 
 def chunks(own: DataFrame) -> DataFrame:
-    """(chunk, part, deleted, held_out, payload): words of documents of one part of the split, numbered in the chunk; part is -1."""
+    """(chunk, kind, deleted, held_out, payload): words of documents of one part of the split, numbered in the chunk; kind is -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kind: int) -> pa.RecordBatch:
             docs, begin, ids, at = held.pop(kind)
             size.pop(kind)
-            columns = {"doc_id": (docs, pa.int64()), "begin": (begin, pa.int32()), "ids": (ids, pa.int32()), "words": (list(at), pa.binary())}
-            batch = pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in columns.values()], list(columns))
+            # numbers by planes of bytes take a quarter less than zstd makes of them as they are
+            columns = {"doc_id": ([docs], pa.list_(pa.int64())), "words": ([b"".join(at)], pa.large_binary())}
+            columns |= {c: ([packed(np.array(x, dtype=np.int32))], pa.binary()) for c, x in (("begin", begin), ("ids", ids), ("sizes", [len(w) for w in at]))}
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns.values()], list(columns))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_batch(batch)
@@ -239,7 +243,7 @@ def chunks(own: DataFrame) -> DataFrame:
             yield out(kind)
 
     found = own.select("doc_id", "fold", "text").mapInArrow(run, "deleted boolean, held_out boolean, payload binary")
-    return found.select(F.monotonically_increasing_id().alias("chunk"), F.lit(-1).alias("part"), "deleted", "held_out", "payload")
+    return found.select(F.monotonically_increasing_id().alias("chunk"), F.lit(-1).alias("kind"), "deleted", "held_out", "payload")
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,30 +255,37 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def opened(payload: bytes) -> tuple[list, np.ndarray, np.ndarray, list[bytes]]:
     """(doc_ids, first token of each document, number of each token's word, different words) of a chunk."""
     batch = pa.ipc.open_stream(payload).read_next_batch()
-    return batch["doc_id"][0].as_py(), batch["begin"].values.to_numpy(), batch["ids"].values.to_numpy(), batch["words"][0].as_py()
+    begin, ids, sizes = (unpacked(batch[c][0].as_py(), np.int32) for c in ("begin", "ids", "sizes"))
+    words, ends = batch["words"][0].as_py(), np.cumsum(sizes, dtype=np.int64)
+    return batch["doc_id"][0].as_py(), begin, ids, [words[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
 
-def keys_of(begin: np.ndarray, ids: np.ndarray, names: list[bytes], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(different keys of words, and of pairs and triples, both ascending; place of each token's word, pair and triple among all of them).
+def keys_of(begin: np.ndarray, ids: np.ndarray, names: list[bytes], bits: int, kinds: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``kinds`` (words, pairs, triples): its different keys, ascending, and the place of each token's key among them.
 
     Words have keys of 64 bits, pairs and triples of ``bits``.
     """
     hashed = np.array([xxhash.xxh64_intdigest(w) for w in names], dtype=np.uint64)
-    words, at = np.unique(hashed, return_inverse=True)
+    found = {}
+    if WORDS in kinds:
+        words, at = np.unique(hashed, return_inverse=True)
+        found[WORDS] = words, at[ids]
     word = hashed[ids]
     before = np.concatenate(([START], word[:-1]))
     before[begin] = START
     pair = _mixed(before, word)
-    last = np.concatenate(([START], pair[:-1]))
-    last[begin] = START
-    both = np.concatenate((pair, _mixed(last ^ np.uint64(0x5851F42D4C957F2D), word))) >> np.uint64(64 - bits)
-    more, place = np.unique(both, return_inverse=True)
-    return [words, more], np.concatenate((at[ids][None], place.reshape(2, -1) + len(words)))
+    if PAIRS in kinds:
+        found[PAIRS] = np.unique(pair >> np.uint64(64 - bits), return_inverse=True)
+    if TRIPLES in kinds:
+        last = np.concatenate(([START], pair[:-1]))
+        last[begin] = START
+        found[TRIPLES] = np.unique(_mixed(last ^ np.uint64(0x5851F42D4C957F2D), word) >> np.uint64(64 - bits), return_inverse=True)
+    return [found[k] for k in kinds]
 
 
 def key_bits(total: int) -> int:
-    """Bits of a key, so that of the pairs and triples of ``total`` tokens one in a million meets another's key."""
-    return min(64, max(32, (2 * int(total) + 1).bit_length() + 20))
+    """Bits of a key, so that of the pairs of ``total`` tokens one in a million meets another's key, and of the triples."""
+    return min(64, max(32, (int(total) + 1).bit_length() + 20))
 
 
 def bounds(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
@@ -283,71 +294,69 @@ def bounds(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def counted(lots: DataFrame, parts: int, bits: int) -> DataFrame:
-    """(chunk, part, deleted, words, grams): counts in the kept and in the deleted part of the keys that a chunk has in a part."""
+def counted(lots: DataFrame, parts: int, bits: int, kinds: tuple[int, ...]) -> DataFrame:
+    """(chunk, kind, part, deleted, counts): counts in the kept and in the deleted part of the keys of a kind that a chunk has in a part."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             chunk, deleted, held = (b[c][0].as_py() for c in ("chunk", "deleted", "held_out"))
-            keys, place = keys_of(*opened(b["payload"][0].as_py())[1:], bits)
-            n = np.bincount(place.ravel(), minlength=sum(map(len, keys))).astype(np.uint32) * np.uint32(not held)
-            edges = [bounds(k, parts, width) for k, width in zip(keys, (64, bits))]
-            some = [p for p in range(parts) if any(e[p + 1] > e[p] for e in edges)]
-            columns = [pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([deleted] * len(some))]
-            for k, e, of in zip(keys, edges, np.split(n, [len(keys[0])])):
+            for kind, (keys, place) in zip(kinds, keys_of(*opened(b["payload"][0].as_py())[1:], bits, kinds)):
+                n = np.bincount(place, minlength=len(keys)).astype(np.uint32) * np.uint32(not held)
+                edges = bounds(keys, parts, 64 if kind == WORDS else bits)
+                some = [p for p in range(parts) if edges[p + 1] > edges[p]]
                 # keys of a part ascend, and so differ by less than they are
-                columns.append(pa.array([packed(np.diff(k[e[p] : e[p + 1]], prepend=np.uint64(0))) for p in some], pa.binary()))
-                columns.append(pa.array([packed(of[e[p] : e[p + 1]]) for p in some], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "part", "deleted", "words", "n_words", "grams", "n_grams"])
+                packs = [
+                    [packed(np.diff(keys[edges[p] : edges[p + 1]], prepend=np.uint64(0))) for p in some],
+                    [packed(n[edges[p] : edges[p + 1]]) for p in some],
+                ]
+                columns = [pa.array([x] * len(some), t) for x, t in ((chunk, pa.int64()), (kind, pa.int32()), (deleted, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in packs)], ["chunk", "kind", "deleted", "part", "keys", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
-        if not rows:
-            return
-        found: list[list[bytes]] = []
-        for what in ("words", "grams"):
-            keys = [np.cumsum(unpacked(r.pop(what), np.uint64), dtype=np.uint64) for r in rows]
-            n = np.concatenate([unpacked(r.pop(f"n_{what}"), np.uint32) for r in rows])
+        for kind in kinds:
+            own = [r for r in rows if r["kind"] == kind]
+            if not own:
+                continue
+            keys = [np.cumsum(unpacked(r.pop("keys"), np.uint64), dtype=np.uint64) for r in own]
+            n = np.concatenate([unpacked(r.pop("n"), np.uint32) for r in own])
             sizes = [len(k) for k in keys]
             different, place = np.unique(np.concatenate(keys), return_inverse=True)
             del keys
-            late = np.repeat([r["deleted"] for r in rows], sizes)
+            late = np.repeat([r["deleted"] for r in own], sizes)
             sums = np.stack([np.bincount(place, np.where(late == d, n, 0), minlength=len(different)).astype(np.uint32) for d in (False, True)])
             ends = np.cumsum(sizes)
-            found.append([packed(sums[:, place[e - m : e]].ravel()) for e, m in zip(ends, sizes)])
-        for a in range(0, len(rows), 256):
-            some = rows[a : a + 256]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["chunk"] for r in some], pa.int64()), pa.array([r["part"] for r in some], pa.int32()), pa.array([r["deleted"] for r in some]), *(pa.array(x[a : a + 256], pa.binary()) for x in found)],
-                ["chunk", "part", "deleted", "words", "grams"],
-            )
+            found = [packed(sums[:, place[e - m : e]].ravel()) for e, m in zip(ends, sizes)]
+            for a in range(0, len(own), 256):
+                some = own[a : a + 256]
+                columns = [pa.array([r[c] for r in some], t) for c, t in (("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("deleted", pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found[a : a + 256], pa.binary())], ["chunk", "kind", "part", "deleted", "counts"])
 
-    sent = lots.mapInArrow(send, "chunk bigint, part int, deleted boolean, words binary, n_words binary, grams binary, n_grams binary")
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "chunk bigint, part int, deleted boolean, words binary, grams binary")
+    sent = lots.mapInArrow(send, "chunk bigint, kind int, deleted boolean, part int, keys binary, n binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "chunk bigint, kind int, part int, deleted boolean, counts binary")
 
 
 def with_counts(lots: DataFrame, counts: DataFrame, partitions: int) -> DataFrame:
-    """Rows of chunks, each followed by its counts by part."""
-    rows = lots.select("chunk", "part", "held_out", "payload").unionByName(counts.select("chunk", "part", "words", "grams"), allowMissingColumns=True)
-    return rows.repartition(partitions, "chunk").sortWithinPartitions("chunk", "part").select("part", "held_out", "payload", "words", "grams")
+    """Rows of chunks, each followed by its counts by kind and part."""
+    rows = lots.select("chunk", "kind", "held_out", "payload").unionByName(counts.select("chunk", "kind", "part", "counts"), allowMissingColumns=True)
+    return rows.repartition(partitions, "chunk").sortWithinPartitions("chunk", "kind", "part").select("kind", "held_out", "payload", "counts")
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bytes, np.ndarray]]:
-    """(held_out, documents, counts (kept or deleted, key) in the order of ``keys_of``) of each chunk."""
-    now: tuple[bool, bytes, list, list] | None = None
+    """(held_out, documents, counts (kept or deleted, key) of all kinds in the order of ``keys_of``) of each chunk."""
+    now: tuple[bool, bytes, list] | None = None
 
     def out() -> tuple[bool, bytes, np.ndarray]:
-        return now[0], now[1], np.concatenate([unpacked(x, np.uint32).reshape(2, -1) for x in now[2] + now[3]], axis=1).astype(np.int64)
+        return now[0], now[1], np.concatenate([unpacked(x, np.uint32).reshape(2, -1) for x in now[2]], axis=1).astype(np.int64)
 
     for b in batches:
         for r in b.to_pylist():
-            if r["part"] < 0:
+            if r["kind"] < 0:
                 if now:
                     yield out()
-                now = (r["held_out"], r["payload"], [], [])
+                now = (r["held_out"], r["payload"], [])
             else:
-                now[2].append(r["words"])
-                now[3].append(r["grams"])
+                now[2].append(r["counts"])
     if now:
         yield out()
 
@@ -379,7 +388,8 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     lots = settle(chunks(split(docs)))
-    words = settle(word_counts(lots))
+    with shuffles_removed(spark):
+        words = settle(word_counts(lots))
     total, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = frequent(words, HEAD)
     classes = {w: k for k, w in enumerate(dict.fromkeys([END, *(h[0] for h in head[: CLASSES - 1])]))}
@@ -398,8 +408,8 @@ def score(docs: DataFrame) -> DataFrame:
     release(spark)
     parts = max(spark.sparkContext.defaultParallelism, int(total) // PART + 1)
     bits = key_bits(total)
-    counts = settle(counted(lots, parts, bits))
-    release(spark)
+    with shuffles_removed(spark):
+        counts = settle(counted(lots, parts, bits, (WORDS, PAIRS))).unionByName(settle(counted(lots, parts, bits, (TRIPLES,))))
     denominator = total + known + 1
     sent = spark.sparkContext.broadcast((classes, chances))
 
@@ -407,7 +417,9 @@ def score(docs: DataFrame) -> DataFrame:
         """(doc_ids, begin, counts of words, estimates of the three orders, buckets), by all training documents or by the kept ones."""
         classes, chances = sent.value
         docs, begin, ids, names = opened(payload)
-        _, place = keys_of(begin, ids, names, bits)
+        grams = keys_of(begin, ids, names, bits, (WORDS, PAIRS, TRIPLES))
+        first = np.cumsum([0, *(len(keys) for keys, _ in grams[:-1])])
+        place = np.stack([at + a for (_, at), a in zip(grams, first)])
         kind = np.array([classes.get(w, len(classes)) for w in names])[ids]
         n = (found.sum(axis=0) if whole else found[0])[place]
         context = np.append(0, kind[:-1])
@@ -428,8 +440,9 @@ def score(docs: DataFrame) -> DataFrame:
         columns = [pa.array([c[j] for c in cells], pa.int64()) for j in range(4)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(histogram.values(), pa.int64())], ["b", "e3", "e2", "e1", "n"])
 
-    rows = with_counts(lots.where("deleted"), counts.where("deleted"), parts)
-    cells = rows.mapInArrow(learned, "b bigint, e3 bigint, e2 bigint, e1 bigint, n bigint").groupBy("b", "e3", "e2", "e1").agg(F.sum("n").alias("n")).collect()
+    with shuffles_removed(spark):
+        rows = with_counts(lots.where("deleted"), counts.where("deleted"), parts)
+        cells = rows.mapInArrow(learned, "b bigint, e3 bigint, e2 bigint, e1 bigint, n bigint").groupBy("b", "e3", "e2", "e1").agg(F.sum("n").alias("n")).collect()
     weights = order_weights(sorted((r["b"], *(10.0 ** (r[c] / GRADES) if r[c] > -999 else 0.0 for c in ("e3", "e2", "e1")), r["n"]) for r in cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
