@@ -408,8 +408,10 @@ def score(docs: DataFrame) -> DataFrame:
     release(spark)
     parts = max(spark.sparkContext.defaultParallelism, int(total) // PART + 1)
     bits = key_bits(total)
+    # one kind or two are counted at a time, so a task counts those of twice the tokens, and chunks send half the rows
+    ranges = max(spark.sparkContext.defaultParallelism, int(total) // (2 * PART) + 1)
     with shuffles_removed(spark):
-        counts = settle(counted(lots, parts, bits, (WORDS, PAIRS))).unionByName(settle(counted(lots, parts, bits, (TRIPLES,))))
+        counts = settle(counted(lots, ranges, bits, (WORDS, PAIRS))).unionByName(settle(counted(lots, ranges, bits, (TRIPLES,))))
     denominator = total + known + 1
     sent = spark.sparkContext.broadcast((classes, chances))
 
