@@ -272,6 +272,32 @@ def test_op5_parted_classes(spark, monkeypatch, length):
         assert (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), sha(bytes(r["kept"]))) == want[r["doc_id"]], r["doc_id"]
 
 
+def test_op5_classes_stay_whole(spark, monkeypatch):
+    """Small classes meet in one task though large ones are joined away from them, also where that join turns into a broadcast as it runs."""
+    import random
+
+    from waymark.llm import suffix
+
+    monkeypatch.setattr(suffix, "CLASS", 8)
+    rng = random.Random(21)
+    own = lambda: fixtures.words(rng, 30)[:150]
+    hot, cores = fixtures.words(rng, 120)[:410], [fixtures.words(rng, 120)[:410] for _ in range(12)]
+    texts = [own() + hot + own() for _ in range(12)] + [own() + core + own() for _ in range(3) for core in cores]
+    docs = fixtures.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]).repartition(6, "doc_id")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = suffix.remove_repeats(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = dict(enumerate(brute.repeats(texts)))
+    assert all(w[1] >= 410 for w in want.values())
+    assert {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), sha(bytes(r["kept"]))) for r in got} == want
+
+
 def test_op5_merge_of_shards():
     """Merged orders and common prefixes are those of one sort, however rows are dealt to shards."""
     import random
